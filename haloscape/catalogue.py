@@ -23,7 +23,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def values(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """A literal table in the plan: it takes no tasks of its own, and products of such tables stay in one partition."""
+    fields = [f.split() for f in schema.split(", ")]
+    said = ", ".join("(" + ", ".join(f"cast('{v!r}' as {kind})" for v, (_, kind) in zip(row, fields, strict=True)) + ")" for row in rows)
+    return spark.sql(f"select * from values {said} as t({', '.join(name for name, _ in fields)})")
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +328,7 @@ def training_set(spark, d):
 
 
 def fit_psf_adam_lbfgs(spark, d):
-    return optimize.fit_psf(training_set(spark, d), ["band"], "gaussian", [1.0], 1.0, 15).select("band", "param", F.round("value", 3).alias("value"), F.col("loss") < 1e-6)
+    return optimize.fit_psf(training_set(spark, d), ["band"], "gaussian", [1.0], 1.0, 15).select("band", "param", F.round("value", 3).alias("value"), (F.col("loss") < 1e-6).alias("converged"))
 
 
 # ---- radiatives and the whole chain

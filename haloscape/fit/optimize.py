@@ -82,7 +82,7 @@ def minimise(loss, start, lows, highs, stages: Sequence[tuple[str, Stage]]):
                     a = s @ q / (s @ y)
                     marks.append(a)
                     q -= a * y
-                q *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, np.abs(g).sum())
+                q *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 0.1 / max(1e-30, np.abs(g).sum())
                 for (s, y), a in zip(pairs, reversed(marks), strict=True):
                     q += s * (a - y @ q / (s @ y))
                 length = 1.0
@@ -90,7 +90,7 @@ def minimise(loss, start, lows, highs, stages: Sequence[tuple[str, Stage]]):
                     length /= 2
                 moved = np.clip(x - length * q, lo, hi)
                 after = slope(moved)
-                if (moved - x) @ (after - g) > 1e-12:
+                if (moved - x) @ (after - g) > 1e-10 * np.linalg.norm(moved - x) * np.linalg.norm(after - g):
                     pairs = [*pairs, (moved - x, after - g)][-100:]
                 x, g = moved, after
             best = min(best, (loss(x), x.copy()), key=lambda b: b[0])

@@ -69,5 +69,5 @@ def kernel_grid(params: DataFrame, res: float, n: int) -> DataFrame:
 def kernels(params: DataFrame, keys: list[str], model: str, res: float, n: int) -> DataFrame:
     """(keys, dy, dx, r, w): kernels that sum to one, from columns named like the model's parameters clamped to their bounds."""
     args = [F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(name))) for name, (lo, hi) in BOUNDS[model].items()]
-    raw = kernel_grid(params, res, n).withColumn("k", MODELS[model](F.col("r"), *args))
-    return raw.withColumn("w", F.col("k") / F.sum("k").over(Window.partitionBy(*keys))).select(*keys, "dy", "dx", "r", "w")
+    raw = kernel_grid(params, res, n).withColumn("_raw", MODELS[model](F.col("r"), *args))
+    return raw.withColumn("w", F.col("_raw") / F.sum("_raw").over(Window.partitionBy(*keys))).select(*keys, "dy", "dx", "r", "w")
