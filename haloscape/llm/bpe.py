@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_FILE = 64 << 20
-#: Encoded pieces that a worker remembers; beyond it starts anew.
-MAX_PIECES = 300_000
+#: Encoded words that a worker remembers: the first so many that it sees, which common words are among.
+MAX_WORDS = 500_000
 ADDED = ("token_ids", "decoded")
 #: Unicode's White_Space, which is what the file's \s means.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -57,7 +57,8 @@ class Bpe:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.piece = regex.compile(pattern.replace("\\s", WHITE) if "[^\\s" in pattern else pattern)
-        self.white = regex.compile(f"[{WHITE}]+")
+        # str.split() takes these for white space as well, the file doesn't
+        self.odd = regex.compile("[\x1c-\x1f]")
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.letters = byte_letters()
         # inner numbers: letters first, then the merges in order; merging order is then number order
@@ -84,7 +85,7 @@ class Bpe:
         #: the longest shorter token that a token starts with
         self.shorter = [next((number[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in number), -1) for t in shown]
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         # decoding: one string and the offsets of each id
         by_id = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         texts = [by_id.get(i, "") for i in range(max(by_id) + 1)]
@@ -97,7 +98,7 @@ class Bpe:
         the border would have been merged earlier."""
         known = self.compatible.get((a, b))
         if known is None:
-            if len(self.compatible) > 4 * MAX_PIECES:
+            if len(self.compatible) > 2 * MAX_WORDS:
                 self.compatible.clear()
             known = self.compatible[a, b] = self._fits(a, b)
         return known
@@ -116,7 +117,14 @@ class Bpe:
                 limit, b = b + 1, left
 
     def encode_letters(self, word: str) -> list[int]:
-        """Inner numbers of a word that ends with the suffix's mark."""
+        """Inner numbers of a word that ends with the suffix's mark.  The longest matches in a row are the answer if each fits the
+        one before it; else the search goes back as far as it must."""
+        straight = [n for _, n in self.matches.iter_long(word)]
+        if sum([self.width[n] for n in straight]) == len(word) and all([self.fits(a, b) for a, b in zip(straight, straight[1:], strict=False)]):
+            return straight
+        return self.encode_back(word)
+
+    def encode_back(self, word: str) -> list[int]:
         longest = [-1] * len(word)
         for end, n in self.matches.iter(word):
             start = end + 1 - self.width[n]
@@ -140,28 +148,33 @@ class Bpe:
                 at -= self.width[n]
         return out
 
-    def encode_piece(self, piece: str) -> list[int]:
-        known = self.pieces.get(piece)
-        if known is None:
-            if len(self.pieces) >= MAX_PIECES:
-                self.pieces.clear()
-            letters = self.letters
-            word = "".join([letters[b] for b in piece.encode()]) + "\0"
-            known = self.pieces[piece] = [self.ids[n] for n in self.encode_letters(word)]
-        return known
+    def encode_word(self, word: str) -> tuple[int, ...]:
+        """Ids of a run without white space, whose pieces the split pattern gives."""
+        letters, out = self.letters, []
+        for piece in self.piece.findall(word):
+            out += self.encode_letters("".join([letters[b] for b in piece.encode()]) + "\0")
+        found = tuple([self.ids[n] for n in out])
+        if len(self.words) < MAX_WORDS and len(word) < 100:
+            self.words[word] = found
+        return found
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         parts = self.special.split(text) if self.special else [text]
+        known, encode_word = self.words.get, self.encode_word
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(self.specials[part])
                 continue
             if not part.isascii():  # letter by letter: no rule for a sigma at a word's end
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            pieces, encode_piece = self.pieces, self.encode_piece
-            for piece in self.piece.findall(self.white.sub(" ", part).lower()):
-                out += pieces.get(piece) or encode_piece(piece)
+            part = part.lower()
+            if self.odd.search(part):
+                out += encode_word(part)
+                continue
+            for word in part.split():
+                ids = known(word)
+                out += encode_word(word) if ids is None else ids
         return out
 
     def decode(self, ids: list[int]) -> str:
