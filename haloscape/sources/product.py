@@ -17,7 +17,8 @@ def folder_parts(name: Column) -> dict[str, Column]:
 
 
 def humidity(xml: Column) -> Column:
-    return F.coalesce(F.xpath_double(xml, F.lit("//Product_Quality/Relative_Humidity")), F.lit(50.0))
+    value = F.xpath_double(xml, F.lit("//Product_Quality/Relative_Humidity"))
+    return F.coalesce(F.nanvl(value, F.lit(50.0)), F.lit(50.0))
 
 
 def sun_angles(xml: Column) -> dict[str, Column]:
