@@ -89,11 +89,10 @@ def brute_components(texts, k=4):
         w = SPACE_WORD.findall((t or "").translate(LOW))
         sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
     comp = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
     return sets, comp
 
 
@@ -108,9 +107,26 @@ def test_near_duplicates(spark, docs):
 
 
 def test_crowded_regions(spark, monkeypatch):
+    """Groups far over a run's size: chains, star-like copies of one base, and copies none of which is the base."""
+    import random
+
     monkeypatch.setattr(near_dup, "CROWD", 8)
-    borders = near_dup.part_borders(__import__("numpy").array([[1, i // 5] for i in range(40)]), 1)
-    assert borders[0][0] == 0 and borders[-1][1] == 40 and all(b - a <= 8 for a, b in borders) and all(x[1] == y[0] for x, y in zip(borders, borders[1:], strict=False))
+    monkeypatch.setattr(near_dup, "HUBS", 2)
+    rng = random.Random(5)
+
+    def changed(name, at):
+        return " ".join(f"{name}{j}" if j not in at else f"z{rng.random()}" for j in range(120))
+
+    rows = [(i, changed("w", {rng.randrange(120)})) for i in range(60)] + [(100 + i, changed("v", {i, i + 1})) for i in range(60)]
+    rows += [(300 + i, " ".join(f"c{j}" for j in range(3 * i, 3 * i + 120))) for i in range(40)] + [(400 + i, changed(f"u{i}_", set())) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, comp = brute_components(rows)
+    assert len(set(comp.values())) == 23
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {i: (len(sets[i]), comp[i]) for i, _ in rows}
+    monkeypatch.setattr(near_dup, "MASS", 300)
+    monkeypatch.setattr(near_dup, "CROWD", 1024)
+    assert got == {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
 
 
 def test_bpe_equals_the_library(docs):
