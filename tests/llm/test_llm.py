@@ -129,6 +129,31 @@ def test_crowded_regions(spark, monkeypatch):
     assert got == {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
 
 
+def test_pairs_that_meet_in_no_run(spark, monkeypatch):
+    """Pairs just alike, in regions crowded by what all documents share, with each row alone in its runs: the blocks find all."""
+    import random
+
+    monkeypatch.setattr(near_dup, "CROWD", 1)
+    monkeypatch.setattr(near_dup, "HUBS", 0)
+    number = F.monotonically_increasing_id() * 2 + 2
+    monkeypatch.setattr(near_dup, "with_runs", lambda rows: rows.withColumn("run_a", number).withColumn("run_b", number + 1))
+    rng = random.Random(9)
+    shared = [f"s{j}" for j in range(100)]
+    rows = []
+    for i in range(50):
+        own = [f"p{i}_{j}" for j in range(30)]
+        for copy in range(2):
+            words = shared + own
+            for at in (rng.randrange(5, 60), rng.randrange(70, 95)):
+                words[at] = f"x{i}_{copy}_{at}"
+            rows.append((2 * i + copy, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, comp = brute_components(rows)
+    assert len(set(comp.values())) >= 50
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {i: (len(sets[i]), comp[i]) for i, _ in rows}
+
+
 def test_bpe_equals_the_library(docs):
     tokenizers = pytest.importorskip("tokenizers")
     P = pytest.importorskip("public_tokenizers")
