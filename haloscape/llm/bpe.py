@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_FILE = 64 << 20
-#: Encoded words that a worker remembers: the first so many that it sees, which common words are among.
+#: Encoded words that a task remembers: the first so many that it sees, which common words are among.
 MAX_WORDS = 500_000
 ADDED = ("token_ids", "decoded")
 #: Unicode's White_Space, which is what the file's \s means.
@@ -184,7 +184,7 @@ class Bpe:
 
 @lru_cache(maxsize=1)
 def loaded(data: bytes) -> Bpe:
-    """A worker keeps its tokenizer, and the pieces that it has seen, from one task to the next."""
+    """A worker keeps its tokenizer from one task to the next."""
     return Bpe(data)
 
 
@@ -207,16 +207,20 @@ def tokenize(documents: DataFrame, tokenizer_file: str, text_col: str = "text")
         import pyarrow as pa
 
         bpe = loaded(sent.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                flat, ends, decoded = [], [0], []
-                for value in part.column(at):
-                    ids = bpe.encode(value.as_py() or "")
-                    flat += ids
-                    ends.append(len(flat))
-                    decoded.append(bpe.decode(ids))
-                ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(decoded, pa.string())], names=[*part.schema.names, "token_ids", "decoded"])
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    flat, ends, decoded = [], [0], []
+                    for value in part.column(at):
+                        ids = bpe.encode(value.as_py() or "")
+                        flat += ids
+                        ends.append(len(flat))
+                        decoded.append(bpe.decode(ids))
+                    ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(decoded, pa.string())], names=[*part.schema.names, "token_ids", "decoded"])
+        finally:  # an idle worker holds the tokenizer only, beside other operators' stages
+            bpe.words.clear()
+            bpe.compatible.clear()
 
     return plain.mapInArrow(run, schema)
