@@ -182,6 +182,18 @@ def test_paragraphs(spark):
     assert paragraphs.repeats(df.limit(0)).count() == 0
 
 
+def test_short_paragraphs(spark):
+    """Lines of 30 words and more are paragraphs, and a pair at 0.8 is missed less than once in 10,000."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    rows = []
+    for n in (29, 30, 36, 44):
+        line = words(f"s{n}x", n)
+        rows += [(n, " ".join(line)), (100 + n, " ".join(words(f"t{n}x", 60)) + "\n" + " ".join([*line[:-1], "other"]))]
+    found = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.place, r.n_words, r.first_doc, r.removed) for r in found} == {x for n in (30, 36, 44) for x in ((n, 0, n, n, False), (100 + n, 1, n, n, True))}
+    assert (1 - 0.8**paragraphs.ROWS) ** paragraphs.BANDS < 1e-4
+
+
 def test_licenses(spark, docs):
     more = spark.createDataFrame([(900, "xx " + licenses.TEMPLATES["mit"].replace("without limitation", "with no limit") + " yy"), (901, "mit licenses"), (902, "gnu general public license")], "doc_id long, text string")
     df = docs.unionByName(more, allowMissingColumns=True).withColumn("score", F.lit("old"))
