@@ -4,7 +4,9 @@ Each document gets two histograms: character classes (lower case, upper case, di
 ``#*$%&|<>``, other ASCII, other characters) and common words (those of ``COMMON_WORDS``, and one bin for all others).  A
 language's reference is the mean of the shares of its documents that pass the base rules and the length guard, over the
 whole corpus; a document is compared to each reference with the Jensen-Shannon distance (base 2, so 0 to 1) and the nearest
-reference counts.  Guards: a document under ``MIN_WORDS`` words is judged by the base rules only, and a language needs
+reference counts.  The limit of the character distance is fixed; that of the word distance is each reference's own: the
+``WORD_QUANTILE`` of its documents' distances to it (in steps of 1 / ``STEPS``), but under the distance of a text that has none of
+the common words, so such a text is always too far.  Guards: a document under ``MIN_WORDS`` words is judged by the base rules only, and a language needs
 ``MIN_DOCUMENTS`` documents to make a reference.  With no reference at all only the base rules hold.
 
 Base rules: under 50 words fails; over half of the words in three-word windows that occur twice or more fails.
@@ -18,6 +20,7 @@ are judged like others; repeated rows are judged alike; columns of the input wit
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,8 @@ COMMON_WORDS = {
 MIN_WORDS = 50
 MIN_DOCUMENTS = 20
 MAX_CHAR_DISTANCE = 0.35
-MAX_WORD_DISTANCE = 0.65
+WORD_QUANTILE = 0.99
+STEPS = 1000
 #: Window hashes are packed with their place: 44 bits of hash, 20 bits of place.
 PLACE_BITS = 20
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language_seen", "char_distance", "word_distance")
@@ -156,24 +160,55 @@ def measure(documents: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def fitting(measured: DataFrame, lang_col: str) -> DataFrame:
+    """The documents that references are made of."""
+    return measured.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS) & F.col(lang_col).isin(list(COMMON_WORDS)))
+
+
 def references(measured: DataFrame, lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """Language -> mean shares of character classes and of common words; a row for each language of ``COMMON_WORDS``."""
-    fit = measured.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS) & F.col(lang_col).isin(list(COMMON_WORDS)))
+    fit = fitting(measured, lang_col)
     bins = {"c": 7, "w": sum(map(len, COMMON_WORDS.values())) + 1}
     sides = fit.select(F.col(lang_col).alias("lang"), shares(F.col("_chars")).alias("c"), shares(F.col("_common")).alias("w"))
     rows = sides.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get(k, i)).alias(f"{k}{i}") for k, m in bins.items() for i in range(m)]).collect()
     return {r["lang"]: ([r[f"c{i}"] for i in range(bins["c"])], [r[f"w{i}"] for i in range(bins["w"])]) for r in sorted(rows, key=lambda r: r["lang"]) if r["n"] >= MIN_DOCUMENTS}
 
 
-def judge(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
+def distance_without(q: list[float]) -> float:
+    """``js_distance`` to a reference of a text that has none of the common words."""
+    rest = q[-1]
+    return math.sqrt((math.log2(2 / (1 + rest)) + (rest * math.log2(2 * rest / (1 + rest)) if rest else 0) + 1 - rest) / 2)
+
+
+def word_limits(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]], lang_col: str = "lang") -> dict[str, float]:
+    """Language -> the largest word distance that is near enough; a row for each language and step of distance comes to the driver."""
+    if not refs:
+        return {}
+    own = F.coalesce(*[F.when(F.col(lang_col) == k, js_distance(F.col("_pw"), v[1])) for k, v in refs.items()])
+    steps = fitting(measured, lang_col).withColumn("_pw", shares(F.col("_common"))).select(F.col(lang_col).alias("lang"), F.ceil(own * STEPS).alias("step")).where("step is not null")
+    counts = {k: {} for k in refs}
+    for r in steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["lang"]][r["step"]] = r["n"]
+    limits = {}
+    for k, n in counts.items():
+        seen, total = 0, sum(n.values())
+        for step in sorted(n):
+            seen += n[step]
+            if seen >= WORD_QUANTILE * total:
+                limits[k] = min(step / STEPS, distance_without(refs[k][1]) - 1e-9)
+                break
+    return limits
+
+
+def judge(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]], limits: dict[str, float]) -> DataFrame:
     """Adds the nearest reference, its distances and ``kept``."""
     if refs:
-        near = F.array_min(F.array(*[F.struct((c + w).alias("d"), F.lit(k).alias("lang"), c.alias("c"), w.alias("w")) for k, c, w in ((k, js_distance(F.col("_pc"), v[0]), js_distance(F.col("_pw"), v[1])) for k, v in refs.items())]))
+        near = F.array_min(F.array(*[F.struct((c + w).alias("d"), F.lit(k).alias("lang"), c.alias("c"), w.alias("w"), F.lit(limits[k]).alias("most")) for k, c, w in ((k, js_distance(F.col("_pc"), v[0]), js_distance(F.col("_pw"), v[1])) for k, v in refs.items())]))
         measured = measured.withColumn("_pc", shares(F.col("_chars"))).withColumn("_pw", shares(F.col("_common"))).withColumn("_near", near).drop("_pc", "_pw")
     else:
-        measured = measured.withColumn("_near", F.lit(None).cast("struct<d:double,lang:string,c:double,w:double>"))
+        measured = measured.withColumn("_near", F.lit(None).cast("struct<d:double,lang:string,c:double,w:double,most:double>"))
     near, long_enough = F.col("_near"), F.col("n_words") >= MIN_WORDS
-    far = F.coalesce(long_enough & ((near["c"] > MAX_CHAR_DISTANCE) | (near["w"] > MAX_WORD_DISTANCE)), F.lit(False))
+    far = F.coalesce(long_enough & ((near["c"] > MAX_CHAR_DISTANCE) | (near["w"] > near["most"])), F.lit(False))
     return measured.withColumns({"language_seen": near["lang"], "char_distance": near["c"], "word_distance": near["w"], "kept": ~F.col("base_failed") & ~far}).drop("_near", "_chars", "_common")
 
 
@@ -183,4 +218,5 @@ def quality(documents: DataFrame, text_col: str = "text", lang_col: str = "lang"
     plain = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in ADDED])
     measured = measure(plain, text_col)
     measured = materialize(measured if keep_text else measured.drop(text_col), "quality")
-    return judge(measured, references(measured, lang_col))
+    refs = references(measured, lang_col)
+    return judge(measured, refs, word_limits(measured, refs, lang_col))

@@ -83,6 +83,17 @@ def test_quality(docs):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def test_texts_without_common_words(spark):
+    """A text that has none of the common words goes, though its characters are like the others'; clean ones stay."""
+    word = lambda n: "".join("abcdefghij"[int(c)] for c in str(n * 7919 % 9973 + 10000))
+    clean = [" ".join("the of and to in".split()[i // 5 % 5] if i % 5 == 0 else word(100 * d + i) for i in range(80 + d % 7)) for d in range(40)]
+    junk = " ".join(word(9000 + i) for i in range(80))
+    df = spark.createDataFrame([*enumerate(clean), (100, junk)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = by_id(quality.quality(df))
+    assert {i for i, r in got.items() if not r.base_failed} == {*range(40), 100}
+    assert got[100].char_distance < quality.MAX_CHAR_DISTANCE and {i for i, r in got.items() if r.kept} == set(range(40))
+
+
 def brute_components(texts, k=4):
     sets = {}
     for i, t in texts:
