@@ -1,10 +1,11 @@
-"""Helpers shared by the corpus operators: let-binding, word splitting, shared scratch tables."""
+"""Helpers shared by the corpus operators: let-binding, word splitting, names that can't clash, shared scratch tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, dots and back-quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: Sequence[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of ``taken`` equals, in whatever case."""
+    held, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, replaced: Sequence[str]) -> list[Column]:
+    """The columns of ``df`` that no added column replaces."""
+    gone = {c.lower() for c in replaced}
+    return [column(c) for c in df.columns if c.lower() not in gone]
+
+
+def literal_array(values: Sequence, kind: str) -> Column:
+    """A constant array of numbers, or of strings without commas, as one literal that is split when the query is optimized: a plan
+    node for each element would make the driver the slow part."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if len(values) else F.array().cast(f"array<{kind}>")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters stay as they are.  Pure ASCII takes the fast way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -59,10 +88,50 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_marked: set[str] = set()
+_scopes: list[list[str]] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; the file system deletes it when the driver's JVM ends."""
+    folder = f"{scratch_root(spark)}/haloscape-{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        path, fs = _file_system(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(folder)
+    return folder
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Gathers the paths of the tables that are materialized inside."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+
+
+def discard(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for p in paths:
+        path, fs = _file_system(spark, p)
+        fs.delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: it is computed once, its lineage ends there, and the loss of
-    an executor costs no more than the tasks that it ran."""
+    an executor costs no more than the tasks that it ran.  The table stays until ``discard`` or the end of the application."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _scopes:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
