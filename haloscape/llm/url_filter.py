@@ -8,8 +8,10 @@ Membership is answered by Bloom filters in alternating levels.  Level 0 holds th
 universe U (all candidate keys of all urls) is known, so those of U without L that pass level 0 are level 1's members; the
 listed keys that pass level 1 are level 2's, and so on until a level has no false positives.  A key of U is listed if the
 first level that it fails is odd, or if it passes all and the last is even.  Level 0 gets a false-positive rate of about
-|L|/|U|, so the whole cascade takes O(|L| log(|U|/|L|)) bits; ``MAX_BITS`` is checked before it goes into the plan as
-literals.
+|L|/|U|, so the whole cascade takes O(|L| log(|U|/|L|)) bits; they go into the plan as one literal a level.
+
+A cascade may take ``MAX_BITS`` bits.  A list that would need more isn't sent to executors: then the candidate keys of the corpus's distinct
+(host, path) pairs are joined to the list by a shuffle and the longest found is joined back, with the same result.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; a url without a path fits no
 rule, as rule paths start with ``/``; repeated rows are judged alike; other columns pass through unless they carry the name
@@ -22,15 +24,16 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, column, fresh, literal_array, materialize, others
 
-#: A cascade over 4 MiB is refused instead of being sent with the plan.
+#: A level of a cascade may take 4 MiB of the plan.
 MAX_BITS = 1 << 25
 WORD = 62
 LATER_HASHES = 2
+ADDED = ("host", "path", "rule", "verdict")
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ class Level:
     def holds(self, key: Column) -> Column:
         """The key's bits are all set."""
         found = F.lit(True)
-        stored = F.array(*[F.lit(w).cast("bigint") for w in self.words])
+        stored = literal_array(self.words, "bigint")
         for i in range(self.hashes):
             at = position(key, self.seed, i, self.bits)
             word = F.element_at(stored, (F.floor(at / F.lit(WORD)) + 1).cast("int"))
@@ -72,12 +75,18 @@ def candidate_keys(host: Column, path: Column, path_lengths: Sequence[int]) -> C
     return F.when((host == "") | (path == ""), F.array().cast("array<string>")).otherwise(F.array_distinct(keys))
 
 
-def build_level(members: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A filter over the column ``key`` of ``members``; what reaches the driver is its bits, whose number is checked."""
-    hashes = max(1, round(-math.log2(rate))) if seed == 0 else LATER_HASHES
-    bits = max(64, math.ceil(n * hashes / math.log(2)))
-    if bits > MAX_BITS:
-        raise ValueError(f"a level of {bits} bits exceeds MAX_BITS = {MAX_BITS}; split the rules by key hash")
+def bits_for(n: int, hashes: int) -> int:
+    return max(64, math.ceil(n * hashes / math.log(2)))
+
+
+def first_hashes(n_listed: int, universe_size: int) -> int:
+    """Hashes of level 0, for a false-positive rate of about the listed share of the universe."""
+    return max(1, round(-math.log2(min(0.5, max(1e-9, n_listed / max(1, universe_size))))))
+
+
+def build_level(members: DataFrame, n: int, hashes: int, seed: int) -> Level:
+    """A filter over the column ``key`` of ``members``; what reaches the driver is its bits, ``MAX_BITS`` at most."""
+    bits = bits_for(n, hashes)
     at = F.explode(F.array(*[position(F.col("key"), seed, i, bits) for i in range(hashes)])).alias("at")
     words = members.select(at).groupBy((F.floor(F.col("at") / WORD)).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % WORD).cast("int"))).alias("b"))
     stored = [0] * (bits // WORD + 1)
@@ -86,26 +95,34 @@ def build_level(members: DataFrame, n: int, rate: float, seed: int) -> Level:
     return Level(bits, hashes, seed, tuple(stored))
 
 
-def build_cascade(universe: DataFrame, listed: Sequence[str], universe_size: int) -> list[Level]:
+def rule_table(spark: SparkSession, listed: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
+
+
+def build_cascade(universe: DataFrame, listed: Sequence[str], universe_size: int) -> list[Level] | None:
     """``universe``: distinct keys (column ``key``) of the corpus.  Level 0's false positives over it are found in one
-    distributed pass and kept in a table; the later levels read only that table and the list."""
+    distributed pass and kept in a table; the later levels read only that table and the list.  None if a level would exceed ``MAX_BITS``."""
     if not listed:
         return []
-    spark = universe.sparkSession
-    inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
-    rate = min(0.5, max(1e-9, len(set(listed)) / max(1, universe_size)))
-    levels = [build_level(inside, len(set(listed)), rate, 0)]
-    outside = universe.where(levels[0].holds(F.col("key")) & ~F.col("key").isin(sorted(set(listed))))
+    inside, n = rule_table(universe.sparkSession, listed), len(set(listed))
+    hashes = first_hashes(n, universe_size)
+    if bits_for(n, hashes) > MAX_BITS:
+        return None
+    levels = [build_level(inside, n, hashes, 0)]
+    outside = universe.where(levels[0].holds(F.col("key"))).join(inside, "key", "left_anti")
     sides = [materialize(outside.select("key"), "bloom-fp"), inside]
-    for depth in range(1, 200):
+    depth = 0
+    while True:
+        depth += 1
         members = sides[(depth + 1) % 2]
         n = members.count()
         if not n:
             return levels
-        levels.append(build_level(members, n, 0.25, depth))
+        if bits_for(n, LATER_HASHES) > MAX_BITS:
+            return None
+        levels.append(build_level(members, n, LATER_HASHES, depth))
         # those of the other side that pass this level are the next level's members
         sides[depth % 2] = sides[depth % 2].where(levels[-1].holds(F.col("key")))
-    raise ValueError("the cascade does not end; the key hash repeats itself")
 
 
 def is_listed(key: Column, levels: Sequence[Level]) -> Column:
@@ -116,32 +133,42 @@ def is_listed(key: Column, levels: Sequence[Level]) -> Column:
     return answer
 
 
+def longest_listed(keys: Column, levels: Sequence[Level]) -> Column:
+    """The longest of the keys that is listed, the first in order of several."""
+    fits = F.filter(keys, lambda k: is_listed(k, levels)) if levels else F.array().cast("array<string>")
+    return F.get(F.array_sort(F.transform(fits, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), 0).getField("k")
+
+
+def longest_joined(parsed: DataFrame, listed: Sequence[str], lengths: Sequence[int]) -> DataFrame:
+    """(host, path, found) of the pairs that a listed key fits, by a join of keys; for lists beyond ``MAX_BITS``."""
+    keys = parsed.distinct().select("host", "path", F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
+    hits = keys.join(rule_table(parsed.sparkSession, listed).hint("merge"), "key")
+    return hits.groupBy("host", "path").agg(F.min(F.struct((-F.length("key")).alias("n"), "key")).alias("m")).select("host", "path", F.col("m.key").alias("found"))
+
+
 def filter_urls(pages: DataFrame, block: Sequence[str], allow: Sequence[str], url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict.  ``rule``: the longest fitting rule or null; ``verdict``: that rule's, else
     ``default``.  A rule in both lists allows."""
-    rules = [*block, *allow]
-    if bad := [r for r in rules if "/" not in r]:
+    if bad := [r for r in [*block, *allow] if "/" not in r]:
         raise ValueError(f"rules need a path: {bad}")
-    lengths = [len(r) - r.index("/") for r in rules]
-    added = ("host", "path", "rule", "verdict")
-    url = F.col(f"`{url_col}`")
+    lengths = [len(r) - r.index("/") for r in [*block, *allow]]
+    url = column(url_col)
     parsed = pages.select(host_of(url).alias("host"), path_of(url).alias("path"))
     universe = materialize(parsed.distinct().select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct(), "url-keys")
     size = universe.count()
-    cascades = {"block": build_cascade(universe, block, size), "allow": build_cascade(universe, allow, size)}
-    keys = candidate_keys(host_of(url), path_of(url), lengths)
-
-    def longest(levels: list[Level]) -> Column:
-        fits = F.filter(keys, lambda k: is_listed(k, levels)) if levels else F.array().cast("array<string>")
-        return F.get(F.array_sort(F.transform(fits, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), 0).getField("k")
-
-    judged = pages.select(
-        *[F.col(f"`{c}`") for c in pages.columns if c.lower() not in added],
-        host_of(url).alias("host"), path_of(url).alias("path"), longest(cascades["block"]).alias("_block"), longest(cascades["allow"]).alias("_allow"),
+    names = fresh([*pages.columns, *ADDED], "host_", "path_", "block", "allow")
+    at_host, at_path, *sides = names
+    judged = pages.select("*", host_of(url).alias(at_host), path_of(url).alias(at_path))
+    for name, listed in zip(sides, (block, allow), strict=True):
+        levels = build_cascade(universe, listed, size)
+        if levels is None:
+            found = longest_joined(parsed, listed, lengths).toDF(at_host, at_path, name)
+            judged = judged.join(found, [at_host, at_path], "left").select(*[column(c) for c in judged.columns], column(name))
+        else:
+            judged = judged.withColumn(name, longest_listed(candidate_keys(column(at_host), column(at_path), lengths), levels))
+    blocked, allowed = (column(c) for c in sides)
+    passes = allowed.isNotNull() & (blocked.isNull() | (F.length(allowed) >= F.length(blocked)))
+    return judged.select(
+        *others(pages, ADDED), column(at_host).alias("host"), column(at_path).alias("path"), F.when(passes, allowed).otherwise(blocked).alias("rule"),
+        F.when(passes, "allow").when(blocked.isNotNull(), "block").otherwise(default).alias("verdict"),
     )
-    allowed = F.col("_allow").isNotNull() & (F.col("_block").isNull() | (F.length("_allow") >= F.length("_block")))
-    return (
-        judged.withColumn("rule", F.when(allowed, F.col("_allow")).otherwise(F.col("_block")))
-        .withColumn("verdict", F.when(allowed, "allow").when(F.col("_block").isNotNull(), "block").otherwise(default))
-        .drop("_block", "_allow")
-    )
