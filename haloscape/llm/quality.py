@@ -3,19 +3,21 @@
 Each document gets two histograms: character classes (lower case, upper case, digits, white space, the symbols
 ``#*$%&|<>``, other ASCII, other characters) and common words (those of ``COMMON_WORDS``, and one bin for all others).  A
 language's reference is the mean of the shares of its documents that pass the base rules and the length guard, over the
-whole corpus; a document is compared to each reference with the Jensen-Shannon distance (base 2, so 0 to 1) and the nearest
-reference counts.  The limit of the character distance is fixed; that of the word distance is each reference's own: the
-``WORD_QUANTILE`` of its documents' distances to it (in steps of 1 / ``STEPS``), but under the distance of a text that has none of
-the common words, so such a text is always too far.  Guards: a document under ``MIN_WORDS`` words is judged by the base rules only, and a language needs
-``MIN_DOCUMENTS`` documents to make a reference.  With no reference at all only the base rules hold.
+whole corpus, fitted twice: the second time without the share ``TRIM`` of documents that are farthest from the first reference in either
+histogram (in steps of 1 / ``STEPS``), so that junk doesn't shape what it is held against.  A document is compared to each reference with the Jensen-Shannon
+distance (base 2, so 0 to 1) and the nearest reference counts.  It is too far at a character distance over ``MAX_CHAR_DISTANCE``, or at a word distance
+over ``WORD_SHARE`` of that which a text without any of the common words has, so such a text is always too far.
+
+Guards: a document under ``MIN_WORDS`` words, whose histograms are mostly noise, is judged by the base rules only, and so is one in a language
+that no document makes a reference of.  With no reference at all only the base rules hold.
 
 Base rules: under 50 words fails; over half of the words in three-word windows that occur twice or more fails.
 
-Texts are read once: features go to a narrow table, from which both references (a row for each language named in
+Texts are read once: features go to a narrow table, from which references (a row for each language named in
 ``COMMON_WORDS``) and verdicts come.  Everything is per row or a sum by language, so no group of copies meets in one task.
 
-Defined results: null and blank texts have no words and fail the base rules; null or unknown languages make no reference but
-are judged like others; repeated rows are judged alike; columns of the input with an added column's name are replaced.
+Defined results: null and blank texts have no words and fail the base rules; a document without a language is judged by the nearest reference;
+repeated rows are judged alike; columns of the input with an added column's name are replaced, all others stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,21 +26,23 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, SPACES, UPPER, ascii_lower, let, materialize, white_words
+from .common import LOWER, SPACES, UPPER, ascii_lower, column, let, literal_array, materialize, others, white_words
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of each language.
 COMMON_WORDS = {
-    "en": ("the", "of", "and", "to", "in", "is", "that", "for", "with", "was"),
-    "de": ("der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "für"),
-    "fr": ("le", "les", "des", "et", "est", "pour", "dans", "qui", "sur", "au"),
-    "es": ("el", "los", "las", "y", "por", "con", "una", "su", "como", "más"),
+    "en": ("the", "of", "and", "to", "in", "is", "that", "for", "with", "was", "a", "it", "as", "on", "be", "by", "at", "from", "he", "his", "are", "this", "or", "an"),
+    "de": ("der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "für", "ist", "im", "dem", "nicht", "ein", "eine", "auf", "als", "auch", "es", "an", "werden", "aus", "er"),
+    "fr": ("le", "les", "des", "et", "est", "pour", "dans", "qui", "sur", "au", "de", "la", "un", "une", "du", "en", "que", "par", "il", "ne", "pas", "plus", "ce", "avec"),
+    "es": ("el", "los", "las", "y", "por", "con", "una", "su", "como", "más", "de", "la", "que", "en", "un", "se", "del", "para", "al", "lo", "es", "no", "a", "sus"),
 }
-MIN_WORDS = 50
-MIN_DOCUMENTS = 20
-MAX_CHAR_DISTANCE = 0.35
-WORD_QUANTILE = 0.99
+LISTED = tuple(dict.fromkeys(w for words in COMMON_WORDS.values() for w in words))
+MIN_WORDS = 60
+TRIM = 0.1
+MAX_CHAR_DISTANCE = 0.3
+WORD_SHARE = 0.85
 STEPS = 1000
 #: Window hashes are packed with their place: 44 bits of hash, 20 bits of place.
 PLACE_BITS = 20
@@ -108,12 +112,28 @@ def character_classes(text: Column) -> Column:
     return let(F.regexp_replace(text, f"[{LOWER[0]}-{LOWER[-1]}]+", ""), lambda r: let(rest(r), counts))
 
 
+def slots() -> tuple[int, dict[str, int]]:
+    """A modulus under which the hashes of the listed words differ, and each word's slot."""
+    import xxhash
+
+    hashes = {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in LISTED}
+    signed = {w: h - (1 << 64) if h >> 63 else h for w, h in hashes.items()}
+    size = next(m for m in range(len(LISTED), 1 << 20) if len({h % m for h in signed.values()}) == len(LISTED))
+    return size, {w: h % size for w, h in signed.items()}
+
+
 def common_words(words: Column) -> Column:
-    """Counts of each common word, then of all other words."""
-    listed = [w for ws in COMMON_WORDS.values() for w in ws]
-    found = F.filter(words, lambda w: (F.length(w) <= max(map(len, listed))) & ascii_lower(w).isin(listed))
-    lowered = F.transform(found, ascii_lower)
-    return let(lowered, lambda f: F.array(*[F.size(f) - F.size(F.array_remove(f, w)) for w in listed], F.size(words) - F.size(f)).cast("array<bigint>"))
+    """Counts of each listed word, then of all other words.  A word's hash names the only listed word that it can be."""
+    size, slot = slots()
+    word_at = {n: w for w, n in slot.items()}
+    held = literal_array([word_at.get(n, "") for n in range(size)], "string")
+    short = F.filter(words, lambda w: F.length(w) <= max(map(len, LISTED)))
+
+    def number(w: Column) -> Column:
+        return let(ascii_lower(w), lambda x: let(F.pmod(F.xxhash64(x), F.lit(size).cast("bigint")).cast("int"), lambda n: F.when(F.get(held, n) == x, n)))
+
+    found = F.filter(F.transform(short, number), lambda n: n.isNotNull())
+    return let(found, lambda f: F.array(*[F.size(f) - F.size(F.array_remove(f, F.lit(slot[w]))) for w in LISTED], F.size(words) - F.size(f)).cast("array<bigint>"))
 
 
 def shares(counts: Column) -> Column:
@@ -128,7 +148,7 @@ def js_distance(p: Column, q: list[float]) -> Column:
         m = (x + y) / 2
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0) + F.when(y > 0, y * F.log2(y / m)).otherwise(0.0)
 
-    terms = F.zip_with(p, F.array(*[F.lit(float(v)) for v in q]), part)
+    terms = F.zip_with(p, literal_array([float(v) for v in q], "double"), part)
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
@@ -141,37 +161,54 @@ def features(text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), lambda t: let(white_words(t), lambda w: of_words(t, w)))
 
 
-def measure(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    f = F.col("_f")
-    chars = f["chars"]
-    return (
-        documents.withColumn("_f", features(F.col(f"`{text_col}`")))
-        .withColumns({
-            "n_words": f["n_words"],
-            "word_chars": F.aggregate(chars, F.lit(0).cast("bigint"), lambda a, x: a + x) - F.get(chars, 3),
-            "n_symbols": F.get(chars, 4),
-            "n_dup_lines": f["n_dup_lines"],
-            "n_repeat_words": f["n_repeat_words"],
-            "_chars": chars,
-            "_common": f["common"],
-        })
-        .drop("_f")
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    )
+def measure(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", keep_text: bool = True) -> DataFrame:
+    """(row, lang, f, n_words, base_failed): nothing of the input can clash with what is added."""
+    plain = others(documents, ADDED if keep_text else (*ADDED, text_col))
+    f = F.col("f")
+    packed = documents.select(F.struct(*plain).alias("row") if plain else F.lit(True).alias("row"), column(lang_col).cast("string").alias("lang"), features(column(text_col).cast("string")).alias("f"))
+    return packed.withColumn("n_words", f["n_words"]).withColumn("base_failed", (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"]))
 
 
-def fitting(measured: DataFrame, lang_col: str) -> DataFrame:
+def fitting(measured: DataFrame) -> DataFrame:
     """The documents that references are made of."""
-    return measured.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS) & F.col(lang_col).isin(list(COMMON_WORDS)))
+    return measured.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS) & F.col("lang").isin(list(COMMON_WORDS)))
+
 
+Reference = tuple[list[float], list[float]]
 
-def references(measured: DataFrame, lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+
+def mean_shares(fit: DataFrame) -> dict[str, Reference]:
     """Language -> mean shares of character classes and of common words; a row for each language of ``COMMON_WORDS``."""
-    fit = fitting(measured, lang_col)
-    bins = {"c": 7, "w": sum(map(len, COMMON_WORDS.values())) + 1}
-    sides = fit.select(F.col(lang_col).alias("lang"), shares(F.col("_chars")).alias("c"), shares(F.col("_common")).alias("w"))
-    rows = sides.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get(k, i)).alias(f"{k}{i}") for k, m in bins.items() for i in range(m)]).collect()
-    return {r["lang"]: ([r[f"c{i}"] for i in range(bins["c"])], [r[f"w{i}"] for i in range(bins["w"])]) for r in sorted(rows, key=lambda r: r["lang"]) if r["n"] >= MIN_DOCUMENTS}
+    bins = {"c": 7, "w": len(LISTED) + 1}
+    sides = fit.select("lang", shares(F.col("f.chars")).alias("c"), shares(F.col("f.common")).alias("w"))
+    rows = sides.groupBy("lang").agg(*[F.avg(F.get(k, i)).alias(f"{k}{i}") for k, m in bins.items() for i in range(m)]).collect()
+    return {r["lang"]: ([r[f"c{i}"] for i in range(bins["c"])], [r[f"w{i}"] for i in range(bins["w"])]) for r in sorted(rows, key=lambda r: r["lang"])}
+
+
+def own_distances(fit: DataFrame, refs: dict[str, Reference]) -> DataFrame:
+    """Adds ``c`` and ``w``, the distances of a document to its own language's reference, in steps."""
+
+    def own(counts: str, side: int) -> Column:
+        return F.ceil(F.coalesce(*[F.when(F.col("lang") == k, js_distance(shares(F.col(counts)), v[side])) for k, v in refs.items()]) * STEPS)
+
+    return fit.withColumn("c", own("f.chars", 0)).withColumn("w", own("f.common", 1))
+
+
+def near_steps(rows: DataFrame) -> dict[str, dict[str, int]]:
+    """Language -> "c" and "w" -> the step that all but ``TRIM`` of its documents lie under; a row for each language and step comes to the driver."""
+    found: dict[str, dict[str, int]] = {}
+    for side in ("c", "w"):
+        counts: dict[str, dict[int, int]] = {}
+        for r in rows.groupBy("lang", F.col(side).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r["lang"], {})[r["step"]] = r["n"]
+        for lang, n in counts.items():
+            seen, total = 0, sum(n.values())
+            for step in sorted(n):
+                seen += n[step]
+                if seen >= (1 - TRIM) * total:
+                    found.setdefault(lang, {})[side] = step
+                    break
+    return found
 
 
 def distance_without(q: list[float]) -> float:
@@ -180,43 +217,47 @@ def distance_without(q: list[float]) -> float:
     return math.sqrt((math.log2(2 / (1 + rest)) + (rest * math.log2(2 * rest / (1 + rest)) if rest else 0) + 1 - rest) / 2)
 
 
-def word_limits(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]], lang_col: str = "lang") -> dict[str, float]:
-    """Language -> the largest word distance that is near enough; a row for each language and step of distance comes to the driver."""
-    if not refs:
+def word_limit(q: list[float]) -> float:
+    """The word distance that is too far; 1, which nothing exceeds, for a reference that has next to no common words itself."""
+    most = distance_without(q)
+    return WORD_SHARE * most if most > 0.1 else 1.0
+
+
+def references(measured: DataFrame) -> dict[str, Reference]:
+    """Language -> its reference, without the documents that are farthest from the mean of all."""
+    fit = fitting(measured)
+    first = mean_shares(fit)
+    if not first:
         return {}
-    own = F.coalesce(*[F.when(F.col(lang_col) == k, js_distance(F.col("_pw"), v[1])) for k, v in refs.items()])
-    steps = fitting(measured, lang_col).withColumn("_pw", shares(F.col("_common"))).select(F.col(lang_col).alias("lang"), F.ceil(own * STEPS).alias("step")).where("step is not null")
-    counts = {k: {} for k in refs}
-    for r in steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[r["lang"]][r["step"]] = r["n"]
-    limits = {}
-    for k, n in counts.items():
-        seen, total = 0, sum(n.values())
-        for step in sorted(n):
-            seen += n[step]
-            if seen >= WORD_QUANTILE * total:
-                limits[k] = min(step / STEPS, distance_without(refs[k][1]) - 1e-9)
-                break
-    return limits
-
-
-def judge(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]], limits: dict[str, float]) -> DataFrame:
-    """Adds the nearest reference, its distances and ``kept``."""
+    rows = own_distances(fit, first)
+    near = F.lit(False)
+    for lang, at in near_steps(rows).items():
+        near = near | ((F.col("lang") == lang) & (F.col("c") <= at["c"]) & (F.col("w") <= at["w"]))
+    return first | mean_shares(rows.where(near).select("lang", "f"))
+
+
+def judge(measured: DataFrame, refs: dict[str, Reference]) -> DataFrame:
+    """The input's columns, the base counts, the nearest reference, its distances and ``kept``."""
+    kind = "struct<d:double,lang:string,c:double,w:double,most:double>"
     if refs:
-        near = F.array_min(F.array(*[F.struct((c + w).alias("d"), F.lit(k).alias("lang"), c.alias("c"), w.alias("w"), F.lit(limits[k]).alias("most")) for k, c, w in ((k, js_distance(F.col("_pc"), v[0]), js_distance(F.col("_pw"), v[1])) for k, v in refs.items())]))
-        measured = measured.withColumn("_pc", shares(F.col("_chars"))).withColumn("_pw", shares(F.col("_common"))).withColumn("_near", near).drop("_pc", "_pw")
+        distances = [(k, js_distance(F.col("pc"), v[0]), js_distance(F.col("pw"), v[1])) for k, v in refs.items()]
+        nearest = F.array_min(F.array(*[F.struct((c + w).alias("d"), F.lit(k).alias("lang"), c.alias("c"), w.alias("w"), F.lit(word_limit(refs[k][1])).alias("most")) for k, c, w in distances]))
     else:
-        measured = measured.withColumn("_near", F.lit(None).cast("struct<d:double,lang:string,c:double,w:double,most:double>"))
-    near, long_enough = F.col("_near"), F.col("n_words") >= MIN_WORDS
-    far = F.coalesce(long_enough & ((near["c"] > MAX_CHAR_DISTANCE) | (near["w"] > near["most"])), F.lit(False))
-    return measured.withColumns({"language_seen": near["lang"], "char_distance": near["c"], "word_distance": near["w"], "kept": ~F.col("base_failed") & ~far}).drop("_near", "_chars", "_common")
+        nearest = F.lit(None).cast(kind)
+    measured = measured.withColumn("pc", shares(F.col("f.chars"))).withColumn("pw", shares(F.col("f.common"))).withColumn("near", nearest)
+    near, f, chars = F.col("near"), F.col("f"), F.col("f.chars")
+    judged = (F.col("n_words") >= MIN_WORDS) & (F.col("lang").isNull() | F.col("lang").isin(list(refs)))
+    far = F.coalesce(judged & ((near["c"] > MAX_CHAR_DISTANCE) | (near["w"] > near["most"])), F.lit(False))
+    has_row = isinstance(measured.schema["row"].dataType, T.StructType)
+    return measured.select(
+        *([F.col("row.*")] if has_row else []), "n_words", (F.aggregate(chars, F.lit(0).cast("bigint"), lambda a, x: a + x) - F.get(chars, 3)).alias("word_chars"), F.get(chars, 4).alias("n_symbols"),
+        f["n_dup_lines"].alias("n_dup_lines"), f["n_repeat_words"].alias("n_repeat_words"), "base_failed", (~F.col("base_failed") & ~far).alias("kept"),
+        near["lang"].alias("language_seen"), near["c"].alias("char_distance"), near["w"].alias("word_distance"),
+    )
 
 
 def quality(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", keep_text: bool = True) -> DataFrame:
     """``documents`` with the base counts, the distances and ``kept``.  Without ``keep_text`` the table between the two passes, and
     the result, lack the text."""
-    plain = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in ADDED])
-    measured = measure(plain, text_col)
-    measured = materialize(measured if keep_text else measured.drop(text_col), "quality")
-    refs = references(measured, lang_col)
-    return judge(measured, refs, word_limits(measured, refs, lang_col))
+    measured = materialize(measure(documents, text_col, lang_col, keep_text), "quality")
+    return judge(measured, references(measured))
