@@ -6,26 +6,29 @@ exactly these two: the pair-compatibility test, whose answers are kept in a tabl
 back and a place that proved a dead end is never tried again; so each place is left at most once and the time is linear.  The
 result is that of applying the merges in order.  Decoding looks each id up in a table of offsets into one string of all tokens.
 
-The tokenizer file (JSON of the ``tokenizers`` library) is a parameter; the driver reads it and broadcasts its bytes (size checked).  Supported
+The tokenizer file (JSON of the ``tokenizers`` library) is a parameter; the driver reads it and broadcasts its bytes, up to ``MAX_FILE`` of them; a
+larger file is fetched by each executor once, as a file of the application.  Supported
 files: BPE with an end-of-word suffix, normalised by NFC, white space to one space, and lower case; pieces by the
 file's split pattern, then mapped byte by byte.  Without a decoder in the file, decoded tokens are joined by a space.  Special
 tokens in a text become their own ids, as in the library.
 
-Defined results: a null text is encoded as an empty one (no tokens, empty decoded text); every row gives a row; columns named
-like an added one are replaced.
+Defined results: a null text is encoded as an empty one (no tokens, empty decoded text); every row gives a row, repeated rows repeated; columns named
+like an added one are replaced, unless it is the text's own, which is an error; all others stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import others
+
 MAX_FILE = 64 << 20
 #: Encoded words that a task remembers: the first so many that it sees, which common words are among.
 MAX_WORDS = 500_000
@@ -188,25 +191,40 @@ def loaded(data: bytes) -> Bpe:
     return Bpe(data)
 
 
+def tokenizer_bytes(spark: SparkSession, tokenizer_file: str) -> Callable[[], bytes]:
+    """What gives the file's bytes on an executor."""
+    if os.path.getsize(tokenizer_file) > MAX_FILE:
+        spark.sparkContext.addFile(tokenizer_file)
+        name = os.path.basename(tokenizer_file)
+
+        def fetched() -> bytes:
+            from pyspark import SparkFiles
+
+            with open(SparkFiles.get(name), "rb") as f:
+                return f.read()
+
+        return fetched
+    with open(tokenizer_file, "rb") as f:
+        sent = spark.sparkContext.broadcast(f.read())
+    return lambda: sent.value
+
+
 def tokenize(documents: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
     """``documents`` with ``token_ids`` (array of int) and ``decoded`` (text of these ids)."""
-    spark = documents.sparkSession
-    with open(tokenizer_file, "rb") as f:
-        data = f.read(MAX_FILE + 1)
-    if len(data) > MAX_FILE:
-        raise ValueError(f"{tokenizer_file} exceeds {MAX_FILE} bytes")
-    sent = spark.sparkContext.broadcast(data)
-    plain = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in ADDED])
+    held = tokenizer_bytes(documents.sparkSession, tokenizer_file)
+    plain = documents.select(*others(documents, ADDED))
     if text_col.lower() in ADDED:
         raise ValueError(f"the text's column can't be called {text_col}")
     at = plain.columns.index(text_col)
+    names = plain.columns
+    plain = plain.toDF(*[f"c{i}" for i in range(len(names))])  # Arrow stages take no names with dots
     schema = T.StructType([*plain.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        bpe = loaded(sent.value)
+        bpe = loaded(held())
         try:
             for batch in batches:
                 for start in range(0, batch.num_rows, 256):
@@ -223,4 +241,4 @@ def tokenize(documents: DataFrame, tokenizer_file: str, text_col: str = "text")
             bpe.words.clear()
             bpe.compatible.clear()
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names, *ADDED)
