@@ -1,16 +1,18 @@
 """License scans: diagonal voting on word k-grams, and named phrases.
 
 All rolling k-gram hashes of a text are joined to the positions of the templates' k-grams.  A match votes for the diagonal
-place in the text minus place in the template; votes are summed by document, template and diagonal, diagonals at most
-``SLACK`` apart are merged, and a merged span is verified: the share of the template's k-grams that it holds must reach
-``COVERAGE`` and its length may not exceed the template's by more than the slack allows.  Two independent 64-bit hashes stand for a k-gram.
+place in the text minus place in the template; votes are gathered by document, template and diagonal, diagonals at most
+``SLACK`` apart are merged, and a merged span is verified: the share of the template's k-gram places that it holds must reach
+``COVERAGE`` and its length may not exceed the template's by more than the slack allows.  A place of the template counts once, however often a text or
+the table repeats it.  Two independent 64-bit hashes stand for a k-gram.
 
 Phrases (``PHRASES``) are found as whole words in a row; they need no vote.
 
-The templates' k-grams are a fixed list (size checked) and go to all executors, so the rolling hashes aren't shuffled; only votes, already summed in each task, are.
+Templates of ``MAX_GRAMS`` words at most go to all executors, so the rolling hashes aren't shuffled; more are joined by a shuffle, with the
+same result.  Votes are gathered in each task before they are shuffled, as sets of the template's places.
 
-Defined results: null and empty texts have no words, labels or score above 0; rows that share id and text share their
-labels; added columns replace input columns of the same name.
+Defined results: null and empty texts have no words, labels or score above 0; a document is known by its id and its text, so repeated rows and texts
+under one id get what each would get alone; added columns replace input columns of the same name, all others stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, plain_word_array, plain_words
+from .common import column, fresh, let, others, plain_word_array, plain_words
 
 K = 5
 SLACK = 4
 COVERAGE = 0.6
 MAX_GRAMS = 100_000
-ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "license_spans")
 #: Phrase -> label.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Passages of well-known public licenses and notices.
@@ -45,10 +47,6 @@ def grams(words: Column, k: int = K) -> Column:
     )
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    return [F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_th")]
-
-
 def template_grams(documents: DataFrame, templates: dict[str, str]) -> DataFrame:
     rows = documents.sparkSession.createDataFrame(sorted(templates.items()), "label string, t string")
     words = rows.select("label", let(plain_words(F.col("t")), plain_word_array).alias("w"))
@@ -56,21 +54,21 @@ def template_grams(documents: DataFrame, templates: dict[str, str]) -> DataFrame
 
 
 def vote(documents: DataFrame, id_col: str, text_col: str, templates: dict[str, str]) -> DataFrame:
-    """(_id, _th, found): the templates in each text that has any, with their coverage and span in words."""
+    """(id, th, voted, coverage, license_spans): the templates in each text that has any, with the best coverage and the spans in words."""
     known = template_grams(documents, templates)
-    if sum(len(t.split()) for t in templates.values()) > MAX_GRAMS:
-        raise ValueError(f"templates of over {MAX_GRAMS} words aren't sent to all executors")
-    rolled = documents.select(*row_key(id_col, text_col), F.posexplode(let(let(plain_words(F.col(f"`{text_col}`")), plain_word_array), lambda w: grams(w))).alias("pos", "x"))
-    rolled = rolled.select("_id", "_th", "pos", F.col("x.h").alias("h"), F.col("x.g").alias("g"))
-    hits = rolled.join(F.broadcast(known), ["h", "g"]).withColumn("diagonal", F.col("pos") - F.col("at"))
-    by = ["_id", "_th", "label"]
-    lines = hits.groupBy(*by, "diagonal", "n_grams").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count(F.lit(1)).alias("votes"))
-    order = Window.partitionBy(*by).orderBy("diagonal")
+    if sum(len(t.split()) for t in templates.values()) <= MAX_GRAMS:
+        known = F.broadcast(known)
+    text = column(text_col)
+    rolled = documents.select(column(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(let(let(plain_words(text), plain_word_array), lambda w: grams(w))).alias("pos", "x"))
+    rolled = rolled.select("id", "th", "pos", F.col("x.h").alias("h"), F.col("x.g").alias("g"))
+    hits = rolled.join(known, ["h", "g"]).withColumn("diagonal", F.col("pos") - F.col("at"))
+    by = ["id", "th", "label", "n_grams"]
+    lines = hits.groupBy(*by, "diagonal").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("at").alias("seen"))
+    order = Window.partitionBy("id", "th", "label").orderBy("diagonal")
     merged = lines.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > SLACK).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    spans = merged.groupBy(*by, "run", "n_grams").agg(F.min("lo").alias("lo"), (F.max("hi") + K).alias("hi"), F.sum("votes").alias("votes"))
-    coverage = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    verified = spans.withColumn("coverage", coverage).where((F.col("coverage") >= COVERAGE) & (F.col("hi") - F.col("lo") <= 2 * (F.col("n_grams") + K)))
-    return verified.groupBy("_id", "_th").agg(F.collect_set("label").alias("voted"), F.max("coverage").alias("coverage"), F.sort_array(F.collect_set(F.struct("lo", "hi", "label"))).alias("license_spans"))
+    spans = merged.groupBy(*by, "run").agg(F.min("lo").alias("lo"), (F.max("hi") + K).alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"))
+    verified = spans.withColumn("coverage", F.col("votes") / F.col("n_grams")).where((F.col("coverage") >= COVERAGE) & (F.col("hi") - F.col("lo") <= 2 * (F.col("n_grams") + K)))
+    return verified.groupBy("id", "th").agg(F.collect_set("label").alias("voted"), F.max("coverage").alias("coverage"), F.sort_array(F.collect_set(F.struct("lo", "hi", "label"))).alias("license_spans"))
 
 
 def places(framed: Column) -> Column:
@@ -98,15 +96,16 @@ def places(framed: Column) -> Column:
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """``documents`` with the counts, labels and score; ``license_spans`` are the templates' spans in words."""
-    plain = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in (*ADDED, "license_spans")])
-    framed = plain_words(F.col(f"`{text_col}`"))
+    text = column(text_col)
     n_words = lambda f: F.when(f == " ", F.lit(0)).otherwise(F.length(f) - F.length(F.replace(f, F.lit(" "), F.lit(""))) - 1).cast("bigint")
-    based = plain.withColumn("_b", let(framed, lambda f: F.struct(n_words(f).alias("n_words"), places(f).alias("p")))).withColumn("_th2", F.xxhash64(F.col(f"`{text_col}`")))
-    voted = vote(plain, id_col, text_col, templates)
-    joined = based.join(voted, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_th2") == F.col("_th")), "left")
-    p, none = F.col("_b.p"), F.array().cast("array<string>")
-    return joined.withColumns({
-        "n_words": F.col("_b.n_words"), "n_base": p["n"], "first_word": p["first"], "last_word": p["last"], "base_labels": F.array_join(p["labels"], ","),
-        "labels": F.array_join(F.array_sort(F.array_union(p["labels"], F.coalesce("voted", none))), ","),
-        "score": F.greatest(F.coalesce("coverage", F.lit(0.0)), F.when(p["n"] > 0, F.lit(0.5)).otherwise(0.0)),
-    }).drop("_b", "_th", "_th2", "_id", "voted", "coverage")
+    base = let(plain_words(text), lambda f: F.struct(n_words(f).alias("n_words"), places(f).alias("p")))
+    base_at, id_at, hash_at = fresh([*documents.columns, *ADDED, "id", "th", "voted", "coverage"], "base", "key_id", "key_hash")
+    based = documents.select(*others(documents, ADDED), base.alias(base_at), column(id_col).alias(id_at), F.xxhash64(text).alias(hash_at))
+    voted = vote(documents, id_col, text_col, templates).alias("v")
+    joined = based.alias("b").join(voted, F.col(f"b.{id_at}").eqNullSafe(F.col("v.id")) & (F.col(f"b.{hash_at}") == F.col("v.th")), "left")
+    p, none = F.col(f"b.{base_at}.p"), F.array().cast("array<string>")
+    return joined.select(
+        *[F.col("b.`" + c.replace("`", "``") + "`") for c in based.columns[: len(based.columns) - 3]], F.col(f"b.{base_at}.n_words").alias("n_words"), p["n"].alias("n_base"), p["first"].alias("first_word"), p["last"].alias("last_word"),
+        F.array_join(p["labels"], ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(p["labels"], F.coalesce("v.voted", none))), ",").alias("labels"),
+        F.greatest(F.coalesce("v.coverage", F.lit(0.0)), F.when(p["n"] > 0, F.lit(0.5)).otherwise(0.0)).alias("score"), F.col("v.license_spans").alias("license_spans"),
+    )
