@@ -1,9 +1,9 @@
 """Chat formatting: canonical turns by schema fingerprint, and a reversible template with a loss mask.
 
-Records of any layout come as a VARIANT column.  Of the nested field paths that the declared layouts name, those a record
-has are hashed to its fingerprint, and the fingerprint selects the layout's declarative mapping to canonical turns (order,
-role, text).  Fields that no layout names don't matter.  A record whose fingerprint no layout has gives no turns and
-carries a null ``layout``.
+Records of any layout come as a VARIANT column.  A layout declares the nested field paths that it is told by; their hash is its fingerprint.  Of
+these paths those that a record has are hashed, and the layout whose fingerprint comes out maps the record to canonical turns (order,
+role, text).  Of several layouts that fit, the one with most paths counts, then the first; so fields that a layout doesn't name, and those of less
+specific layouts, don't matter.  A record that no layout fits has no turns and a null ``layout``, and its conversation stays.
 
 Template: a turn is ``<|role|>text<|end|>``.  In texts a backslash becomes ``\\b`` and ``<|`` becomes ``<\\p``; in roles a
 backslash becomes ``\\b`` and ``|`` becomes ``\\p``.  So ``<|`` only ever opens a mark, ``|>`` closes the first of a turn,
@@ -12,7 +12,9 @@ and both replacements can be undone.  The loss mask lists the spans (code points
 A conversation is one formatted string, so its turns meet in one row; nothing else is gathered.
 
 Defined results: null roles and texts are empty; turns are ordered by turn (null first), then role, then text, and repeated
-rows are repeated turns; rows with a null conversation id form one conversation; an empty table gives an empty table.
+rows are repeated turns; rows with a null conversation id form one conversation; a null record, like one without a known layout, adds no turn and
+counts in ``n_unmapped``; a conversation without turns is an empty string; of the input's other columns none is returned by
+``format_conversations``, all by ``canonical_turns`` but those named like its own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import column, fresh, let, others
 
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
@@ -44,28 +46,43 @@ class Layout:
     roles: dict[str, str] = field(default_factory=dict)
 
 
+HUMAN = {"human": "user", "gpt": "assistant"}
 LAYOUTS = (
     Layout("row", ("$.role", "$.text", "$.turn"), role="$.role", text="$.text", order="$.turn"),
     Layout("messages", ("$.messages", "$.messages[0].content", "$.messages[0].role"), each="$.messages", role="$.role", text="$.content"),
-    Layout("from-value", ("$.conversations", "$.conversations[0].from", "$.conversations[0].value"), each="$.conversations", role="$.from", text="$.value", roles={"human": "user", "gpt": "assistant"}),
+    Layout("messages-text", ("$.messages", "$.messages[0].role", "$.messages[0].text"), each="$.messages", role="$.role", text="$.text"),
+    Layout("from-value", ("$.conversations", "$.conversations[0].from", "$.conversations[0].value"), each="$.conversations", role="$.from", text="$.value", roles=HUMAN),
+    Layout("conversations", ("$.conversations", "$.conversations[0].content", "$.conversations[0].role"), each="$.conversations", role="$.role", text="$.content"),
+    Layout("system-instruction-input", ("$.input", "$.instruction", "$.output", "$.system"), parts=(("system", ("$.system",)), ("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
+    Layout("system-instruction", ("$.instruction", "$.output", "$.system"), parts=(("system", ("$.system",)), ("user", ("$.instruction",)), ("assistant", ("$.output",)))),
+    Layout("instruction-input", ("$.input", "$.instruction", "$.output"), parts=(("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
+    Layout("system-prompt-completion", ("$.completion", "$.prompt", "$.system"), parts=(("system", ("$.system",)), ("user", ("$.prompt",)), ("assistant", ("$.completion",)))),
+    Layout("system-prompt-response", ("$.prompt", "$.response", "$.system"), parts=(("system", ("$.system",)), ("user", ("$.prompt",)), ("assistant", ("$.response",)))),
     Layout("prompt-completion", ("$.completion", "$.prompt"), parts=(("user", ("$.prompt",)), ("assistant", ("$.completion",)))),
     Layout("prompt-response", ("$.prompt", "$.response"), parts=(("user", ("$.prompt",)), ("assistant", ("$.response",)))),
     Layout("instruction", ("$.instruction", "$.output"), parts=(("user", ("$.instruction",)), ("assistant", ("$.output",)))),
-    Layout("instruction-input", ("$.input", "$.instruction", "$.output"), parts=(("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
-    Layout("system-instruction", ("$.instruction", "$.output", "$.system"), parts=(("system", ("$.system",)), ("user", ("$.instruction",)), ("assistant", ("$.output",)))),
+    Layout("instruction-response", ("$.instruction", "$.response"), parts=(("user", ("$.instruction",)), ("assistant", ("$.response",)))),
+    Layout("question-answer", ("$.answer", "$.question"), parts=(("user", ("$.question",)), ("assistant", ("$.answer",)))),
+    Layout("messages-open", ("$.messages",), each="$.messages", role="$.role", text="$.content"),
+    Layout("conversations-open", ("$.conversations",), each="$.conversations", role="$.from", text="$.value", roles=HUMAN),
 )
 
 
-def known_paths(layouts: Sequence[Layout]) -> list[str]:
-    return sorted({p for layout in layouts for p in layout.paths})
+def by_fit(layouts: Sequence[Layout]) -> list[Layout]:
+    """The layouts with most paths first."""
+    return sorted(layouts, key=lambda layout: -len(layout.paths))
 
 
-def fingerprint(record: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
-    """Hash of those known field paths that the record has."""
-    has = [F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in known_paths(layouts)]
+def fingerprint(record: Column, layout: Layout) -> Column:
+    """Hash of those of the layout's paths that the record has."""
+    has = [F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in sorted(layout.paths)]
     return F.xxhash64(F.concat_ws(",", *has))
 
 
+def fits(record: Column, layout: Layout) -> Column:
+    return record.isNotNull() & (fingerprint(record, layout) == F.xxhash64(F.lit(",".join(sorted(layout.paths)))))
+
+
 def as_text(record: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(record, path, "string"), F.lit(""))
 
@@ -90,18 +107,22 @@ def mapped(record: Column, layout: Layout) -> Column:
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """``records`` with ``layout`` (name or null) and ``turns``, its canonical turns (none for an unknown layout)."""
-    record, print_ = F.col(record_col), F.col("_print")
+    record, ordered = column(record_col), by_fit(layouts)
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for layout in layouts:
-        hit = print_ == F.xxhash64(F.lit(",".join(sorted(layout.paths))))
-        name, turns = F.when(hit, layout.name).otherwise(name), F.when(hit, mapped(record, layout)).otherwise(turns)
-    return records.withColumn("_print", fingerprint(record, layouts)).withColumns({"layout": name, "turns": turns}).drop("_print")
+    held = fresh(records.columns, "layout_")[0]
+    for layout in reversed(ordered):
+        name = F.when(fits(record, layout), layout.name).otherwise(name)
+    for layout in ordered:
+        turns = F.when(column(held) == layout.name, mapped(record, layout)).otherwise(turns)
+    named = records.withColumn(held, name)
+    return named.select(*others(records, ("layout", "turns")), column(held).alias("layout"), turns.alias("turns"))
 
 
 def gather(turned: DataFrame, by: str) -> DataFrame:
-    """One row for each value of ``by`` with all its turns in order; columns ``by`` and ``turns``."""
-    one = turned.select(F.col(f"`{by}`"), F.explode("turns").alias("t"))
-    return one.groupBy(by).agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    """One row for each value of ``by`` with all its turns in order; columns ``by``, ``turns`` and ``n_unmapped``, the records without a known layout."""
+    one = turned.select(column(by).alias("by"), F.col("layout").isNull().alias("unmapped"), F.posexplode_outer("turns").alias("place", "t"))
+    unmapped = F.sum(F.col("unmapped").cast("bigint"))
+    return one.groupBy("by").agg(F.sort_array(F.collect_list("t")).alias("turns"), unmapped.alias("n_unmapped")).withColumnRenamed("by", by)
 
 
 def escape_text(text: Column) -> Column:
@@ -133,11 +154,12 @@ def format_turns(gathered: DataFrame) -> DataFrame:
         end = begin + F.length(t["body"])
         return F.struct((end + len(END)).alias("at"), F.when(t["loss"], F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
 
+    held = fresh(gathered.columns, "marked")[0]
     return (
-        gathered.withColumn("_marked", marked)
-        .withColumn("formatted", F.array_join(F.transform("_marked", lambda t: F.concat(t["head"], t["body"], F.lit(END))), ""))
-        .withColumn("loss_mask", F.aggregate("_marked", start, step, lambda acc: acc["spans"]))
-        .drop("_marked")
+        gathered.withColumn(held, marked)
+        .withColumn("formatted", F.array_join(F.transform(held, lambda t: F.concat(t["head"], t["body"], F.lit(END))), ""))
+        .withColumn("loss_mask", F.aggregate(held, start, step, lambda acc: acc["spans"]))
+        .drop(held)
     )
 
 
@@ -158,5 +180,5 @@ def read_loss(formatted: Column, mask: Column) -> Column:
 
 
 def format_conversations(records: DataFrame, by: str, record_col: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """Columns ``by``, turns, formatted, loss_mask."""
+    """Columns ``by``, turns, n_unmapped, formatted, loss_mask."""
     return format_turns(gather(canonical_turns(records, record_col, layouts), by))
