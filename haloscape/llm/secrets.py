@@ -4,13 +4,14 @@ From each rule's regular expression a Boolean query over lower-case trigrams is
 contain (in runs of characters that the expression fixes) give an AND of alternatives, each of which is an AND of trigrams.
 The index holds a posting (trigram, document) for each trigram that some query asks for; postings of a document are
 intersected by grouping, and a rule is a candidate if its query holds.  Rules without mandatory trigrams scan every text.
-Candidates only ever save work: every span comes from the rule's expression on the whole text.
+Candidates only ever save work: every span comes from the rule's expression on the whole text.  The candidates' table, which carries no text, is counted;
+up to ``MAX_CANDIDATES`` rows of it are sent to all executors, so texts aren't shuffled, and a larger one is joined by a shuffle, with the same result.
 
 Spans are leftmost, non-overlapping by kind, in code points with exclusive ends; matches that fail their length rule are
 dropped after matching.
 
-Defined results: a null text is empty and has no spans; rows that share a document id share candidates (a superset, since
-texts are verified) and are scanned each on its own; null ids too; columns named like added ones are replaced.
+Defined results: a null text is empty and has no spans (its redacted text stays null); a document is known by its id and its text, so repeated rows, null ids and texts
+under one id get what each would get alone; added columns replace input columns of the same name, all others stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import column, fresh, let, materialize, others
 
 ADDED = ("spans", "redacted")
+MAX_CANDIDATES = 500_000
+#: Spans are located block by block, as arrays are copied when they grow.
+BLOCK = 256
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 #: Runs of fixed characters are followed through alternatives up to so many strings; beyond, the run ends there.
 MAX_STRINGS = 64
@@ -53,6 +57,17 @@ MORE_RULES = (
     Rule("google", "AIza[0-9A-Za-z_-]{35}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}"),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github-fine", "github_pat_[A-Za-z0-9_]{82}"),
+    Rule("gitlab", "glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("stripe", "[rs]k_(?:live|test)_[A-Za-z0-9]{24,}"),
+    Rule("sendgrid", "SG\\.[A-Za-z0-9_-]{22}\\.[A-Za-z0-9_-]{43}"),
+    Rule("npm", "npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", "pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}"),
+    Rule("google-oauth", "ya29\\.[0-9A-Za-z_-]{20,}"),
+    Rule("slack-hook", "hooks\\.slack\\.com/services/T[A-Za-z0-9_]+/B[A-Za-z0-9_]+/[A-Za-z0-9_]{20,}"),
+    Rule("mailgun", "key-[0-9a-zA-Z]{32}"),
+    Rule("bearer", "Bearer\\x20+[A-Za-z0-9_.~+/-]{24,}=*"),
+    Rule("url-password", "://[A-Za-z0-9_.~-]+:[^\\x00-\\x20/@:]{6,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -117,14 +132,15 @@ def required(regex: str) -> list[list[frozenset[str]]]:
 
 
 def index(documents: DataFrame, wanted: Sequence[str], id_col: str, text_col: str) -> DataFrame:
-    """Postings (id, t) of the wanted trigrams, by their number."""
-    low = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    """Postings (id, th, t) of the wanted trigrams, by their number."""
+    text = column(text_col)
+    low = F.lower(F.coalesce(text, F.lit("")))
     hits = let(low, lambda x: F.array_compact(F.array(*[F.when(F.contains(x, F.lit(t)), F.lit(n)) for n, t in enumerate(wanted)])))
-    return documents.select(F.col(f"`{id_col}`").alias("_id"), F.explode(hits).alias("t"))
+    return documents.select(column(id_col).alias("id"), F.xxhash64(text).alias("th"), F.explode(hits).alias("t"))
 
 
 def candidates(documents: DataFrame, rules: Sequence[Rule], id_col: str, text_col: str) -> DataFrame:
-    """(_id, _rules): the numbers of the rules whose queries hold; documents with none are left out."""
+    """(id, th, rules): the numbers of the rules whose queries hold; documents with none are left out."""
     queries = {n: q for n, r in enumerate(rules) if (q := required(r.regex))}
     wanted = sorted({t for q in queries.values() for alternatives in q for s in alternatives for t in s})
     number = {t: n for n, t in enumerate(wanted)}
@@ -142,7 +158,7 @@ def candidates(documents: DataFrame, rules: Sequence[Rule], id_col: str, text_co
         return met
 
     found = F.array_compact(F.array(*[F.when(holds(q), F.lit(n)) for n, q in queries.items()]))
-    return postings.groupBy("_id").agg(F.collect_set("t").alias("has")).select("_id", found.alias("_rules")).where(F.size("_rules") > 0)
+    return postings.groupBy("id", "th").agg(F.collect_set("t").alias("has")).select("id", "th", found.alias("rules")).where(F.size("rules") > 0)
 
 
 def matches(text: Column, rule: Rule, kind: int) -> Column:
@@ -150,7 +166,9 @@ def matches(text: Column, rule: Rule, kind: int) -> Column:
     whole, gaps = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.split(text, rule.regex, -1)
     part = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), F.length) if rule.group else None
     none = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+
+    def start(at: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -160,8 +178,16 @@ def matches(text: Column, rule: Rule, kind: int) -> Column:
 
     def located(m: Column) -> Column:
         lengths = F.transform(m, lambda x: F.length(x))
-        steps = F.transform(F.arrays_zip(lengths.alias("len"), F.transform(gaps, lambda g: F.length(g)).alias("gap"), (part if part is not None else lengths).alias("part")), lambda x: F.struct(x["len"].alias("len"), x["gap"].alias("gap"), x["part"].alias("part")))
-        return F.aggregate(F.slice(steps, 1, F.size(m)), start, step, lambda acc: acc["out"])
+        zipped = F.arrays_zip(lengths.alias("len"), F.transform(gaps, lambda g: F.length(g)).alias("gap"), (part if part is not None else lengths).alias("part"))
+
+        def blocks(steps: Column) -> Column:
+            def block(acc: Column, b: Column) -> Column:
+                done = F.aggregate(F.slice(steps, b * BLOCK + 1, BLOCK), start(acc["at"]), step)
+                return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], d["out"]).alias("out")))
+
+            return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), start(F.lit(0)), block, lambda acc: acc["out"])
+
+        return let(F.slice(F.transform(zipped, lambda x: F.struct(x["len"].alias("len"), x["gap"].alias("gap"), x["part"].alias("part"))), 1, F.size(m)), blocks)
 
     return let(whole, lambda m: F.when(F.size(m) == 0, none).otherwise(located(m)))
 
@@ -175,30 +201,45 @@ def narrowed(rule: Rule) -> Rule:
 
 
 def redact(text: Column, spans: Column, mark: str) -> Column:
-    """The text with every run of overlapping spans replaced by the mark."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    """The text with every run of overlapping or touching spans replaced by the mark.  ``spans`` are sorted; runs are told by the
+    furthest end so far, and each piece between runs is cut from the text once."""
+
+    def runs(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        alone = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        touches = (F.size(acc) > 0) & (s["start"] <= last["end"])
+        return F.when(touches, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
+
+    merged = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), runs)
+
+    def cut(m: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            begin = F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+            return F.concat(F.substr(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.lit(mark))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
-        fresh = (s["start"] >= acc["at"]) & ((s["start"] > acc["at"]) | (acc["out"] == ""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between, F.when(fresh, mark).otherwise("")).alias("out"))
+        return F.concat(F.array_join(F.transform(m, piece), ""), F.substr(text, (F.try_element_at(m, F.lit(-1))["end"] + 1).cast("int")))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    return F.when(F.size(spans) == 0, text).otherwise(let(merged, cut))
 
 
 def scan(documents: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with ``spans`` (start, number of the rule, end; sorted) and ``redacted``, the text without them."""
-    plain = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in ADDED])
-    picked = candidates(plain, rules, id_col, text_col)
-    joined = plain.join(picked, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
-    text, none = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.array().cast(SPANS)
-    found = []
+    raw = column(text_col)
+    found = materialize(candidates(documents, rules, id_col, text_col), "candidates")
+    picked = F.broadcast(found) if found.count() <= MAX_CANDIDATES else found
+    text_at, id_at, hash_at = fresh([*documents.columns, *ADDED, "id", "th", "rules"], "key_text", "key_id", "key_hash")
+    keyed = documents.select("*", raw.alias(text_at), column(id_col).alias(id_at), F.xxhash64(raw).alias(hash_at))
+    joined = keyed.alias("d").join(picked.alias("c"), F.col(f"d.{id_at}").eqNullSafe(F.col("c.id")) & (F.col(f"d.{hash_at}") == F.col("c.th")), "left")
+    text, none = F.coalesce(F.col(f"d.{text_at}"), F.lit("")), F.array().cast(SPANS)
+    parts = []
     for n, rule in enumerate(rules):
         spans = matches(text, narrowed(rule), n)
-        found.append(F.when(F.array_contains("_rules", n), spans).otherwise(none) if required(rule.regex) else spans)
-    out = joined.withColumn("spans", F.sort_array(F.concat(*found))).drop("_id", "_rules")
-    return out.withColumn("redacted", F.when(F.size("spans") > 0, redact(text, F.col("spans"), mark)).otherwise(F.col(f"`{text_col}`")))
+        parts.append(F.when(F.array_contains("c.rules", n), spans).otherwise(none) if required(rule.regex) else spans)
+    kept = [F.col("d.`" + c.replace("`", "``") + "`") for c in documents.columns if c.lower() not in ADDED]
+    out = joined.select(*kept, F.col(f"d.{text_at}").alias(text_at), F.sort_array(F.concat(*parts)).alias("spans"))
+    redacted = F.when(F.size("spans") > 0, redact(F.col(text_at), F.col("spans"), mark)).otherwise(F.col(text_at))
+    return out.withColumn("redacted", redacted).drop(text_at)
 
 
 def spans_text(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
