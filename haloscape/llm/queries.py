@@ -27,17 +27,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(documents, 24, keep_text=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = quality.quality(documents, keep_text=False)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language_seen", "char_distance", "word_distance")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language_seen", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +65,28 @@ def with_marked_conversation(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").unionByName(more)
 
 
+def chat_records(rows: DataFrame) -> DataFrame:
+    """(conv_id, record): the conversations as three sources would hold them, by their id: a record a turn; one record with all
+    messages; one with from and value, under those sources' names of roles."""
+    turn = F.struct(F.coalesce("turn", F.lit(0)).cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = rows.select("conv_id", turn.alias("t"), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3)).alias("source"))
+    whole = said.where("source > 0").groupBy("conv_id", "source").agg(F.sort_array(F.collect_list("t")).alias("ts"), F.max(F.col("t.role").isin(list(chat.HUMAN))).alias("odd"))
+    names = {v: k for k, v in chat.HUMAN.items()}
+
+    def renamed(role: F.Column) -> F.Column:
+        for name, given in names.items():
+            role = F.when(role == name, given).otherwise(role)
+        return role
+
+    messages = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    values = F.transform("ts", lambda t: F.struct(renamed(t["role"]).alias("from"), t["text"].alias("value")))
+    whole = whole.select("conv_id", F.when((F.col("source") == 1) | F.col("odd"), F.to_variant_object(F.struct(messages.alias("messages")))).otherwise(F.to_variant_object(F.struct(values.alias("conversations")))).alias("record"))
+    return said.where("source = 0").select("conv_id", F.to_variant_object("t").alias("record")).unionAll(whole)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_marked_conversation(table(spark, sf_dir, "conversations"))
-    records = rows.select("conv_id", F.to_variant_object(F.struct(F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("record"))
-    out = chat.format_conversations(records, "conv_id")
+    out = chat.format_conversations(chat_records(rows), "conv_id")
     turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_mask"))
     read = out.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted")
     return read.select(
@@ -81,7 +100,7 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        "contaminated",
+        "contaminated", F.array_join("near_items", ",").alias("near_items"),
     )
 
 
