@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -32,7 +34,7 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     urls = ["http://A.net/x", "https://b.example.net/en/1?q#f", "http://example.net/en", "http://example.com/de/", "http://x.org/fr/1", "http://org/fr/", "net/", None, "", "http://net", "x://notnet/", "http://a.net:80/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, BLOCK, ALLOW).collect()}
@@ -44,6 +46,8 @@ def test_url_filter(spark):
         fits = [(len(r), r, v) for h, p, r, v in rules if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
         assert got[i] == (host, path, *(max(fits)[1:] if fits else (None, "allow"))), u
     assert url_filter.filter_urls(pages.limit(0), BLOCK, ALLOW).count() == 0
+    monkeypatch.setattr(url_filter, "MAX_BITS", 1)  # lists that aren't sent: the same by a join
+    assert got == {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, BLOCK, ALLOW).collect()}
 
 
 def test_cascade_is_exact(spark):
@@ -69,7 +73,18 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs.limit(0), 24).count() == 0
 
 
-def test_quality(docs):
+def test_sharding_spreads_equal_rows(spark):
+    """Rows equal in id and text, and rows without ids, are spread like any others."""
+    rows = spark.range(12000).select(F.when(F.col("id") < 6000, F.lit(5)).when(F.col("id") < 6100, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") < 6000, F.lit("copy " * 20)).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    loads, slots = collections.Counter(), collections.defaultdict(list)
+    for r in sharding.shard(rows, 24, keep_text=False).collect():
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(loads) == 24 and max(loads.values()) < 1.03 * min(loads.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 12000
+
+
+def test_quality(docs, monkeypatch):
     got = by_id(quality.quality(docs))
     for i, t in enumerate(TEXTS):
         words = SPACE_WORD.findall(t or "")
@@ -81,6 +96,50 @@ def test_quality(docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, i
         assert r.base_failed == (len(words) < 50 or 100 * len(repeat) > 50 * len(words)) and not (r.kept and r.base_failed)
     assert quality.quality(docs.limit(0)).count() == 0
+    monkeypatch.setattr(quality, "PLACE_BITS", 2)  # texts with more places than the packing takes: whole windows are sorted
+    assert {i: r.n_repeat_words for i, r in got.items()} == {i: r.n_repeat_words for i, r in by_id(quality.quality(docs)).items()}
+
+
+def histograms(text):
+    classes = [sum("a" <= c <= "z" for c in text), sum("A" <= c <= "Z" for c in text), sum("0" <= c <= "9" for c in text), sum(c in " \t\n\x0b\f\r" for c in text), sum(c in quality.SYMBOLS for c in text)]
+    classes += [sum(c < "\x80" for c in text) - sum(classes), sum(c >= "\x80" for c in text)]
+    words = [w.translate(LOW) for w in SPACE_WORD.findall(text)]
+    counts = [words.count(w) for w in quality.LISTED]
+    return [[x / max(1, sum(h)) for x in h] for h in (classes, [*counts, len(words) - sum(counts)])]
+
+
+def js(p, q):
+    return sum(x * math.log2(2 * x / (x + y)) + 0 for x, y in zip(p, q, strict=True) if x) / 2 + sum(y * math.log2(2 * y / (x + y)) for x, y in zip(p, q, strict=True) if y) / 2
+
+
+def test_divergence_equals_brute_force(spark):
+    """References, distances and verdicts by plain Python: two languages, one without a reference, one unknown."""
+    rng, rows = random.Random(3), []
+    for i in range(90):
+        lang = ("en", "de", "it")[i % 3]
+        listed = quality.COMMON_WORDS.get(lang, ("di", "che"))
+        words = [rng.choice(listed) if rng.random() < 0.4 else "".join(rng.choices("abcdefgä", k=rng.randrange(2, 9))) for _ in range(rng.randrange(55, 140))]
+        if i % 10 == 0:
+            words = ["|" if rng.random() < 0.5 else f"x{rng.randrange(10**6)}" for _ in words]
+        rows.append((i, " ".join(words), None if i % 17 == 0 else lang))
+    got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    hist = {i: histograms(t) for i, t, _ in rows}
+    long_enough = {i for i, t, _ in rows if len(t.split()) >= quality.MIN_WORDS and not got[i].base_failed}
+    refs = {}
+    for lang in ("en", "de"):
+        own = [i for i, _, g in rows if g == lang and i in long_enough]
+        mean = lambda ids: [[sum(hist[i][s][j] for i in ids) / len(ids) for j in range(len(hist[ids[0]][s]))] for s in (0, 1)]
+        first = mean(own)
+        steps = {i: [math.ceil(math.sqrt(max(0, js(hist[i][s], first[s]))) * quality.STEPS) for s in (0, 1)] for i in own}
+        edge = [next(x for x in sorted(v[s] for v in steps.values()) if sum(v[s] <= x for v in steps.values()) >= (1 - quality.TRIM) * len(own)) for s in (0, 1)]
+        refs[lang] = mean([i for i in own if all(steps[i][s] <= edge[s] for s in (0, 1))])
+    for i, t, lang in rows:
+        near = min((sum(d := [math.sqrt(max(0, js(hist[i][s], refs[k][s]))) for s in (0, 1)]), k, d) for k in refs)
+        far = (lang in refs or lang is None) and len(t.split()) >= quality.MIN_WORDS and (near[2][0] > quality.MAX_CHAR_DISTANCE or near[2][1] > quality.word_limit(refs[near[1]][1]))
+        r = got[i]
+        assert r.language_seen == near[1] and abs(r.char_distance - near[2][0]) < 1e-9 and abs(r.word_distance - near[2][1]) < 1e-9, i
+        assert r.kept == (not r.base_failed and not far), i
+    assert {got[i].kept for i in range(90) if i % 10 == 0 and rows[i][2] == "en" and i in long_enough} == {False}
 
 
 def test_texts_without_common_words(spark):
@@ -119,8 +178,6 @@ def test_near_duplicates(spark, docs):
 
 def test_crowded_regions(spark, monkeypatch):
     """Groups far over a run's size: chains, star-like copies of one base, and copies none of which is the base."""
-    import random
-
     monkeypatch.setattr(near_dup, "CROWD", 8)
     monkeypatch.setattr(near_dup, "HUBS", 2)
     rng = random.Random(5)
@@ -140,14 +197,10 @@ def test_crowded_regions(spark, monkeypatch):
     assert got == {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
 
 
-def test_pairs_that_meet_in_no_run(spark, monkeypatch):
-    """Pairs just alike, in regions crowded by what all documents share, with each row alone in its runs: the blocks find all."""
-    import random
-
-    monkeypatch.setattr(near_dup, "CROWD", 1)
+def test_pairs_in_deep_regions(spark, monkeypatch):
+    """Pairs just alike, in regions crowded by what all documents share: parts are cut deeper, and further orders find what is left."""
+    monkeypatch.setattr(near_dup, "CROWD", 4)
     monkeypatch.setattr(near_dup, "HUBS", 0)
-    number = F.monotonically_increasing_id() * 2 + 2
-    monkeypatch.setattr(near_dup, "with_runs", lambda rows: rows.withColumn("run_a", number).withColumn("run_b", number + 1))
     rng = random.Random(9)
     shared = [f"s{j}" for j in range(100)]
     rows = []
@@ -165,7 +218,44 @@ def test_pairs_that_meet_in_no_run(spark, monkeypatch):
     assert got == {i: (len(sets[i]), comp[i]) for i, _ in rows}
 
 
-def test_bpe_equals_the_library(docs):
+def test_copies_of_one_base(spark, monkeypatch):
+    """Copies that are like their base and not like each other, far more than a part holds."""
+    monkeypatch.setattr(near_dup, "CROWD", 16)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        at = set(rng.sample(range(200), 5))
+        rows.append((i, " ".join(f"z{i}_{j}" if j in at else w for j, w in enumerate(base))))
+    _, comp = brute_components(rows)
+    assert len(set(comp.values())) == 1
+    assert {r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def test_regions_are_cut_to_fit():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n = int(rng.integers(1, 200))
+        common, weight = rng.integers(0, near_dup.DEEP + 1, n), rng.integers(1, 50, n)
+        common[0] = 0
+        parts = near_dup.cut(common, weight, 4, 10, 200)
+        assert (np.diff(parts) >= 0).all() and (np.diff(parts) <= 1).all()
+        for p in set(parts.tolist()):
+            at = (parts == p).nonzero()[0]
+            assert len(at) <= 10 and (weight[at].sum() <= 200 or len(at) == 1) and (common[at[1:]] >= 4).all()
+    assert len(set(near_dup.cut(np.array([0, 9, 9, 2, 9, 9]), np.ones(6, int), 4, 10, 200).tolist())) == 2
+
+
+def test_near_duplicates_of_shared_and_odd_ids(spark):
+    other = " ".join(f"o{i}" for i in range(80))
+    rows = [("b", BASE), ("a", BASE.replace("w60 ", "x60 ")), ("a", other), ("c", other), (None, BASE), (None, "alone at last here we are"), ("d", ""), (None, None), ("b", BASE)]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == collections.Counter([("b", 117, "a", False), ("a", 117, "a", True), ("a", 77, "a", True), ("c", 77, "a", False), (None, 117, "a", False), (None, 3, None, True), ("d", 0, "d", True), (None, 0, None, True), ("b", 117, "a", False)])
+
+
+def test_bpe_equals_the_library(docs, monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     P = pytest.importorskip("public_tokenizers")
     path = P.path("word_bpe_49k.json")
@@ -178,6 +268,9 @@ def test_bpe_equals_the_library(docs):
     for word in list(lib.get_vocab())[:3000]:
         word = word.replace("</w>", "")
         assert own.encode(word) == lib.encode(word, add_special_tokens=False).ids
+    assert bpe.tokenize(docs.limit(0), path).count() == 0
+    monkeypatch.setattr(bpe, "MAX_FILE", 10)  # a file that isn't broadcast
+    assert by_id(bpe.tokenize(docs.where("doc_id = 9"), path))[9].token_ids == got[9].token_ids
 
 
 def test_paragraphs(spark):
@@ -189,8 +282,10 @@ def test_paragraphs(spark):
     found = paragraphs.repeats(df).collect()
     assert {r.doc_id for r in found} == {1, 2, 3}
     assert {(r.doc_id, r.first_doc) for r in found if r.removed} >= {(2, 1), (3, 1)}
-    assert passage not in by_id(paragraphs.without_repeats(df))[2].text and by_id(paragraphs.without_repeats(df))[1].text == rows[0][1]
-    assert paragraphs.repeats(df.limit(0)).count() == 0
+    cut = by_id(paragraphs.without_repeats(df))
+    assert cut[2].text == filler(2, 50) and cut[1].text == rows[0][1] and cut[5].text is None and cut[4].text == rows[3][1]
+    assert cut[3].text.startswith(filler(3, 40)) and cut[3].text.endswith(filler(4, 40)) and len(cut[3].text.split()) <= 140 - 20
+    assert paragraphs.repeats(df.limit(0)).count() == 0 and paragraphs.without_repeats(df.limit(0)).count() == 0
 
 
 def test_short_paragraphs(spark):
@@ -200,9 +295,107 @@ def test_short_paragraphs(spark):
     for n in (29, 30, 36, 44):
         line = words(f"s{n}x", n)
         rows += [(n, " ".join(line)), (100 + n, " ".join(words(f"t{n}x", 60)) + "\n" + " ".join([*line[:-1], "other"]))]
-    found = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [r for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kind == "paragraph"]
     assert {(r.doc_id, r.place, r.n_words, r.first_doc, r.removed) for r in found} == {x for n in (30, 36, 44) for x in ((n, 0, n, n, False), (100 + n, 1, n, n, True))}
-    assert (1 - 0.8**paragraphs.ROWS) ** paragraphs.BANDS < 1e-4
+    forest = paragraphs.LINES
+    assert (1 - 0.8**forest.depth) ** forest.trees < 1e-4 and forest.trees * forest.depth == forest.labels
+
+
+def five_words(words):
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def alike(a, b):
+    return 100 * len(a & b) >= 80 * len(a | b)
+
+
+def brute_lines(rows):
+    """(doc, line, first document, first line) of the lines that others repeat, by all pairs."""
+    units = sorted({(i, k, line) for i, t in rows for k, line in enumerate((t or "").split("\n")) if len(SPACE_WORD.findall(line)) >= 30}, key=lambda u: (u[0] is not None, u))
+    sets = [five_words(SPACE_WORD.findall(u[2].translate(LOW))) for u in units]
+    top = list(range(len(units)))
+    for a in range(len(units)):
+        for b in range(a):
+            if top[a] != top[b] and alike(sets[a], sets[b]):
+                top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
+    return {(u[0], u[1], *units[top[i]][:2]) for i, u in enumerate(units) if top.count(top[i]) > 1}
+
+
+def mixed_texts(n, seed):
+    """Texts whose lines are new, copied, or copied with a word changed; passages of 51 to 90 words are copied into longer lines."""
+    rng = random.Random(seed)
+    word = lambda: f"v{rng.randrange(3000)}"
+    lines = [[word() for _ in range(rng.randrange(20, 90))] for _ in range(25)]
+    passages = [[word() for _ in range(rng.randrange(51, 91))] for _ in range(8)]
+    rows, planted = [], collections.defaultdict(list)
+    for i in range(n):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.randrange(5)
+            line = [word() for _ in range(rng.randrange(5, 80))] if kind < 2 else list(rng.choice(lines))
+            if kind == 3:
+                line[rng.randrange(len(line))] = "changed"
+            if kind == 4:
+                p = rng.randrange(len(passages))
+                planted[p].append((i, sum(map(len, text)) + 30))
+                line = [word() for _ in range(30)] + passages[p] + [word() for _ in range(25)]
+            text.append(line)
+        rows.append((i, "\n".join(map(" ".join, text))))
+    return rows, passages, planted
+
+
+def test_repeats_equal_brute_force(spark):
+    """Lines: the same rows as by all pairs.  Passages: every copied one of over 50 words is found, and each found one has a like in another text."""
+    rows, passages, planted = mixed_texts(60, 4)
+    found = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.place, r.first_doc, r.removed) for r in found if r.kind == "paragraph"}
+    assert got == {(d, k, f, (d, k) != (f, g)) for d, k, f, g in brute_lines(rows)} and len(got) > 25
+    spans = collections.defaultdict(list)
+    for r in found:
+        if r.kind == "passage":
+            spans[r.doc_id].append((r.start, r.start + r.n_words, r.removed))
+    for p, places in planted.items():
+        docs = {d for d, _ in places}
+        for d, at in places if len(docs) > 1 else ():
+            assert any(a < at + len(passages[p]) and b > at for a, b, _ in spans[d]), (p, d)
+            assert d == min(docs) or any(removed and a < at + len(passages[p]) and b > at for a, b, removed in spans[d]), (p, d)
+    windows = {i: [five_words(w[k : k + paragraphs.WINDOW]) for k in range(len(w) - paragraphs.WINDOW + 1)] for i, t in rows for w in [t.split()]}
+    seen = collections.defaultdict(set)
+    for i, ws in windows.items():
+        for w in ws:
+            for s in w:
+                seen[s].add(i)
+    for i, of in spans.items():
+        for a, b, _ in of:
+            one = windows[i][a]
+            assert any(alike(one, w) for j in set().union(*(seen[s] for s in one)) - {i} for w in windows[j]), (i, a)
+
+
+def test_anchors_are_shared():
+    """Whatever stands around it, a run of 51 words has a window in common with its copies."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    width = paragraphs.WINDOW - paragraphs.K + 1
+    for _ in range(200):
+        run = rng.integers(0, 2**63, paragraphs.WINDOW + paragraphs.REACH - 1, np.uint64)
+        chosen = []
+        for _ in range(2):
+            before, after = (rng.integers(0, 2**63, int(rng.integers(0, 60)), np.uint64) for _ in range(2))
+            text = np.concatenate([before, run, after])
+            at = paragraphs.anchors(near_dup.rolling(text, paragraphs.K), width, paragraphs.REACH) - len(before)
+            chosen.append({int(a) for a in at if 0 <= a <= len(run) - paragraphs.WINDOW})
+        assert chosen[0] & chosen[1]
+
+
+def test_repeats_of_shared_and_missing_ids(spark):
+    """Texts under one id, and without ids, are told apart; rows equal in both are one document."""
+    line, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    rows = [(None, line), (None, "x " + line), (3, line + "\n" + other), (3, "y\n" + other), (3, "y\n" + other)]
+    found = [r for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kind == "paragraph"]
+    assert collections.Counter((r.doc_id, r.place, r.n_words, r.first_doc, r.removed) for r in found if r.n_copies == 3) == collections.Counter([(None, 0, r.n_words, None, r.removed) for r in found if r.doc_id is None] + [(3, 0, 40, None, True)])
+    assert sorted(r.removed for r in found if r.doc_id is None) == [False, True]
+    assert sorted((r.doc_id, r.place, r.removed) for r in found if r.n_copies == 2) == sorted([(3, 1, r.removed) for r in found if r.n_copies == 2]) and sum(r.removed for r in found if r.n_copies == 2) == 1
 
 
 def test_licenses(spark, docs):
@@ -219,6 +412,72 @@ def test_licenses(spark, docs):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def brute_vote(text):
+    words = PLAIN_WORD.findall((text or "").translate(LOW))
+    found, k = {}, licenses.K
+    for label, template in licenses.TEMPLATES.items():
+        t = PLAIN_WORD.findall(template.translate(LOW))
+        n = len(t) - k + 1
+        hits = [(p - a, p, a) for p in range(len(words) - k + 1) for a in range(n) if words[p : p + k] == t[a : a + k]]
+        runs = []
+        for d in sorted({h[0] for h in hits}):
+            if not runs or d - runs[-1][-1] > licenses.SLACK:
+                runs.append([])
+            runs[-1].append(d)
+        for run in runs:
+            inside = [h for h in hits if h[0] in run]
+            share = len({h[2] for h in inside}) / n
+            if share >= licenses.COVERAGE and max(h[1] for h in inside) + k - min(h[1] for h in inside) <= 2 * (n + k):
+                found[label] = max(found.get(label, 0), share)
+    return found
+
+
+def test_votes_equal_brute_force(spark, monkeypatch):
+    """Whole, cut, edited and repeated templates, in rows once, twice and thrice, and texts under one id."""
+    rng, rows = random.Random(1), []
+    for label, template in licenses.TEMPLATES.items():
+        words = template.split()
+        for i in range(6):
+            kept = words[: rng.randrange(3, len(words) + 1)] if i % 2 else list(words)
+            for _ in range(i):
+                kept[rng.randrange(len(kept))] = rng.choice(["other", "", "two words"])
+            rows += [(len(rows) // 3, f"before {' '.join(kept)} after {' '.join(kept) if i == 3 else ''}")] * (1 + len(rows) % 3)
+    rows += [(7, None), (7, " ".join(licenses.TEMPLATES["mit"].split()[:22]))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def check():
+        got = licenses.scan(df).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            want, base = brute_vote(r.text), set(filter(None, r.base_labels.split(",")))
+            assert r.labels == ",".join(sorted(base | set(want))) and r.score == max([0.0, *want.values(), 0.5 if r.n_base else 0.0])
+
+    check()
+    assert {r.labels for r in licenses.scan(df).where("doc_id = 7").collect()} >= {""}
+    monkeypatch.setattr(licenses, "MAX_GRAMS", 0)  # templates that aren't sent
+    check()
+
+
+def test_layouts(spark):
+    """Fields of other layouts don't hide one; what no layout fits stays, without turns."""
+    said = {
+        "messages": '{"prompt":"p","messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}',
+        "system-instruction-input": '{"system":"s","instruction":"q","input":"i","output":"a"}',
+        "messages-open": '{"messages":[]}', "question-answer": '{"question":"q","answer":"a","prompt":"z"}',
+        "system-prompt-response": '{"system":"s","prompt":"q","response":"a"}', "conversations-open": '{"conversations":[{"from":"gpt"}]}',
+    }
+    rows = [(i, *x) for i, x in enumerate([*said.items(), (None, '{"what":1}'), (None, "3"), (None, None)])]
+    df = spark.createDataFrame(rows, "c long, name string, j string").select("c", "name", F.parse_json("j").alias("record"), F.lit(1).alias("turns"))
+    got = {r.c: r for r in chat.canonical_turns(df).select("c", "name", "layout", "turns").collect()}
+    assert {i: r.layout for i, r in got.items()} == {i: name for i, name, _ in rows}
+    turns = {r.layout: [(t.role, t.text) for t in r.turns] for r in got.values() if r.layout}
+    assert turns["messages"] == [("user", "q"), ("assistant", "a")] and turns["system-instruction-input"] == [("system", "s"), ("user", "q\ni"), ("assistant", "a")]
+    assert turns["messages-open"] == [] and turns["conversations-open"] == [("assistant", "")]
+    out = {r.c: (r.n_unmapped, r.formatted) for r in chat.format_conversations(df, "c").collect()}
+    assert set(out) == set(range(len(rows))) and out[6] == out[7] == out[8] == (1, "") and out[2] == (0, "")
+    assert chat.format_conversations(df.limit(0), "c").count() == 0
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "<|end|>\\b <\\p |>"), (1, 0, "us|er", "hi"), (1, None, None, None), (2, 0, "assistant", ""), (None, 0, "user", "x")]
     df = spark.createDataFrame(rows, "c long, turn long, role string, text string").select("c", F.to_variant_object(F.struct(F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("record"))
@@ -244,12 +503,82 @@ def test_contamination(spark, docs):
     assert contamination.decontaminate(docs, items.limit(0)).where("contaminated").count() == 0
 
 
-def test_secrets(docs):
-    kinds = [(re.compile(r.regex), r.group, r.least) for r in secrets.BASE_RULES]
-    for r in secrets.scan(docs).collect():
-        want = sorted((m.start(), k, m.end()) for k, (x, g, least) in enumerate(kinds) for m in x.finditer(r.text or "") if len(m[g]) >= least)
-        assert [tuple(s) for s in r.spans if s.kind < 3] == want
-        assert (r.redacted == r.text) or "[SECRET]" in r.redacted
+def test_phrases_and_proximity_equal_brute_force(spark, monkeypatch):
+    """Exact and near copies of items, items of few words, repeated rows, texts under one id; with and without broadcasts."""
+    rng = random.Random(6)
+    word = lambda: f"c{min(rng.randrange(400), rng.randrange(400))}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 5, 10, 14, 30])))) for i in range(30)] + [(3, "c1 c2 c3"), (40, None)]
+    rows = [(0, None), (0, "")]
+    for i in range(1, 70):
+        words = [word() for _ in range(rng.randrange(0, 80))]
+        if i % 2:
+            copy = rng.choice(items[:30])[1].split()
+            if len(copy) >= 5 and i % 4 == 1:
+                for _ in range(rng.randrange(1, 3)):
+                    copy[rng.randrange(len(copy))] = "new"
+            if len(copy) >= 5 and i % 8 == 3:
+                copy.insert(3, "put")
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = copy
+        rows += [(i // 3, " ".join(words))] * (1 + i % 2)
+    windows = sorted({(str(i), tuple(w[s : s + 10])) for i, t in items for w in [(t or "").split()] if w for s in range(max(1, len(w) - 9))})
+    counts = collections.Counter(w for _, t in rows for w in (t or "").split())
+
+    def brute(text):
+        w, hit, exact, near = (text or "").split(), set(), set(), set()
+        for item, terms in windows:
+            first = sorted((counts[t], off, t) for off, t in enumerate(terms) if counts[t])[:3]
+            for p in range(-9, len(w)):
+                if p >= 0 and tuple(w[p : p + len(terms)]) == terms:
+                    exact.add(item)
+                    hit |= set(range(p, p + len(terms)))
+                if not first or not (0 <= p + first[0][1] < len(w)) or w[p + first[0][1]] != first[0][2]:
+                    continue
+                stands = [any(0 <= p + off + d < len(w) and w[p + off + d] == t for d in range(-2, 3)) for _, off, t in first[1:]]
+                if (not stands or any(stands)) and len(set(terms) & set(w[max(0, p - 2) : p + len(terms) + 2])) >= 0.8 * len(set(terms)):
+                    near.add(item)
+        return len(w), len(hit), sorted(exact), sorted(near), bool(hit)
+
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def check():
+        got = contamination.decontaminate(df, bench).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.n_words, r.n_hit, r["items"], r.near_items, r.contaminated) == brute(r.text), r.text
+        assert sum(r.contaminated for r in got) > 10 and sum(set(r.near_items) > set(r["items"]) for r in got) > 3
+
+    check()
+    monkeypatch.setattr(contamination, "MAX_TERMS", 0)
+    check()
+
+
+def test_secrets(spark, docs, monkeypatch):
+    kinds = [(re.compile(r.regex), r.group, r.least) for r in secrets.RULES]
+    letters = "Ab3" * 40
+    keys = ["ghp_" + letters[:36], "github_pat_" + letters[:82], "glpat-" + letters[:20], "xoxb-" + letters[:12], "AIza" + letters[:35], "sk_live_" + letters[:24], "SG." + letters[:22] + "." + letters[:43], "npm_" + letters[:36]]
+    keys += ["pypi-AgEIcHlwaS5vcmc" + letters[:50], "ya29." + letters[:20], "hooks.slack.com/services/T1/B2/" + letters[:20], "key-" + letters[:32], "Authorization: Bearer " + letters[:30], "https://me:pässword1@host/", "-----BEGIN RSA PRIVATE KEY-----"]
+    keys += [f"eyJ{letters[:10]}.eyJ{letters[:12]}.{letters[:14]}", " ".join(keys), "ü" + " é ".join(keys), "deadbeefdeadbeef0 " * 700, "deadbeefdeadbeef" * 3 + "x password=" + "a" * 12]
+    rows = [(i // 2, k) for i, k in enumerate(keys)] + [(0, None)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+
+    def check():
+        out = secrets.scan(df).collect()
+        assert len(out) == df.count()
+        for r in out:
+            want = sorted((m.start(), k, m.end()) for k, (x, g, least) in enumerate(kinds) for m in x.finditer(r.text or "") if len(m[g]) >= least)
+            assert [tuple(s) for s in r.spans] == want, r.text
+            left, at = "", 0
+            for start, _, end in want:
+                if start > at or not left:
+                    left += (r.text or "")[at:start] + "[SECRET]" * (start > at or at == 0)
+                at = max(at, end)
+            assert r.redacted == (r.text if not want else left + r.text[at:])
+
+    check()
+    assert {secrets.RULES[s.kind].kind for r in secrets.scan(df).collect() for s in r.spans} == {r.kind for r in secrets.RULES}
+    monkeypatch.setattr(secrets, "MAX_CANDIDATES", -1)  # candidates that aren't sent
+    check()
     assert by_id(secrets.scan(docs))[11].redacted.count("[SECRET]") == 3
     assert secrets.required("[0-9a-f]+") == [] and secrets.required("AKIA[A-Z]+") == [[frozenset({"aki", "kia"})]]
     assert secrets.scan(docs.limit(0)).count() == 0
@@ -262,15 +591,67 @@ def test_pipeline(spark, tmp_path, docs):
     words = lambda n, m: " ".join(f"{'the and of to in'.split()[i % 5] if i % 3 == 0 else f'd{n}e{i * 7919 % 997}'}" for i in range(m))
     rows = [(i, words(i, 80), "en", "s", 1) for i in range(30)]
     rows += [(100, words(3, 80), "en", "s", 1), (101, words(50, 60) + " " + ITEM, "en", "s", 1), (102, words(51, 60) + " password = abcdefghijkl1", "en", "s", 1), (103, "too short", "en", "s", 1), (104, None, None, None, None)]
+    # one id for several texts: only the copy goes; repeated rows and rows without ids: one stays
+    rows += [(7, words(5, 80), "en", "s", 1), (7, words(60, 80), "en", "s", 1), (8, words(8, 80), "en", "s", 1), (None, words(61, 80), "en", "s", 1), (None, words(61, 80), "en", "s", 1), (None, words(62, 80), "en", "s", 1), (None, words(9, 80), None, "s", 1)]
+    rows += [(101, words(63, 80), "en", "s", 1)]
     spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = by_id(corpus_pipeline.run(spark, str(tmp_path)))
-    assert set(got) == {*range(30), 102}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     import public_tokenizers
     import tokenizers
 
     lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    for i, t, *_ in rows:
-        if i in got:
-            ids = lib.encode(re.sub("password.*", "[SECRET]", t), add_special_tokens=False).ids
-            assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+    def digest(text):
+        return hashlib.sha256(" ".join(map(str, lib.encode(text, add_special_tokens=False).ids)).encode()).hexdigest()
+
+    want = [(i, words(i, 80)) for i in range(30)] + [(102, words(51, 60) + " [SECRET]"), (7, words(60, 80)), (None, words(61, 80)), (None, words(62, 80)), (101, words(63, 80))]
+    assert collections.Counter((r.doc_id, r.ids_sha256) for r in got) == collections.Counter((i, digest(t)) for i, t in want)
+    spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+#: Names that operators use, or used, for columns of their own.
+TAKEN = (
+    "_id", "_th", "_th2", "_b", "_f", "_key", "_range", "_rank", "_rules", "_seen", "_block", "_allow", "_chars", "_near", "starts", "coverage", "voted", "key", "range", "rank", "row", "f", "near", "id", "th", "h", "g", "pos", "at",
+    "rules", "c", "w", "pc", "pw", "crc", "n", "digest", "labels_", "rep", "comp", "key_id", "key_hash", "key_text", "base", "block", "allow", "host_", "path_", "spans_", "marked", "x.y",
+)
+ADDED = ("host", "path", "rule", "verdict", "size", "law", "shard", "slot", "n_words", "kept", "base_failed", "labels", "score", "items", "n_hit", "contaminated", "spans", "redacted", "token_ids", "decoded", "turns", "layout")
+
+
+def test_no_column_clashes(spark):
+    """Extra columns stay as they are, whatever they are called; those named like an added column are replaced."""
+    df = spark.createDataFrame([(1, BASE, "en", "http://a.net/x"), (2, "mit license\n" + BASE + " password=abcdefghijkl1 " + ITEM, "en", None), (2, None, None, "x")], "doc_id long, text string, lang string, url string")
+    df = df.select("*", *[F.lit(f"old {c}").alias(c) for c in (*TAKEN, *ADDED)])
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    P = pytest.importorskip("public_tokenizers")
+    outs = {
+        url_filter: url_filter.filter_urls(df, BLOCK, ALLOW), sharding: sharding.shard(df, 4), quality: quality.quality(df), bpe: bpe.tokenize(df, P.path("word_bpe_49k.json")), licenses: licenses.scan(df),
+        contamination: contamination.decontaminate(df, items), secrets: secrets.scan(df), paragraphs: paragraphs.without_repeats(df),
+    }
+    for module, out in outs.items():
+        added = getattr(module, "ADDED", ())
+        rows = out.collect()
+        assert len(rows) == 3 and len(set(out.columns)) == len(out.columns), module
+        for c in (*TAKEN, *ADDED):
+            if c not in added:
+                assert {r[c] for r in rows} == {f"old {c}"}, (module, c)
+        for c in added:
+            assert all(r[c] != f"old {c}" for r in rows), (module, c)
+    assert near_dup.near_duplicates(df).count() == 3 and paragraphs.repeats(df).where("kind = 'paragraph'").count() == 2
+    records = df.select("*", F.parse_json(F.lit('{"prompt":"q","response":"a"}')).alias("record"))
+    assert {r["x.y"] for r in chat.canonical_turns(records).collect()} == {"old x.y"} and chat.format_conversations(records, "doc_id").count() == 2
+
+
+def test_scratch_tables_go(spark):
+    from haloscape.llm import common
+
+    with common.scope() as made:
+        kept = common.materialize(spark.range(3).toDF("id"), "a")
+        common.materialize(spark.range(3).toDF("id"), "b")
+    assert len(made) == 2
+    common.discard(spark, made[1:])
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(made[1])
