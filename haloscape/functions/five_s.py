@@ -56,13 +56,6 @@ def digitize(value: Column, low: Column, high: Column, levels: int) -> Column:
     return F.when(F.isnan(value), high).when(step == 0, low).otherwise(low + step * at)
 
 
-def quantize_albedo(value: Column, low: Column, high: Column, step: float) -> Column:
-    """Level number by half-even rounding, clipped to the levels between ``low`` (0 at least) and ``high``."""
-    base = F.greatest(F.lit(0.0), low)
-    top = F.floor((high - base) / step)
-    return F.greatest(F.lit(0.0), F.least(F.rint((value - base) / step), top.cast("double"))).cast("int")
-
-
 def satellite_offset(height: Column, vza: Column, vaa: Column) -> tuple[Column, Column]:
     """Ground offset of the satellite, to four decimals."""
     ground = height * F.tan(F.radians(vza))

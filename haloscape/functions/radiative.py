@@ -77,8 +77,12 @@ def monte_carlo(states: DataFrame, photons: int = 20_000, seed: int = 1) -> Data
 
 
 def psf_atm(states: DataFrame, res: float, n: int, photons: int = 20_000, seed: int = 2) -> DataFrame:
-    """(state, iy, ix, w): where light from a nadir sensor meets the ground after scattering in a layer of depth ``od`` and height
-    ``height``; weights sum to one over the n x n grid."""
+    """(state, iy, ix, w): where light that a sensor sees coming from the grid's centre meets the ground after scattering in a layer of depth ``od`` and height
+    ``height``; weights sum to one over the n x n grid, whose side is odd.  Columns ``vza`` and ``vaa`` (degrees) say where the sensor stands, else it looks straight down; ``g`` is
+    the scattering's asymmetry (Henyey and Greenstein), else it is the same in all directions."""
+    if n % 2 == 0:
+        raise ValueError("the grid's side must be odd")
+    given = states.select("state", "od", "height", *[(F.col(c) if c in states.columns else F.lit(0.0)).cast("double").alias(c) for c in ("vza", "vaa", "g")])
 
     def run(batches):
         import numpy as np
@@ -86,27 +90,39 @@ def psf_atm(states: DataFrame, res: float, n: int, photons: int = 20_000, seed:
 
         for batch in batches:
             for row in batch.itertuples():
-                rng = np.random.Generator(np.random.PCG64([seed, int(row.state)]))
-                x, y, z = np.zeros(photons), np.zeros(photons), np.full(photons, float(row.height))
-                ux, uy, uz = np.zeros(photons), np.zeros(photons), -np.ones(photons)
+                rng = np.random.Generator(np.random.PCG64([seed, int(row.state) % (1 << 63)]))
+                tilt, turn = np.deg2rad(row.vza), np.deg2rad(row.vaa)
+                start = np.array([np.sin(tilt) * np.cos(turn), np.sin(tilt) * np.sin(turn), np.cos(tilt)])
+                at = np.tile(start * row.height / start[2], (photons, 1))
+                way = np.tile(-start, (photons, 1))
                 alive, landed = np.arange(photons), np.zeros(photons, bool)
                 while len(alive):
-                    step = rng.exponential(size=len(alive)) * row.height / row.od
-                    down = uz[alive] < 0
-                    floor = np.where(down, z[alive] / np.maximum(-uz[alive], 1e-12), np.inf)
+                    step = rng.exponential(size=len(alive)) * row.height / max(row.od, 1e-12)
+                    down = way[alive, 2] < 0
+                    floor = np.where(down, at[alive, 2] / np.maximum(-way[alive, 2], 1e-12), np.inf)
                     lands = floor <= step
-                    step = np.minimum(step, floor)
-                    for p, u in ((x, ux), (y, uy), (z, uz)):
-                        p[alive] += u[alive] * step
+                    at[alive] += way[alive] * np.minimum(step, floor)[:, None]
                     landed[alive[lands]] = True
-                    alive = alive[~lands & (z[alive] < row.height)]
-                    cos, turn = 2 * rng.random(len(alive)) - 1, 2 * np.pi * rng.random(len(alive))
-                    sin = np.sqrt(1 - cos * cos)
-                    ux[alive], uy[alive], uz[alive] = sin * np.cos(turn), sin * np.sin(turn), cos
-                ix, iy = (np.floor(p[landed] / res + n / 2).astype(int) for p in (x, y))
+                    alive = alive[~lands & (at[alive, 2] < row.height)]
+                    way[alive] = scattered(way[alive], row.g, rng)
+                ix, iy = (np.floor(at[landed, d] / res + n / 2).astype(int) for d in (0, 1))
                 inside = (ix >= 0) & (ix < n) & (iy >= 0) & (iy < n)
                 hits = np.bincount(iy[inside] * n + ix[inside], minlength=n * n)
-                at = hits.nonzero()[0]
-                yield pd.DataFrame({"state": row.state, "iy": (at // n).astype("int32"), "ix": (at % n).astype("int32"), "w": hits[at] / max(1, hits.sum())})
+                cells = hits.nonzero()[0]
+                yield pd.DataFrame({"state": row.state, "iy": (cells // n).astype("int32"), "ix": (cells % n).astype("int32"), "w": hits[cells] / max(1, hits.sum())})
+
+    return given.mapInPandas(run, "state bigint, iy int, ix int, w double")
+
+
+def scattered(way, g: float, rng):
+    """numpy: new directions after scattering with asymmetry ``g``."""
+    import numpy as np
 
-    return states.select("state", "od", "height").mapInPandas(run, "state bigint, iy int, ix int, w double")
+    u = rng.random(len(way))
+    cos = 2 * u - 1 if abs(g) < 1e-9 else (1 + g * g - ((1 - g * g) / (1 - g + 2 * g * u)) ** 2) / (2 * g)
+    sin, turn = np.sqrt(np.maximum(0, 1 - cos * cos)), 2 * np.pi * rng.random(len(way))
+    helper = np.where(np.abs(way[:, 2:]) < 0.9, [[0.0, 0.0, 1.0]], [[1.0, 0.0, 0.0]])
+    a = np.cross(way, helper)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = np.cross(way, a)
+    return cos[:, None] * way + sin[:, None] * (np.cos(turn)[:, None] * a + np.sin(turn)[:, None] * b)
