@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side is sent to all executors only if it is known to have no more rows.
+#: A side is sent to all executors only if it has no more rows.
 SMALL_ROWS = 100_000
 
 
@@ -111,6 +111,25 @@ def downsample_factor(target_res_km: float, data_res_km: float) -> int:
     return target // data
 
 
+def missing(given: Sequence[str], wanted: Sequence[str]) -> list[str]:
+    """The wanted names that aren't given, in order."""
+    return sorted(set(wanted) - set(given))
+
+
+def in_order(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Sorted by its labels, as results are shown."""
+    return df.orderBy(*[d for d in dims if d in df.columns])
+
+
+def batches(df: DataFrame, dim: str, n_batch: int) -> list[DataFrame]:
+    """Parts of a table along ``dim`` with ``n_batch`` labels each; without the dimension the whole table."""
+    if dim not in df.columns:
+        return [df]
+    numbered = chunked(df, dim, n_batch)
+    last = numbered.agg(F.max("chunk")).first()[0]
+    return [numbered.where(F.col("chunk") == i).drop("chunk") for i in range((last if last is not None else -1) + 1)]
+
+
 def best_step(history: DataFrame, keys: Sequence[str], loss: str, params: Sequence[str]) -> DataFrame:
     """The parameters of the smallest loss."""
     return history.groupBy(*keys).agg(F.min(F.struct(loss, *params)).alias("b")).select(*keys, "b.*")

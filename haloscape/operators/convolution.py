@@ -1,23 +1,35 @@
 """2-D convolution of gridded fields.
 
-Small kernels join by offset and sum, in SQL.  Large ones gather one field of one band and state and use an FFT; ``wrap`` keeps the
-boundary that such transforms have when padding is appended on the far side only, ``mirror`` reflects on both sides.
+Small kernels join by offset and sum, in SQL.  Larger ones use an FFT: over whole fields (``fft``), one field a task, with any boundary; or over tiles with halos
+(``tiled``), for fields that no task should hold.  ``wrap`` keeps the
+boundary that such transforms have when padding is appended on the far side only, ``mirror`` reflects on both sides.  Kernels may differ by any of the
+keys: they are joined on those that they have.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import five_s
+from .algebra import SMALL_ROWS
+
+
+def joined_kernel(df: DataFrame, kernel: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """Each row of ``df`` with the kernel rows of its keys.  A kernel for all keys is sent to all executors if it is small, which its count says."""
+    if shared:
+        return df.join(kernel, list(shared))
+    return df.crossJoin(F.broadcast(kernel) if kernel.count() <= SMALL_ROWS else kernel)
 
 
 def small(df: DataFrame, kernel: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Zero outside, same size: (keys, iy, ix, out).  ``kernel``: (dy, dx, w) and any of the keys; sums are made in each task before
     they are shuffled."""
     shared = [k for k in keys if k in kernel.columns]
-    pairs = df.select(*keys, "iy", "ix", value).join(kernel, shared) if shared else df.select(*keys, "iy", "ix", value).crossJoin(F.broadcast(kernel))
+    pairs = joined_kernel(df.select(*keys, "iy", "ix", value), kernel, shared)
     spread = pairs.select(*keys, (F.col("iy") + F.col("dy")).alias("iy"), (F.col("ix") + F.col("dx")).alias("ix"), (F.col(value) * F.col("w")).alias("t"))
     sums = spread.groupBy(*keys, "iy", "ix").agg(F.sum("t").alias(out))
     return df.select(*keys, "iy", "ix").join(sums, [*keys, "iy", "ix"])
@@ -47,26 +59,118 @@ def convolve(image, kernel, padding: str = "reflect", kind: str = "same", consta
     return product[lead : lead + size, lead : lead + size]
 
 
+def arrays_of(cells: str, fields: dict[str, str]) -> list[Column]:
+    """A list of structs as lists of numbers, which go to Python as they are."""
+    return [F.col(f"{cells}.{f}").alias(name) for name, f in fields.items()]
+
+
+def kernel_arrays(kernel: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """One row for each kernel: (shared, kdy, kdx, kw)."""
+    held = kernel.groupBy(*shared).agg(F.collect_list(F.struct("dy", "dx", "w")).alias("k"))
+    return held.select(*shared, *arrays_of("k", {"kdy": "dy", "kdx": "dx", "kw": "w"}))
+
+
+def dense(rows, columns, values, shape):
+    import numpy as np
+
+    out = np.zeros(shape)
+    out[rows, columns] = values
+    return out
+
+
+def numbers(batch, name: str, i: int):
+    """A list column's row as an array."""
+    import numpy as np
+
+    return np.asarray(batch.column(name)[i].values)
+
+
 def fft(df: DataFrame, kernel: DataFrame, keys: Sequence[str], value: str, out: str, padding: str = "reflect", boundary: str = "wrap") -> DataFrame:
-    """(keys, iy, ix, out), one field a task; missing pixels count as 0.  ``kernel``: (dy, dx, w) for all keys."""
-    tile = df.groupBy(*keys).agg(F.collect_list(F.struct("iy", "ix", F.col(value).cast("double").alias("v"))).alias("cells"))
-    held = kernel.agg(F.collect_list(F.struct("dy", "dx", "w")).alias("kernel"))
-    schema = ", ".join([*(f"{k} {dict(df.dtypes)[k]}" for k in keys), "iy int", "ix int", f"{out} double"])
+    """(keys, iy, ix, out), one field a task; missing pixels count as 0.  ``kernel``: (dy, dx, w) and any of the keys."""
+    shared = [k for k in keys if k in kernel.columns]
+    fields = df.groupBy(*keys).agg(F.collect_list(F.struct("iy", "ix", F.col(value).cast("double").alias("v"))).alias("cells"))
+    fields = fields.select(*keys, *arrays_of("cells", {"cy": "iy", "cx": "ix", "cv": "v"}))
+    rows = joined_kernel(fields, kernel_arrays(kernel, shared), shared)
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("iy", T.IntegerType()), T.StructField("ix", T.IntegerType()), T.StructField(out, T.DoubleType())])
 
-    def run(batches):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                iy, ix, v, dy, dx, w = (numbers(batch, c, i) for c in ("cy", "cx", "cv", "kdy", "kdx", "kw"))
+                n, k = int(max(iy.max(), ix.max())) + 1, int(dy.max() - dy.min()) + 1
+                done = convolve(dense(iy, ix, v, (n, n)), dense(dy - dy.min(), dx - dx.min(), w, (k, k)), padding, boundary=boundary)
+                held = [pa.repeat(batch.column(c)[i], len(iy)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(iy, pa.int32()), pa.array(ix, pa.int32()), pa.array(done[iy, ix])], names=[*keys, "iy", "ix", out])
+
+    return rows.mapInArrow(run, schema)
+
+
+def tiled(df: DataFrame, kernel: DataFrame, keys: Sequence[str], value: str, out: str, tile: int = 512, boundary: str = "mirror") -> DataFrame:
+    """(keys, iy, ix, out) like ``fft`` with ``mirror`` (or ``zero``) boundaries, for fields of any size: a task holds one tile with its halo.  The halo is the kernel's
+    greatest reach, which must be under the field's side; pixels go to each tile that their halo reaches, (1 + 2 halo / tile)^2 times on average."""
+    if boundary not in ("mirror", "zero"):
+        raise ValueError(f"no boundary {boundary}")
+    shared = [k for k in keys if k in kernel.columns]
+    reach = kernel.agg(F.max(F.greatest(F.abs("dy"), F.abs("dx")))).first()[0] or 0
+    sides = df.groupBy(*keys).agg((F.max("iy") + 1).alias("ny"), (F.max("ix") + 1).alias("nx"))
+    placed = df.select(*keys, "iy", "ix", F.col(value).cast("double").alias("v")).join(sides, list(keys))
+
+    def copies(at: str, n: str) -> Column:
+        """Where a pixel stands, itself and its mirror images in the halo."""
+        here = F.col(at)
+        if boundary == "zero":
+            return F.array(here)
+        low = F.when((here > 0) & (here <= reach), -here)
+        high = F.when((here < F.col(n) - 1) & (here >= F.col(n) - 1 - reach), 2 * (F.col(n) - 1) - here)
+        return F.array_compact(F.array(here, low, high))
+
+    def tiles(at: str, n: str) -> Column:
+        first = F.greatest(F.lit(0), F.floor((F.col(at) - reach) / tile))
+        last = F.least(F.floor((F.col(n) - 1) / tile), F.floor((F.col(at) + reach) / tile))
+        return F.sequence(first.cast("int"), last.cast("int"))
+
+    spread = placed.withColumn("py", F.explode(copies("iy", "ny"))).withColumn("px", F.explode(copies("ix", "nx")))
+    spread = spread.withColumn("ty", F.explode(tiles("py", "ny"))).withColumn("tx", F.explode(tiles("px", "nx")))
+    cells = spread.groupBy(*keys, "ty", "tx").agg(F.collect_list(F.struct((F.col("py") - F.col("ty") * tile + reach).alias("y"), (F.col("px") - F.col("tx") * tile + reach).alias("x"), "v", ((F.col("py") == F.col("iy")) & (F.col("px") == F.col("ix"))).alias("own"))).alias("cells"))
+    cells = cells.select(*keys, "ty", "tx", *arrays_of("cells", {"cy": "y", "cx": "x", "cv": "v"}), F.transform("cells", lambda c: c["own"].cast("int")).alias("own"))
+    rows = joined_kernel(cells, kernel_arrays(kernel, shared), shared)
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("iy", T.IntegerType()), T.StructField("ix", T.IntegerType()), T.StructField(out, T.DoubleType())])
+
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
+        side = tile + 2 * reach
         for batch in batches:
-            for _, row in batch.iterrows():
-                iy, ix, v = (np.array([c[f] for c in row["cells"]]) for f in ("iy", "ix", "v"))
-                n = int(max(iy.max(), ix.max())) + 1
-                image = np.zeros((n, n))
-                image[iy, ix] = v
-                dy, dx, w = (np.array([c[f] for c in row["kernel"]]) for f in ("dy", "dx", "w"))
-                weights = np.zeros((dy.max() - dy.min() + 1,) * 2)
-                weights[dy - dy.min(), dx - dx.min()] = w
-                done = convolve(image, weights, padding, boundary=boundary)
-                yield pd.DataFrame({**{k: [row[k]] * len(iy) for k in keys}, "iy": iy, "ix": ix, out: done[iy, ix]})
-
-    return tile.crossJoin(F.broadcast(held)).mapInPandas(run, schema)
+            for i in range(batch.num_rows):
+                y, x, v, own, dy, dx, w = (numbers(batch, c, i) for c in ("cy", "cx", "cv", "own", "kdy", "kdx", "kw"))
+                weights = dense(dy + reach, dx + reach, w, (2 * reach + 1,) * 2)
+                shape = [side + 2 * reach] * 2
+                done = np.fft.irfft2(np.fft.rfft2(dense(y, x, v, (side, side)), shape) * np.fft.rfft2(weights, shape), shape)
+                inside = (own > 0) & (y >= reach) & (y < reach + tile) & (x >= reach) & (x < reach + tile)
+                y, x = y[inside], x[inside]
+                ty, tx = batch.column("ty")[i].as_py(), batch.column("tx")[i].as_py()
+                held = [pa.repeat(batch.column(c)[i], len(y)) for c in keys]
+                places = (pa.array((y - reach + ty * tile).astype(np.int32)), pa.array((x - reach + tx * tile).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*held, *places, pa.array(done[y + reach, x + reach])], names=[*keys, "iy", "ix", out])
+
+    return rows.mapInArrow(run, schema)
+
+
+def psf_conv(df: DataFrame, kernel: DataFrame, keys: Sequence[str], conv_input: str, formula: Callable[..., Column], out: str, convolved: Callable[..., DataFrame] = fft) -> DataFrame:
+    """``df`` with ``out``: a formula of its columns and of ``rho_env``, the field that a point spread function spreads.  The formula names the columns that it takes."""
+    from .algebra import sweep
+
+    spread = convolved(df, kernel, keys, conv_input, "rho_env")
+    return sweep(df.join(spread, [*keys, "iy", "ix"]), formula, out).drop("rho_env")
+
+
+def surface_of(rho_unif: Column, rho_env: Column, tdir_up: Column, tdif_up: Column, sph_alb: Column) -> Column:
+    return five_s.surface(rho_unif, rho_env, tdir_up, tdif_up, sph_alb)
+
+
+def unif2surface(df: DataFrame, kernel: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` (keys, iy, ix, rho_unif, tdir_up, tdif_up, sph_alb) with ``rho_s``."""
+    return psf_conv(df, kernel, keys, "rho_unif", surface_of, "rho_s")

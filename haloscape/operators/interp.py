@@ -16,20 +16,27 @@ def intervals(prof: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     return rows.where(F.col("x1").isNotNull())
 
 
-def holds(q: Column, seg: Column, n_seg: Column, x0: Column, x1: Column) -> Column:
-    """Each query falls into one segment; what lies outside goes to the ends'."""
-    return ((q >= x0) | (seg == 0)) & ((q < x1) | (seg == n_seg - 1))
+def with_segment(queries: DataFrame, segments: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Each query with the segment that holds it, as ``s``; what lies outside goes to the ends'.  A key's segments are one sorted array, in which
+    a query looks its own up, so no query meets the others."""
+    fields = [c for c in segments.columns if c not in keys]
+    held = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x0", *[c for c in fields if c != "x0"]))).alias("segs"))
+    held = held.withColumn("knots", F.transform(F.slice("segs", 2, F.greatest(F.lit(1), F.size("segs") - 1)), lambda s: s["x0"]))
+    joined = queries.join(held, list(keys))
+    steps = F.array(*[F.lit(1 << i) for i in range(15, -1, -1)])
+    size = F.size("knots")
+
+    def step(n: Column, by: Column) -> Column:
+        return F.when((n + by <= size) & (F.get("knots", n + by - 1) <= F.col(at)), n + by).otherwise(n)
+
+    return joined.withColumn("s", F.get("segs", F.aggregate(steps, F.lit(0), step))).drop("segs", "knots")
 
 
 def linear(prof: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, y: str, at: str, out: str) -> DataFrame:
-    """Piecewise linear, clamped at the ends.  A profile has few rows next to the queries."""
-    seg = intervals(prof, keys, x, y)
-    ends = seg.groupBy(*keys).agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
-    clamped = queries.join(ends, list(keys)).withColumn("q", F.greatest(F.col("lo"), F.least(F.col("hi"), F.col(at)))).drop("lo", "hi")
-    match = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    hit = holds(F.col("a.q"), F.col("b.seg"), F.col("b.n_seg"), F.col("b.x0"), F.col("b.x1"))
-    value = F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("q") - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    return clamped.alias("a").join(seg.alias("b"), [*match, hit]).select("a.*", value.alias(out)).drop("q")
+    """Piecewise linear, clamped at the ends.  A profile has few rows next to the queries (65,535 segments at most)."""
+    found = with_segment(queries, intervals(prof, keys, x, y).select(*keys, "x0", "x1", "y0", "y1"), keys, at)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(at) - F.col("s.x0")) / (F.col("s.x1") - F.col("s.x0"))))
+    return found.withColumn(out, F.col("s.y0") + (F.col("s.y1") - F.col("s.y0")) * share).drop("s")
 
 
 def gradient(r: str, v: str, order: Window) -> Column:
@@ -69,42 +76,49 @@ def end_slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
 
 
 def pchip_segments(prof: DataFrame, keys: Sequence[str], r: str, v: str) -> DataFrame:
-    """Segments with the monotone cubic's slopes m0 and m1 at their ends."""
+    """Segments with the monotone cubic's slopes m0 and m1 at their ends.  Helper columns end with ``_``, so that keys may be called anything else."""
     order = Window.partitionBy(*keys).orderBy("x0")
     seg = intervals(prof.groupBy(*keys, r).agg(F.first(v).alias(v)), keys, r, v)
-    seg = seg.withColumns({"h": F.col("x1") - F.col("x0")}).withColumn("d", (F.col("y1") - F.col("y0")) / F.col("h"))
-    seg = seg.withColumns({f"{c}{s}": f(c, k).over(order) for c in ("h", "d") for s, f, k in (("b", F.lag, 1), ("a", F.lead, 1))})
+    seg = seg.withColumns({"h_": F.col("x1") - F.col("x0")}).withColumn("d_", (F.col("y1") - F.col("y0")) / F.col("h_"))
+    seg = seg.withColumns({f"{c}{s}_": f(f"{c}_", k).over(order) for c in ("h", "d") for s, f, k in (("b", F.lag, 1), ("a", F.lead, 1))})
 
     def inner(hb: Column, h: Column, db: Column, d: Column) -> Column:
         w1, w2 = 2 * h + hb, h + 2 * hb
         return F.when(db * d <= 0, 0.0).otherwise((w1 + w2) / (w1 / db + w2 / d))
 
-    h, d, hb, db, ha, da = (F.col(c) for c in ("h", "d", "hb", "db", "ha", "da"))
+    h, d, hb, db, ha, da = (F.col(c) for c in ("h_", "d_", "hb_", "db_", "ha_", "da_"))
     m0 = F.when(hb.isNotNull(), inner(hb, h, db, d)).when(ha.isNotNull(), end_slope(h, ha, d, da)).otherwise(d)
     m1 = F.when(ha.isNotNull(), inner(h, ha, d, da)).when(hb.isNotNull(), end_slope(h, hb, d, db)).otherwise(d)
-    return seg.select(*keys, "seg", "n_seg", "x0", "x1", "y0", "y1", "h", m0.alias("m0"), m1.alias("m1"))
+    return seg.select(*keys, "seg", "n_seg", "x0", "x1", "y0", "y1", "h_", m0.alias("m0"), m1.alias("m1"))
 
 
-def hermite(q: Column) -> Column:
-    t = (q - F.col("x0")) / F.col("h")
+def hermite(q: Column, s: Column) -> Column:
+    t = (q - s["x0"]) / s["h_"]
     t2, t3 = t * t, t * t * t
-    return (2 * t3 - 3 * t2 + 1) * F.col("y0") + (t3 - 2 * t2 + t) * F.col("h") * F.col("m0") + (3 * t2 - 2 * t3) * F.col("y1") + (t3 - t2) * F.col("h") * F.col("m1")
+    return (2 * t3 - 3 * t2 + 1) * s["y0"] + (t3 - 2 * t2 + t) * s["h_"] * s["m0"] + (3 * t2 - 2 * t3) * s["y1"] + (t3 - t2) * s["h_"] * s["m1"]
 
 
 def pchip(prof: DataFrame, queries: DataFrame, keys: Sequence[str], r: str, v: str, at: str, out: str) -> DataFrame:
     """Monotone cubic values; the end pieces go on beyond the ends."""
-    seg = pchip_segments(prof, keys, r, v)
-    match = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    hit = holds(F.col(f"a.{at}"), F.col("b.seg"), F.col("b.n_seg"), F.col("b.x0"), F.col("b.x1"))
-    return queries.alias("a").join(seg.alias("b"), [*match, hit]).select("a.*", hermite(F.col(f"a.{at}")).alias(out))
+    found = with_segment(queries, pchip_segments(prof, keys, r, v).drop("seg", "n_seg"), keys, at)
+    return found.withColumn(out, hermite(F.col(at), F.col("s"))).drop("s")
+
+
+def to_field(prof: DataFrame, pixels: DataFrame, keys: Sequence[str], r: str, v: str, out: str) -> DataFrame:
+    """A profile spread over a field about the origin of its coordinates, wherever the field lies, as float32 values.  Of equal radii the first counts."""
+    placed = pixels.withColumn("at_r", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    found = pchip(prof, placed, keys, r, v, "at_r", out).drop("at_r")
+    return found.withColumn(out, F.col(out).cast("float").cast("double"))
 
 
-def transect(df: DataFrame, keys: Sequence[str], value: str, angle_deg: float, n: int) -> DataFrame:
-    """(keys, j, s, value): bilinear samples on a line through the centre; null where a corner is missing."""
+def transect(df: DataFrame, keys: Sequence[str], value: str, angle_deg: float, n: int | None = None) -> DataFrame:
+    """(keys, j, s, value): bilinear samples on a line through the centre; null where a corner is missing.  Without ``n`` a sample a pixel, three at least."""
     ends = df.groupBy(*keys).agg(*[f(d).alias(f"{n_}_{d}") for d in ("x", "y") for n_, f in (("c", F.avg), ("lo", F.min), ("hi", F.max))], F.max("ix").alias("mx"), F.max("iy").alias("my"))
     r_max = F.least(*[e for d in ("x", "y") for e in (F.col(f"hi_{d}") - F.col(f"c_{d}"), F.col(f"c_{d}") - F.col(f"lo_{d}"))])
     a = math.radians(angle_deg)
-    line = ends.withColumn("r_max", r_max).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("s", -F.col("r_max") + 2 * F.col("r_max") * F.col("j") / (n - 1))
+    res = (F.col("hi_x") - F.col("lo_x")) / F.col("mx")
+    many = F.lit(n) if n else F.greatest(F.lit(3), (F.bround(2 * F.col("r_max") / res) + 1).cast("int"))
+    line = ends.withColumn("r_max", r_max).withColumn("many", many).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("s", -F.col("r_max") + 2 * F.col("r_max") * F.col("j") / (F.col("many") - 1))
     place = lambda d, t, m: ((F.col(f"c_{d}") + F.col("s") * t) - F.col(f"lo_{d}")) / ((F.col(f"hi_{d}") - F.col(f"lo_{d}")) / F.col(m))
     line = line.withColumn("px", place("x", math.cos(a), "mx")).withColumn("py", place("y", math.sin(a), "my"))
     cell = lambda p, m: F.greatest(F.lit(0), F.least(F.col(m) - 1, F.floor(F.col(p)).cast("int")))

@@ -45,13 +45,20 @@ def annulus(order: Window) -> Column:
     return F.pi() * (hi * hi - lo * lo)
 
 
-def cumulative(prof: DataFrame, keys: Sequence[str], value: str = "mean", normalize: bool = True) -> DataFrame:
-    """Adds ``cdf``, the area-weighted running sum of a profile, as a share of its total if that is positive."""
+def cumulative(prof: DataFrame, keys: Sequence[str], value: str = "mean", normalize: bool = True, fill_empty: bool = False) -> DataFrame:
+    """Adds ``cdf``, the area-weighted running sum of a profile, as a share of its total if that is positive.  An empty bin poisons what follows: from
+    it on ``cdf`` is null, and as the total is unknown the sums before it aren't divided; ``fill_empty`` counts it as 0 instead, as encircled energy does."""
     order = Window.partitionBy(*keys).orderBy("r")
-    energy = prof.withColumn("e", F.greatest(F.col(value), F.lit(0.0)) * annulus(order))
-    run = energy.withColumn("cdf", F.sum("e").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.greatest(F.col(value), F.lit(0.0)))
+    if fill_empty:
+        here = F.coalesce(here, F.lit(0.0))
+    energy = prof.withColumn("e", here * annulus(order))
+    so_far, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+    poisoned = lambda w: F.sum(F.col("e").isNull().cast("int")).over(w) > 0
+    run = energy.withColumn("cdf", F.when(~poisoned(so_far), F.sum("e").over(so_far)))
     if normalize:
-        total = F.sum("e").over(Window.partitionBy(*keys))
+        total = F.when(~poisoned(whole), F.sum("e").over(whole))
+        # an unknown last value can't be compared: the sums stay as they are
         run = run.withColumn("cdf", F.when(total > 0, F.col("cdf") / total).otherwise(F.col("cdf")))
     return run.drop("e")
 
@@ -62,8 +69,30 @@ def energy_radius(cdf: DataFrame, keys: Sequence[str], fractions: Sequence[float
     return cdf.groupBy(*keys).agg(*reach)
 
 
+def upsampled(prof: DataFrame, keys: Sequence[str], n_bins: int, value: str = "mean") -> DataFrame:
+    """(keys, bin, r, value) at ``n_bins`` equidistant radii if the profile has fewer bins, by linear interpolation; else the profile as it is."""
+    from .interp import linear
+
+    ends = prof.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_old"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    more = ends.where(F.col("n_old") < n_bins).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+    more = more.select(*keys, "bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / (n_bins - 1)).alias("r"))
+    drawn = linear(prof.where(F.col(value).isNotNull()), more, keys, "r", value, "r", value)
+    kept = prof.join(ends.where(F.col("n_old") >= n_bins).select(*keys), list(keys), "left_semi")
+    return drawn.select(*keys, "bin", "r", value).unionByName(kept.select(*keys, "bin", "r", value))
+
+
+#: Rings that a field is cut to before pixels of one ring are put in order.
+RINGS = 1024
+
+
 def energy_mask(df: DataFrame, keys: Sequence[str], value: str, fraction: float = 0.99) -> DataFrame:
-    """Adds ``mask``: 1 while the running sum of |value| by (r, iy, ix) stays within the fraction."""
-    part = Window.partitionBy(*keys)
-    order = part.orderBy("r", "iy", "ix").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("mask", (F.sum(F.abs(value)).over(order) <= fraction * F.sum(F.abs(value)).over(part)).cast("int"))
+    """Adds ``mask``: 1 while the running sum of |value| by (r, iy, ix) stays within the fraction.  Sums run over rings first, then over the pixels of each
+    ring, so no task orders a whole field."""
+    far = df.groupBy(*keys).agg(F.max("r").alias("far"), F.sum(F.abs(value)).alias("total"))
+    ring = F.when(F.col("far") > 0, F.floor(F.col("r") / F.col("far") * RINGS)).otherwise(0)
+    held = df.join(far, list(keys)).withColumn("ring", ring)
+    sums = held.groupBy(*keys, "ring").agg(F.sum(F.abs(value)).alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(Window.partitionBy(*keys).orderBy("ring").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).drop("s")
+    order = Window.partitionBy(*keys, "ring").orderBy("r", "iy", "ix").rowsBetween(Window.unboundedPreceding, 0)
+    inside = (F.col("before") + F.sum(F.abs(value)).over(order)) <= fraction * F.col("total")
+    return held.join(before, [*keys, "ring"]).withColumn("mask", inside.cast("int")).select(*df.columns, "mask")
