@@ -13,6 +13,29 @@ def resolve_n(res_km: float, n: int | None = None, extent_km: float | None = Non
     return n if n is not None else round(extent_km / res_km)
 
 
+def resolve_bands(res_km: float | dict[str, float], bands: list[str], n: int | dict[str, int] | None = None, extent_km: float | dict[str, float] | None = None) -> dict[str, int]:
+    """Pixels a side of each band; each argument is one for all bands, or by band, all of which it must then have."""
+
+    def of(given, band):
+        if isinstance(given, dict):
+            if band not in given:
+                raise ValueError(f"nothing given for {band}")
+            return given[band]
+        return given
+
+    return {b: resolve_n(of(res_km, b), of(n, b), of(extent_km, b)) for b in bands}
+
+
+def extended(bands: DataFrame, model: str, params: dict[str, float], res: float, n: int) -> DataFrame:
+    """An analytical field anew on a grid of another size."""
+    low, high = params["rho_min"], params["rho_max"]
+    if model in ("gauss", "gaussian"):
+        return gaussian_scene(bands, params["sigma"], res, n=n, low=low, high=high)
+    if model == "disk":
+        return disk_scene(bands, params["radius"], res, n=n, low=low, high=high)
+    raise ValueError(f"no analytical field of model {model}")
+
+
 def grid(bands: DataFrame, n: int, res: float) -> DataFrame:
     """``bands`` crossed with an n x n grid centred on 0."""
     side = F.sequence(F.lit(0), F.lit(n - 1))
