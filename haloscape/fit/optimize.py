@@ -1,7 +1,7 @@
 """Fitting a point spread function: one independent fit for each state, in parallel.
 
 The fit minimises the residual between the surface recovered from uniform-surface reflectance and its target.  Parameters move in
-log space within their bounds; Adam comes first, then L-BFGS with a backtracking search.  The best parameters seen win.
+log space within their bounds; Adam comes first, then L-BFGS with a line search for the strong Wolfe conditions.  The best parameters seen win.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.psf import BOUNDS, FWHM, MIXING, WIDTH
+from ..functions.psf import BOUNDS, FWHM, MIXING, WIDTH, kernels
 from ..operators.convolution import convolve
 
 
@@ -53,6 +54,35 @@ def recovered(unif, k, t):
     return (unif * (t["tdir_up"] + t["tdif_up"]) * (1 - env * t["sph_alb"]) / (1 - unif * t["sph_alb"]) - env * t["tdif_up"]) / t["tdir_up"]
 
 
+def along(loss, slope, x, q, t, lo, hi):
+    """Value and derivative at a step ``t`` down the direction ``q``."""
+    import numpy as np
+
+    at = np.clip(x - t * q, lo, hi)
+    return loss(at), -(slope(at) @ q)
+
+
+def wolfe(at, value: float, steep: float, c1: float = 1e-4, c2: float = 0.9, most: int = 20) -> float:
+    """A step that meets the strong Wolfe conditions: enough descent, and a derivative that is small enough.  Steps grow until they bracket one, which bisection then
+    finds; without one in ``most`` tries the best step with enough descent."""
+    if steep >= 0:
+        return 0.0
+    lo, hi, step, best = 0.0, None, 1.0, 0.0
+    low = value
+    for _ in range(most):
+        f, d = at(step)
+        if f > value + c1 * step * steep or f >= low and lo > 0:
+            hi = step
+        elif abs(d) <= c2 * abs(steep):
+            return step
+        elif d >= 0:
+            best, hi = step, step
+        else:
+            best, lo, low = step, step, f
+        step = 2 * step if hi is None else (lo + hi) / 2
+    return best
+
+
 def minimise(loss, start, lows, highs, stages: Sequence[tuple[str, Stage]]):
     """(best parameters, best loss, history of (stage, step, loss)) of a function of log parameters."""
     import numpy as np
@@ -85,9 +115,7 @@ def minimise(loss, start, lows, highs, stages: Sequence[tuple[str, Stage]]):
                 q *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 0.1 / max(1e-30, np.abs(g).sum())
                 for (s, y), a in zip(pairs, reversed(marks), strict=True):
                     q += s * (a - y @ q / (s @ y))
-                length = 1.0
-                while length > 1e-6 and loss(np.clip(x - length * q, lo, hi)) > value - 1e-4 * length * (g @ q):
-                    length /= 2
+                length = wolfe(lambda t, x=x, q=q: along(loss, slope, x, q, t, lo, hi), value, -(g @ q))
                 moved = np.clip(x - length * q, lo, hi)
                 after = slope(moved)
                 if (moved - x) @ (after - g) > 1e-10 * np.linalg.norm(moved - x) * np.linalg.norm(after - g):
@@ -100,28 +128,54 @@ def minimise(loss, start, lows, highs, stages: Sequence[tuple[str, Stage]]):
     return np.exp(best[1]), float(best[0]), history
 
 
-def fit_psf(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]] = (("adam", ADAM), ("lbfgs", LBFGS))) -> DataFrame:
-    """(combo, param, value, loss, steps).  ``train``: (combo, iy, ix, rho_unif, rho_s, tdir_up, tdif_up, sph_alb), a square field for
-    each state, which is what one task holds."""
-    names = list(BOUNDS[model])
-    schema = ", ".join([*(f"{k} {dict(train.dtypes)[k]}" for k in combo), "param string, value double, loss double, steps int"])
+def fitted(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]], schema: str, rows) -> DataFrame:
+    """What ``rows(keys, best, loss, history)`` gives for each state.  ``train``: (combo, iy, ix, rho_unif, rho_s, tdir_up, tdif_up, sph_alb) and, for several images a state, ``image``
+    and ``weight``; a state's square fields are what one task holds.  Missing pixels count as 0 and aren't compared."""
 
     def run(pdf):
         import numpy as np
         import pandas as pd
 
-        size = int(max(pdf["iy"].max(), pdf["ix"].max())) + 1
-        unif, target = np.zeros((size, size)), np.zeros((size, size))
-        unif[pdf["iy"], pdf["ix"]], target[pdf["iy"], pdf["ix"]] = pdf["rho_unif"], pdf["rho_s"]
-        t = {c: float(pdf[c].iloc[0]) for c in ("tdir_up", "tdif_up", "sph_alb")}
+        images = []
+        for _, one in pdf.groupby("image", sort=True) if "image" in pdf else [(0, pdf)]:
+            iy, ix = one["iy"].to_numpy(), one["ix"].to_numpy()
+            size = int(max(iy.max(), ix.max())) + 1
+            unif = np.zeros((size, size))
+            unif[iy, ix] = one["rho_unif"]
+            t = {c: float(one[c].iloc[0]) for c in ("tdir_up", "tdif_up", "sph_alb")}
+            images.append((unif, one["rho_s"].to_numpy(), iy, ix, t, float(one["weight"].iloc[0]) if "weight" in one else 1.0))
 
         def loss(x):
-            got = recovered(unif, kernel(model, np.exp(x), res, n), t)
-            return float(np.mean(((got - target) / max(np.abs(got).max(), np.abs(target).max(), 1.2e-7)) ** 2))
+            k, total = kernel(model, np.exp(x), res, n), 0.0
+            for unif, target, iy, ix, t, weight in images:
+                got = recovered(unif, k, t)[iy, ix]
+                total += weight * np.mean(((got - target) / max(np.abs(got).max(), np.abs(target).max(), 1.2e-7)) ** 2)
+            return float(total)
 
-        bounds = np.array([BOUNDS[model][k] for k in names])
+        bounds = np.array([BOUNDS[model][k] for k in BOUNDS[model]])
         best, value, history = minimise(loss, np.array(start, float), bounds[:, 0], bounds[:, 1], stages)
-        keys = {k: [pdf[k].iloc[0]] * len(names) for k in combo}
-        return pd.DataFrame({**keys, "param": names, "value": best, "loss": value, "steps": len(history)})
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in combo}, **rows(best, value, history)})
+
+    keys = ", ".join(f"{k} {dict(train.dtypes)[k]}" for k in combo)
+    return train.groupBy(*combo).applyInPandas(run, f"{keys}, {schema}")
+
+
+BOTH = (("adam", ADAM), ("lbfgs", LBFGS))
+
+
+def fit_psf(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]] = BOTH) -> DataFrame:
+    """(combo, param, value, loss, steps)."""
+    names = list(BOUNDS[model])
+    return fitted(train, combo, model, start, res, n, stages, "param string, value double, loss double, steps int", lambda best, value, history: {"param": names, "value": best, "loss": value, "steps": len(history)})
+
+
+def fit_history(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]] = BOTH) -> DataFrame:
+    """(combo, stage, step, loss): the loss before each step."""
+    fields = lambda best, value, history: {"stage": [h[0] for h in history], "step": [h[1] for h in history], "loss": [h[2] for h in history]}
+    return fitted(train, combo, model, start, res, n, stages, "stage string, step int, loss double", fields)
+
 
-    return train.groupBy(*combo).applyInPandas(run, schema)
+def fitted_kernels(fits: DataFrame, combo: Sequence[str], model: str, res: float, n: int) -> DataFrame:
+    """(combo, dy, dx, w): the kernels of all states' parameters."""
+    params = fits.groupBy(*combo).agg(*[F.max(F.when(F.col("param") == p, F.col("value"))).alias(p) for p in BOUNDS[model]])
+    return kernels(params, list(combo), model, res, n).select(*combo, "dy", "dx", "w")
