@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bands
 from .fit import optimize
-from .functions import five_s, psf, radiative
+from .functions import atmosphere, five_s, psf, radiative
 from .operators import algebra, convolution, interp, metrics, radial
 from .plans.modules import Module, Pipeline
 from .sources import generators, product, sinks
@@ -94,9 +94,7 @@ def digitize_levels(spark, d):
 
 
 def albedo_quantize(spark, d):
-    px = raster(spark, d)
-    span = px.groupBy("band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return px.join(span, "band").select("band", "iy", "ix", five_s.quantize_albedo(F.col("v"), F.col("lo"), F.col("hi"), 0.05).alias("level"))
+    return atmosphere.albedo_levels(raster(spark, d), ["band"], "v", 40)
 
 
 def species_normalize(spark, d):
@@ -192,7 +190,7 @@ def nearest_band(spark, d):
 def sweep_union(spark, d):
     p = states(spark, d).select("aot", "h").distinct()
     low = algebra.sweep(p.where("aot < 1"), lambda aot, h: F.round(F.exp(-aot) * (1 + h), 6), "value")
-    high = algebra.sweep(p.where("aot >= 1"), lambda aot: F.round(F.exp(-aot), 6), "value")
+    high = algebra.sweep(p.where("aot >= 1 or aot is null"), lambda aot: F.round(F.exp(-aot), 6), "value")
     return algebra.concat([low, high])
 
 
@@ -245,7 +243,7 @@ def kernel_query(model: str) -> Callable:
 def encircled_energy(spark, d):
     k = psf.kernels(nation_params(spark, d), ["n_nationkey"], "gaussian", 1.0, 41)
     grid = k.select("n_nationkey", (F.col("dy") + 20).alias("iy"), (F.col("dx") + 20).alias("ix"), F.col("dy").cast("double").alias("y"), F.col("dx").cast("double").alias("x"), "w")
-    cdf = radial.cumulative(radial.profile(grid, ["n_nationkey"], "w"), ["n_nationkey"])
+    cdf = radial.cumulative(radial.profile(grid, ["n_nationkey"], "w"), ["n_nationkey"], fill_empty=True)
     return radial.energy_radius(cdf, ["n_nationkey"]).select("n_nationkey", r6("r_10"), r6("r_50"), r6("r_99"))
 
 
@@ -319,8 +317,7 @@ def loss_landscape(spark, d):
 
 def training_set(spark, d):
     """Each band as a uniform-surface field, and as its target the surface under a known point spread function."""
-    size = raster(spark, d).groupBy("band").agg((F.max("iy") + 1).alias("ny"))
-    px = raster(spark, d).join(size.where("ny = 64"), "band").withColumn("rho_unif", 0.3 + 0.05 * F.col("v"))
+    px = raster(spark, d).withColumn("rho_unif", 0.3 + 0.05 * F.col("v"))
     k = psf.kernels(values(spark, [(0, 2.0)], "k int, sigma double"), ["k"], "gaussian", 1.0, 15).select("dy", "dx", "w")
     env = convolution.fft(px, k, ["band"], "rho_unif", "env").join(px.select("band", "iy", "ix", "rho_unif"), ["band", "iy", "ix"])
     target = five_s.surface(F.col("rho_unif"), F.col("env"), F.lit(TDIR), F.lit(TDIF), F.lit(0.1))
@@ -341,7 +338,7 @@ def radiative_pipeline(spark, d):
 
 
 def monte_carlo_transmittance(spark, d):
-    s = states(spark, d).select("aot").distinct().where("aot > 0")
+    s = states(spark, d).select(F.greatest(F.lit(0.0), F.col("aot")).alias("aot")).where("aot is not null").distinct()
     s = s.select((F.col("aot") * 10).cast("bigint").alias("state"), F.col("aot").alias("od"), F.lit(30.0).alias("sza"))
     return radiative.monte_carlo(s, 5000).withColumn("beer", five_s.direct_transmittance(F.col("od"), F.lit(30.0)))
 
@@ -384,10 +381,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         radial_cdf, energy_mask, encircled_energy, linear_interp, adaptive_radii, gap_fill, pchip_field, transect, psf_conv_small, psf_conv_fft, residual_metrics,
         weighted_loss, loss_landscape, fit_psf_adam_lbfgs, radiative_pipeline, monte_carlo_transmittance, psf_atm_mc, forward_pipeline,
     )
-    return {f.__name__: f for f in plain} | {f"psf_{m}": kernel_query(m) for m in psf.MODELS}
+    from . import catalogue_more
+
+    return {f.__name__: f for f in plain} | {f"psf_{m}": kernel_query(m) for m in psf.MODELS} | catalogue_more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalogue_more
     from .catalogue_sql import SQL
 
-    return dict(SQL)
+    return SQL | catalogue_more.oracle_sql()

@@ -22,8 +22,9 @@ prof as (select {keys}, bin, case when bin = 0 then 0e0 else (bin + 0.5e0) * r_m
 def cdf(keys: str) -> str:
     return f"""
 edge as (select *, lag(r) over w as rb, lead(r) over w as ra from prof window w as (partition by {keys} order by r)),
-energy as (select *, greatest(mean, 0e0) * pi() * (power(coalesce((r + ra) / 2, r + (r - rb) / 2), 2) - power(coalesce((rb + r) / 2, r - (ra - r) / 2), 2)) as e from edge),
-run as (select *, sum(e) over (partition by {keys} order by r rows unbounded preceding) as c, sum(e) over (partition by {keys}) as total from energy),
+energy as (select *, case when mean is not null then greatest(mean, 0e0) end * pi() * (power(coalesce((r + ra) / 2, r + (r - rb) / 2), 2) - power(coalesce((rb + r) / 2, r - (ra - r) / 2), 2)) as e from edge),
+run as (select *, case when sum(case when e is null then 1 else 0 end) over w = 0 then sum(e) over w end as c, case when sum(case when e is null then 1 else 0 end) over k = 0 then sum(e) over k end as total
+  from energy window w as (partition by {keys} order by r rows unbounded preceding), k as (partition by {keys})),
 cdf as (select *, case when total > 0 then c / total else c end as cdf from run)"""
 
 
@@ -67,8 +68,12 @@ SQL = {
     "surface_recovery": f"""{R}, env as (select a.band, a.iy, a.ix, a.v, sum(b.v) / 9 as env from raster a join raster b on a.band = b.band and abs(a.iy - b.iy) <= 1 and abs(a.ix - b.ix) <= 1 group by all)
 select band, iy, ix, round((v * 0.7e0 * (1 - env * 0.1e0) / (1 - v * 0.1e0) - env * 0.1e0) / 0.6e0, 6) as rho_s from env""",
     "digitize_levels": "with s as (select min(value) as lo, max(value) as hi from events) select event_id, round(lo + (hi - lo) / 7 * least(7, floor((value - lo) / ((hi - lo) / 7) + 0.5e0)), 6) as level from events, s",
-    "albedo_quantize": f"""{R}, s as (select band, greatest(0, min(v)) as lo, max(v) as hi from raster group by band)
-select band, iy, ix, cast(greatest(0, least(round_even((v - lo) / 0.05e0, 0), floor((hi - lo) / 0.05e0))) as int) as level from raster join s using (band)""",
+    "albedo_quantize": f"""{R}, s as (select band, greatest(0, min(v)) as lo, max(v) as hi, max(iy) as my, max(ix) as mx from raster group by band),
+l as (select band, iy, ix, lo, (hi - lo) / 39e0 as step, v from raster join s using (band)),
+inner_ as (select band, iy, ix, cast(greatest(0, least(39, round_even((v - lo) / step, 0))) as int) as level, lo, step from l)
+select band, iy, ix, level, round_even(lo + step * level, 4) as albedo from inner_
+union all select band, cast(unnest(range(-1, my + 1)) as int), -1, -1, null from s
+union all select band, -1, cast(unnest(range(0, mx + 1)) as int), -1, null from s""",
     "species_normalize": "with n as (select p_brand, p_type, cast(count(*) as double) as n from part group by all), t as (select *, sum(n) over (partition by p_brand) as t from n) select p_brand, p_type as species, round(case when abs(t - 1) > 1e-2 then n / t else n end, 6) as share from t",
     "sat_position": "select s_suppkey, round(round_even(700 * tan(radians(s_suppkey % 60)) * cos(radians(180e0 - s_suppkey % 360)), 4), 3) as dx, round(round_even(700 * tan(radians(s_suppkey % 60)) * sin(radians(180e0 - s_suppkey % 360)), 4), 3) as dy from supplier",
     "sensor_grid": """with s as (select n_nationkey, n_nationkey * 2e0 as vza, n_nationkey * 14e0 as vaa, iy, ix, (ix - 2) * 0.5e0 as x, (iy - 2) * 0.5e0 as y from nation, (select cast(unnest(range(5)) as int) as iy), (select cast(unnest(range(5)) as int) as ix))
@@ -88,7 +93,7 @@ select band, iy, ix, case when x * x + y * y <= 4 then 0.75e0 else 0.25e0 end as
     "reindex_grid": f"{R} select band, iy, ix, round(case when v > 0 then v end, 6) as v from raster",
     "valid_mask": f"{R} select band, iy, ix, iy between 5 and 24 and ix between 7 and 36 as valid from raster",
     "nearest_band": f"with b(n, band_id, wl_nm) as (values {BAND_VALUES}), d as (select p_partkey, band_id, wl_nm, row_number() over (partition by p_partkey order by abs(p_retailprice - wl_nm), n) as k from part, b) select p_partkey, band_id, wl_nm from d where k = 1",
-    "sweep_union": f"with {STATES}, u as (select distinct aot, h from st) select aot, h, round(case when aot < 1 then exp(-aot) * (1 + h) else exp(-aot) end, 6) as value from u where aot is not null",
+    "sweep_union": f"with {STATES}, u as (select distinct aot, h from st) select aot, h, round(case when aot < 1 then exp(-aot) * (1 + h) else exp(-aot) end, 6) as value from u",
     "chunked_sweep": f"with {STATES}, u as (select distinct aot, h from st), c as (select aot, cast((row_number() over (order by aot) - 1) // 4 as int) as chunk from (select distinct aot from u)) select chunk, round(sum(exp(-aot)), 6) as total, count(*) as n from u join c using (aot) group by chunk",
     "block_reduce": f"{R}, s as (select band, max(iy) + 1 as ny, max(ix) + 1 as nx from raster group by band) select band, cast(iy // 3 as int) as by, cast(ix // 3 as int) as bx, round(avg(v), 6) as v from raster join s using (band) where iy < ny - ny % 3 and ix < nx - nx % 3 group by all",
     "best_step": "with o as (select user_id, value, event_id, row_number() over (partition by user_id order by value nulls first, event_id) as k from events) select user_id, round(value, 6) as loss, event_id from o where k = 1",

@@ -155,7 +155,7 @@ def test_pipeline_checks_and_caches(spark, tmp_path):
 
 
 def test_product_metadata(spark):
-    xml = "<P><Product_Quality/><Sun_Angles><ZENITH_ANGLE>31.256</ZENITH_ANGLE><AZIMUTH_ANGLE>140.004</AZIMUTH_ANGLE></Sun_Angles><L><Mean_Viewing_Incidence_Angle band_id='B2'><ZENITH_ANGLE>5.126</ZENITH_ANGLE><AZIMUTH_ANGLE/></Mean_Viewing_Incidence_Angle></L><Aerosol_Models><dust>1</dust><sulphate>3</sulphate></Aerosol_Models></P>"
+    xml = "<P><Product_Quality/><Sun_Angles><ZENITH_ANGLE>31.256</ZENITH_ANGLE><AZIMUTH_ANGLE>140.004</AZIMUTH_ANGLE></Sun_Angles><L><Mean_Viewing_Incidence_Angle band_id='B2'><ZENITH_ANGLE>5.126</ZENITH_ANGLE><AZIMUTH_ANGLE/></Mean_Viewing_Incidence_Angle></L><Models><Model name='dust'>1</Model><Model name='sulphate'>3</Model></Models></P>"
     df = spark.createDataFrame([(xml, "SENTINEL2B_20180616-102816-151_L2A_T32TMR_C_V1-0")], "x string, n string")
     x = F.col("x")
     cols = {"rh": product.humidity(x), **product.sun_angles(x), **product.view_angles(x, "B2"), "sp": product.species(x), **product.folder_parts(F.col("n"))}
