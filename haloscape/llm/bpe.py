@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import others
+from .common import frugal, others
 
 MAX_FILE = 64 << 20
 #: Encoded words that a task remembers: the first so many that it sees, which common words are among.
@@ -241,4 +241,4 @@ def tokenize(documents: DataFrame, tokenizer_file: str, text_col: str = "text")
             bpe.words.clear()
             bpe.compatible.clear()
 
-    return plain.mapInArrow(run, schema).toDF(*names, *ADDED)
+    return plain.mapInArrow(frugal(run), schema).toDF(*names, *ADDED)

@@ -81,9 +81,12 @@ def look_ups(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def starts(index: DataFrame, looked: DataFrame, n_looked: int) -> DataFrame:
     """(id, th, w, start): places where a window's rarest term and one of the next two stand as it asks."""
-    asked = looked.select(F.explode(F.concat(F.array("term"), F.transform("next", lambda x: x["term"]))).alias("term")).distinct()
-    lists = index.join(small(asked, n_looked), "term", "left_semi").groupBy(*DOCUMENT).agg(F.collect_set(F.struct("term", "pos")).alias("held"))
-    keyed = lists.select(*DOCUMENT, F.transform("held", lambda p: F.xxhash64(p["term"], p["pos"])).alias("keys"), F.explode("held").alias("p")).select(*DOCUMENT, "keys", "p.term", "p.pos")
+    # a term that some window is looked up by makes starts; the others are only asked about
+    terms = F.concat(F.array(F.struct("term", F.lit(True).alias("first"))), F.transform("next", lambda x: F.struct(x["term"].alias("term"), F.lit(False).alias("first"))))
+    asked = looked.select(F.explode(terms).alias("t")).groupBy("t.term").agg(F.max("t.first").alias("first"))
+    lists = index.join(small(asked, n_looked), "term").groupBy(*DOCUMENT).agg(F.collect_set(F.struct("term", "pos", "first")).alias("held"))
+    firsts = F.filter("held", lambda p: p["first"])
+    keyed = lists.select(*DOCUMENT, F.transform("held", lambda p: F.xxhash64(p["term"], p["pos"])).alias("keys"), F.explode(firsts).alias("p")).select(*DOCUMENT, "keys", "p.term", "p.pos")
     found = keyed.join(small(looked, n_looked), "term").withColumn("start", F.col("pos") - F.col("off"))
     shifts = F.array(*[F.lit(d) for d in range(-SLACK, SLACK + 1)])
     wanted = F.flatten(F.transform("next", lambda x: F.transform(shifts, lambda d: F.xxhash64(x["term"], (F.col("start") + x["off"] + d).cast("int")))))
@@ -95,7 +98,9 @@ def verified(index: DataFrame, found: DataFrame, windows: DataFrame, n_windows:
     named = found.join(small(windows, n_windows), "w").withColumn("n", F.size("terms"))
     places = named.select(*DOCUMENT, "w", "item", "start", "n", "terms", F.explode(F.sequence(F.greatest(F.lit(0), F.col("start") - SLACK), F.col("start") + F.col("n") - 1 + SLACK)).alias("pos"))
     same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th"))
-    there = index.where(F.col("term") != LENGTH).alias("a").join(found.select(*DOCUMENT).distinct().alias("b"), same, "left_semi").select("a.*").distinct()
+    # few documents are left: written on their own, their size says whether the postings must be shuffled to meet them
+    left = materialize(found.select(*DOCUMENT).distinct(), "documents-left")
+    there = index.where(F.col("term") != LENGTH).alias("a").join(left.alias("b"), same, "left_semi").select("a.*").distinct()
     met = places.alias("a").join(there.alias("b"), same & (F.col("a.pos") == F.col("b.pos"))).select("a.*", "b.term")
     stands = F.coalesce(F.get("terms", F.col("pos") - F.col("start")) == F.col("term"), F.lit(False)) & (F.col("pos") >= F.col("start"))
     held = met.groupBy(*DOCUMENT, "w", "item", "start", "n", "terms").agg(F.sum(stands.cast("int")).alias("stand"), F.collect_set("term").alias("around"))
