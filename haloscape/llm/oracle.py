@@ -93,6 +93,58 @@ told as (select doc_id, {kinds}, sha256(coalesce(string_agg({said}, ',' order by
 select doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) as n_{r.kind}' for r in secrets.BASE_RULES)}, coalesce(base_sha256, sha256('')) as base_sha256, coalesce(spans, '') as spans from d left join told using (doc_id)"""
 
 
+#: The table of CRC-32 by its polynomial, and the checksum of a string's UTF-8 bytes with it.
+_CRC_TABLE = "(select [list_reduce(list_prepend(i, range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) for i in range(256)] as crc_table)"
+
+
+def crc32_sql(text: str) -> str:
+    octets = f"[('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2])::bigint for i in range(octet_length(encode({text})))]"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def prefix_trie_sql() -> str:
+    words = "len([x for x in regexp_split_to_array(node[-1].x, '[\\x20\\x09-\\x0D]+') if x <> ''])"
+    return f"""
+with t as (select conv_id, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} as said, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 20 as base, {crc32_sql('conv_id::varchar')} % 4 as h from (select distinct conv_id from t), {_CRC_TABLE}),
+b as (select c.conv_id, k, said from c join t on t.conv_id = c.base and k <= h union all select c.conv_id, k, said from c join t using (conv_id) where k > h),
+p as (select conv_id, coalesce(list(said order by k) filter (where k is not null), []) as p from c left join b using (conv_id) group by conv_id),
+m as (select conv_id, p[1:d] as node, d, len(p) = d as ends from (select conv_id, p, unnest(range(len(p) + 1)) as d from p)),
+n as (select node, d, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256 from m group by node, d),
+kids as (select node[1:d - 1] as node, count(*) as n_children from n where d > 0 group by 1),
+w as (select n.*, coalesce(n_children, 0) as n_children, case when d > 0 then (n_convs - 1) * {words} else 0 end as saved from n left join kids using (node)),
+s as (select node[1:e] as node, sum(saved)::bigint as saved_tokens, count(*) filter (where n_children = 0) as n_leaves from (select *, unnest(range(d + 1)) as e from w) group by 1)
+select w.conv_id, w.d as depth, u.conv_id as parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+from w join s using (node) left join n u on u.node = w.node[1:w.d - 1] and w.d > 0"""
+
+
+def spelling_sql() -> str:
+    run = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+with r as (select doc_id, {run} as w, count(*) as k from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents) group by 1, 2),
+h as (select w, k, {crc32_sql("coalesce(doc_id::varchar, '') || ':' || w")} as h from r, {_CRC_TABLE}),
+v as (select word, sum(k)::bigint as n from (select case when h % 97 = 0 then substring(w, 1, (h % length(w))::int) || substring(w, (h % length(w))::int + 2) else w end as word, k from h) group by 1 having n >= 3 and length(word) >= 5),
+i as (select word, n, unnest(range(length(word))) as i from v),
+wild as (select word, n, substring(word, 1, i::int) || '*' || substring(word, i::int + 2) as g from i),
+cut as (select distinct word, n, substring(word, 1, i::int) || substring(word, i::int + 2) as g from i),
+link as (select a.word, b.word as near, b.n as k from wild a join wild b on a.g = b.g and a.word <> b.word
+  union select cut.word, v.word, v.n from cut join v on v.word = g union select v.word, cut.word, cut.n from cut join v on v.word = g),
+best as (select word, count(*) as n_near, first(near order by k desc, near) as near, max(k) as k from link group by word),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when k >= 2 * v.n then near end as form, case when k >= 2 * v.n then k end as form_n from v left join best using (word)),
+up as (with recursive s as (select word, word as at from f union all select s.word, f.form from s join f on f.word = s.at where f.form is not null)
+  select s.word, s.at as root from s join f on f.word = s.at where f.form is null)
+select f.*, root from f join up using (word)"""
+
+
+def line_dedup_sql() -> str:
+    key = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+with l as (select doc_id, line, i, {key} as key from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+c as (select key, max(doc_id) as last from l where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+g as (select doc_id, line, i, coalesce(doc_id <> last, false) as gone from l left join c using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from g group by doc_id"""
+
+
 SQL = {
     "op1_url_filter": """
 with parsed as (
@@ -153,4 +205,7 @@ from (select doc_id, min(r) as component_id from reach group by doc_id) left joi
     "op3_quality": quality_sql(),
     "op7_licenses": licenses_sql(),
     "op10_secrets": secrets_sql(),
+    "op11_prefix_trie": prefix_trie_sql(),
+    "op12_spelling_variants": spelling_sql(),
+    "op13_line_dedup": line_dedup_sql(),
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, licenses, near_dup, paragraphs, quality, secrets, sharding, url_filter
+from . import bpe, chat, contamination, licenses, line_dedup, near_dup, paragraphs, prefix_trie, quality, secrets, sharding, spelling, url_filter
 from .common import table
 
 BLOCK, ALLOW = ("net/", "example.com/de/"), ("example.net/en/", "org/fr/")
@@ -114,8 +114,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    out = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base, taken)
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"), word=spelling.with_deletions("doc_id"))
+    return spelling.variants(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_sharding, op3_quality, op4_near_duplicates, op5_bpe, op6_substring_dedup, op7_licenses, op8_chat_format, op9_contamination, op10_secrets)
+    found = (op1_url_filter, op2_sharding, op3_quality, op4_near_duplicates, op5_bpe, op6_substring_dedup, op7_licenses, op8_chat_format, op9_contamination, op10_secrets, op11_prefix_trie, op12_spelling_variants, op13_line_dedup)
     return {f.__name__: f for f in found}
 
 
