@@ -11,11 +11,13 @@ from .bands import WAVELENGTHS
 from .fit import optimize
 from .fit.collection import PsfCollection
 from .functions import psf, radiative
+from .functions.atmosphere import Transform
 from .functions.five_s import digitize
 from .operators import forward, radial
 from .operators.algebra import dedup_apply
 from .operators.convolution import unif2surface
 from .plans.configs import AtmosphereConfig, GeometryConfig, SpectralConfig, Sweep
+from .plans.modules import Module
 from .scene import Scene
 from .sources.product import ATMOSPHERE, ELEVATION, GEOMETRY, ProductLoader
 
@@ -115,11 +117,22 @@ class FittedPsf:
 class PsfFit:
     """A point spread function to be fitted: ``fit`` gives what recovers surfaces."""
 
-    def __init__(self, model: str, start: Sequence[float], res: float, n: int, stages=(("adam", optimize.ADAM), ("lbfgs", optimize.LBFGS))):
-        self.model, self.start, self.res, self.n, self.stages = model, list(start), res, n, stages
+    def __init__(self, model: str, start: Sequence[float], res: float, n: int, stages=(("adam", optimize.ADAM), ("lbfgs", optimize.LBFGS)), moves: Mapping[str, Transform] | None = None):
+        self.model, self.start, self.res, self.n, self.stages, self.moves = model, list(start), res, n, stages, dict(moves or {})
+
+    @property
+    def config(self) -> dict:
+        """All that a fit depends on besides its training data."""
+        return {"model": self.model, "start": self.start, "res": self.res, "n": self.n, "stages": [[k, vars(s)] for k, s in self.stages], "moves": {k: vars(t) for k, t in sorted(self.moves.items())}}
+
+    def as_module(self, combo: Sequence[str], name: str = "psf_fit") -> Module:
+        """The fit as a module of a pipeline, with its contract and cache key: from the training columns to (combo, param, value, loss)."""
+        needs = ("iy", "ix", "rho_unif", "rho_s", "tdir_up", "tdif_up", "sph_alb")
+        fit = lambda df: optimize.fit_psf(df, combo, self.model, self.start, self.res, self.n, self.stages, self.moves)
+        return Module(name, (*combo, *needs), (*combo, "param", "value", "loss"), fit, {**self.config, "combo": list(combo)})
 
     def fit(self, train: DataFrame, combo: Sequence[str]) -> FittedPsf:
-        found = optimize.fit_psf(train, combo, self.model, self.start, self.res, self.n, self.stages)
+        found = optimize.fit_psf(train, combo, self.model, self.start, self.res, self.n, self.stages, self.moves)
         return FittedPsf(optimize.fitted_kernels(found, combo, self.model, self.res, self.n), found, combo)
 
 

@@ -306,15 +306,6 @@ def weighted_loss(spark, d):
     return metrics.weighted_loss(found, ["half"], "mse_rad", "weight").select("half", r6("loss"))
 
 
-def loss_landscape(spark, d):
-    sigmas = values(spark, [(s,) for s in (0.5, 1.0, 1.5, 2.0)], "sigma double")
-    kernels = psf.kernels(sigmas, ["sigma"], "gaussian", 1.0, 5)
-    px = algebra.product([raster(spark, d).select("band", "iy", "ix", "v"), sigmas])
-    conv = convolution.small(px, kernels.select("sigma", "dy", "dx", "w"), ["sigma", "band"], "v", "c").join(raster(spark, d), ["band", "iy", "ix"])
-    per = conv.groupBy("sigma", "band").agg(F.avg((F.col("c") - F.col("v")) * (F.col("c") - F.col("v"))).alias("mse"))
-    return per.groupBy("sigma").agg(F.round(F.avg("mse"), 6).alias("loss"))
-
-
 def training_set(spark, d):
     """Each band as a uniform-surface field, and as its target the surface under a known point spread function."""
     px = raster(spark, d).withColumn("rho_unif", 0.3 + 0.05 * F.col("v"))
@@ -331,23 +322,6 @@ def fit_psf_adam_lbfgs(spark, d):
 # ---- radiatives and the whole chain
 
 
-def radiative_pipeline(spark, d):
-    dims = {"wl": (490.0, 665.0, 865.0), "aot": (0.1, 0.3), "h": (0.0, 1.0), "sza": (0.0, 45.0), "vza": (0.0, 20.0)}
-    out = radiative.pipeline([values(spark, [(x,) for x in v], f"{k} double") for k, v in dims.items()], list(dims))
-    return out.select(*dims, *[r6(c) for c in radiative.OUTPUTS])
-
-
-def monte_carlo_transmittance(spark, d):
-    s = states(spark, d).select(F.greatest(F.lit(0.0), F.col("aot")).alias("aot")).where("aot is not null").distinct()
-    s = s.select((F.col("aot") * 10).cast("bigint").alias("state"), F.col("aot").alias("od"), F.lit(30.0).alias("sza"))
-    return radiative.monte_carlo(s, 5000).withColumn("beer", five_s.direct_transmittance(F.col("od"), F.lit(30.0)))
-
-
-def psf_atm_mc(spark, d):
-    s = values(spark, [(n, 0.1 * (n + 1), 8.0) for n in range(4)], "state bigint, od double, height double")
-    return radiative.psf_atm(s, 0.5, 41)
-
-
 def forward_modules(spark) -> Pipeline:
     def with_radiatives(df):
         p = values(spark, [(490.0, a, 0.0, 30.0, 5.0) for a in (0.1, 0.2, 0.4)], "wl double, aot double, h double, sza double, vza double")
@@ -379,15 +353,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         species_normalize, sat_position, sensor_grid, radial_sensors, gaussian_scene, disk_scene, random_scene, npy_export_names, dedup_index, dedup_expand,
         sel_label, isel_slice, nearest_label, reindex_grid, valid_mask, nearest_band, sweep_union, chunked_sweep, block_reduce, best_step, radial_mean, radial_std,
         radial_cdf, energy_mask, encircled_energy, linear_interp, adaptive_radii, gap_fill, pchip_field, transect, psf_conv_small, psf_conv_fft, residual_metrics,
-        weighted_loss, loss_landscape, fit_psf_adam_lbfgs, radiative_pipeline, monte_carlo_transmittance, psf_atm_mc, forward_pipeline,
+        weighted_loss, fit_psf_adam_lbfgs, forward_pipeline,
     )
-    from . import catalogue_more
+    from . import catalogue_more, catalogue_scale
 
-    return {f.__name__: f for f in plain} | {f"psf_{m}": kernel_query(m) for m in psf.MODELS} | catalogue_more.queries()
+    return {f.__name__: f for f in plain} | {f"psf_{m}": kernel_query(m) for m in psf.MODELS} | catalogue_more.queries() | catalogue_scale.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue_more
+    from . import catalogue_more, catalogue_scale
     from .catalogue_sql import SQL
 
-    return SQL | catalogue_more.oracle_sql()
+    return SQL | catalogue_more.oracle_sql() | catalogue_scale.SQL

@@ -11,7 +11,6 @@ from . import catalogue as base
 from . import scene as scenes
 from .functions import atmosphere, psf, radiative
 from .operators import convolution, forward, interp, metrics, radial
-from .plans import configs
 from .sources import generators, product
 
 
@@ -25,8 +24,9 @@ def gaussian(spark: SparkSession, side: int, sigmas: tuple[float, ...]) -> DataF
 
 
 def named_scene(spark, d) -> scenes.Scene:
-    px = base.raster(spark, d).withColumn("band", F.col("band").cast("string"))
-    return scenes.source(["0", "1", "2", "3"]).enrich("v", px.where("band in ('0', '1', '2', '3')").select("band", "iy", "ix", "v"), meta=scenes.Meta(kind="arbitrary"))
+    """All of the raster as four bands, whose fields stand one below the other."""
+    px = base.raster(spark, d).select((F.col("band") % 4).cast("string").alias("band"), (F.floor(F.col("band") / 4) * 64 + F.col("iy")).cast("int").alias("iy"), "ix", "v")
+    return scenes.source(["0", "1", "2", "3"]).enrich("v", px, meta=scenes.Meta(kind="arbitrary"))
 
 
 def scene_info(spark, d):
@@ -64,26 +64,8 @@ def pixel_rows(spark, d):
 
 def misaligned_pixels(spark, d):
     px = base.raster(spark, d)
-    return scenes.misaligned([px.where("band = 0"), px.where("band = 1"), px.where("band = 7")], ["iy", "ix"])
-
-
-def zipped_sweep(spark, d):
-    pixel = ("pixel",)
-    sweep = configs.Sweep({"aot": configs.values("aot", (pixel, [0.1, 0.2, 0.3])), "h": configs.values("h", (pixel, [0.0, 1.0, 2.0])), "sza": configs.values("sza", [0.0, 30.0, 60.0])})
-    out = sweep.apply(spark, lambda aot, h, sza: F.exp(-aot / F.cos(F.radians(sza))) * (1 - h / 10), "t")
-    return out.select("aot", "h", "sza", r6(F.col("t"), "t"))
-
-
-def sweep_function(spark, d):
-    def depth(aot, wl, angstrom):
-        return aot * (560.0 / wl) ** angstrom
-
-    sweep = configs.Sweep({"aot": configs.values("aot", [0.1, 0.2]), "rh": configs.values("rh", [50.0, 60.0])}, {"wl": configs.values("wl", [443.0, 490.0, 560.0, 665.0, 865.0])}, {"wl": 2})
-    return sweep.apply(spark, depth, "tau", angstrom=1.3).select("aot", "rh", "wl", r6(F.col("tau"), "tau"))
-
-
-def geometry_offsets(spark, d):
-    return configs.GeometryConfig(30.0, [0.0, 15.0, 30.0], 45.0, [0.0, 90.0, 180.0]).offsets(spark)
+    last = px.select("band", "iy", "ix").where(F.col("iy") + F.col("band") >= 3)  # the first bands lack rows
+    return scenes.misaligned([last.where(F.col("band") % 3 == k) for k in range(3)], ["iy", "ix", "band"])
 
 
 def species_split(spark, d):
@@ -156,7 +138,7 @@ def two_states(spark) -> DataFrame:
 
 
 def rho_toa_full(spark, d):
-    px = base.raster(spark, d).where("band < 4").select("band", "iy", "ix", (0.3 + 0.05 * F.col("v")).alias("rho_s"))
+    px = base.raster(spark, d).select("band", "iy", "ix", (0.3 + 0.05 * F.col("v")).alias("rho_s"))
     seen = forward.full(px, two_states(spark), ["band"], ["aot"], gaussian(spark, 9, (2.0,)).drop("sigma"), "arbitrary", (5, 7, 20, 30))
     return seen.select("band", "aot", "iy", "ix", r6(F.col("rho_toa"), "rho_toa"), "rho_toa_valid")
 
@@ -185,7 +167,7 @@ def product_metadata(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        scene_info, band_replace, scene_table, normalise_output, unflatten_sensors, pixel_rows, misaligned_pixels, zipped_sweep, sweep_function, geometry_offsets, species_split, vertical_grids, atmospheres,
+        scene_info, band_replace, scene_table, normalise_output, unflatten_sensors, pixel_rows, misaligned_pixels, species_split, vertical_grids, atmospheres,
         surface_background, angle_sensors, extend_analytical, radial_upsampled, masked_metrics, transect_default, psf_conv_tiled, psf_conv_states, unif_to_surface, rho_toa_full, rho_toa_symmetric, product_metadata,
     )
     return {f.__name__: f for f in found}

@@ -29,15 +29,12 @@ UNIF = "u as (select band, iy, ix, 0.3e0 + 0.05e0 * v as v from raster)"
 
 SQL = {
     "scene_info": f"with {RASTER} select band, max(case when ix = 1 then x end) - max(case when ix = 0 then x end) as res, count(distinct ix) as n from raster group by band",
-    "band_replace": f"with {RASTER} select cast(band as varchar) as band, iy, ix, round(case when band = 3 then v * 2 else v end, 6) as v from raster where band < 4",
-    "scene_table": f"with {RASTER} select cast(band as varchar) as band, cast(k as int) as k, round(avg(v * (0.5e0 * k + band)), 6) as mean, count(*) as n from raster, (values (1), (2)) t(k) where band < 4 group by band, k",
+    "band_replace": f"with {RASTER} select cast(band % 4 as varchar) as band, cast(band // 4 * 64 + iy as int) as iy, ix, round(case when band % 4 = 3 then v * 2 else v end, 6) as v from raster",
+    "scene_table": f"with {RASTER} select cast(band % 4 as varchar) as band, cast(k as int) as k, round(avg(v * (0.5e0 * k + band % 4)), 6) as mean, count(*) as n from raster, (values (1), (2)) t(k) group by band % 4, k",
     "normalise_output": f"with {RASTER} select band, iy, ix, round(v, 6) as rho, 490e0 as wl from raster",
     "unflatten_sensors": f"with {RASTER} select band, cast((iy * 64 + ix) // 16 as int) as iy, cast((iy * 64 + ix) % 16 as int) as ix, round(v, 6) as v from raster",
     "pixel_rows": f"with {RASTER} select band, iy, count(*)::int as n, round(sum(v), 4) as total, round(max(case when ix = 5 then v end), 5) as sixth from raster group by band, iy",
-    "misaligned_pixels": f"with {RASTER} select iy, ix, count(*) as images from raster where band in (0, 1, 7) group by iy, ix having count(*) < 3",
-    "zipped_sweep": "select aot, h, sza, round(exp(-aot / cos(radians(sza))) * (1 - h / 10), 6) as t from (values (0.1e0, 0e0), (0.2e0, 1e0), (0.3e0, 2e0)) a(aot, h), (values (0e0), (30e0), (60e0)) s(sza)",
-    "sweep_function": "select aot, rh, wl, round(aot * pow(560e0 / wl, 1.3e0), 6) as tau from (values (0.1e0), (0.2e0)) a(aot), (values (50e0), (60e0)) r(rh), (values (443e0), (490e0), (560e0), (665e0), (865e0)) w(wl)",
-    "geometry_offsets": "select vza, vaa, round_even(700 * tan(radians(vza)) * cos(radians(180 - vaa)), 4) as dx, round_even(700 * tan(radians(vza)) * sin(radians(180 - vaa)), 4) as dy from (values (0e0), (15e0), (30e0)) a(vza), (values (0e0), (90e0), (180e0)) b(vaa)",
+    "misaligned_pixels": f"with {RASTER} select iy, ix, band, count(distinct band % 3) as images from raster where iy + band >= 3 group by iy, ix, band having count(distinct band % 3) < 3",
     "species_split": f"with {STATES} select event_id, aerosol, round(aot * share, 6) as tau_ref from st, (values ('dust', 0.25e0), ('sulphate', 0.75e0)) m(aerosol, share)",
     "vertical_grids": """with base as (select i, 10e0 - i * 0.25e0 as z from (select unnest(range(41)) as i))
 select r_regionkey as band, grid, cast(level as int) as level, z from region, (
@@ -75,7 +72,7 @@ select r.band, r.iy, r.ix, round(sum(s.v * g), 6) as v_conv from wx r join ty s
     "psf_conv_fft": f"{R}, {appended('raster', 'band', 'v', 33, '4e0')} select band, iy, ix, round(env, 6) as v_conv from conv",
     "unif_to_surface": f"""{R}, {UNIF}, {appended('u', 'band', 'v', 9, '2e0')}
 select band, iy, ix, round((u.v * 0.7e0 * (1 - env * 0.1e0) / (1 - u.v * 0.1e0) - env * 0.1e0) / 0.6e0, 6) as rho_s from u join conv using (band, iy, ix)""",
-    "rho_toa_full": f"""{R}, u as (select band, iy, ix, 0.3e0 + 0.05e0 * v as v from raster where band < 4), {appended('u', 'band', 'v', 9, '2e0')},
+    "rho_toa_full": f"""{R}, u as (select band, iy, ix, 0.3e0 + 0.05e0 * v as v from raster), {appended('u', 'band', 'v', 9, '2e0')},
 grid as (select 490e0 as wl, aot, 0e0 as h, 30e0 as sza, 5e0 as vza from (values (0.1e0), (0.3e0)) a(aot)), {RADIATIVE}
 select band, aot, iy, ix, round(case when iy between 5 and 24 and ix between 7 and 36 then rho_atm + (tdir_down + tdif_down) * (tdir_up * u.v + tdif_up * env) / (1 - sph_alb * env) end, 6) as rho_toa, iy between 5 and 24 and ix between 7 and 36 as rho_toa_valid
 from u join conv using (band, iy, ix), rt""",

@@ -136,12 +136,6 @@ select band, j, round(s, 6) as s, round(case when count(v) = 4 then sum(v * w) e
     "psf_conv_small": f"{R}, {GAUSS5} select a.band, a.iy, a.ix, round(sum(b.v * w), 6) as v_conv from raster a join kern on true join raster b on b.band = a.band and b.iy = a.iy - dy and b.ix = a.ix - dx group by all",
     "residual_metrics": f"{METRICS} select band, round(mae, 6) as mae, round(mse, 6) as mse, round(sqrt(mse), 6) as rmse, round(mae_rad, 6) as mae_rad, round(mse_rad, 6) as mse_rad, round(sqrt(mse_rad), 6) as rmse_rad from met",
     "weighted_loss": f"{METRICS} select cast(band % 2 as int) as half, round(sum(mse_rad / (band + 1)), 6) as loss from met group by 1",
-    "loss_landscape": f"""{R}, k as (select sigma, dy, dx, exp(-(dx * dx + dy * dy) / (2 * sigma * sigma)) as k from (values (0.5e0), (1e0), (1.5e0), (2e0)) s(sigma), (select cast(unnest(range(-2, 3)) as int) as dy), (select cast(unnest(range(-2, 3)) as int) as dx)),
-kern as (select sigma, dy, dx, k / sum(k) over (partition by sigma) as w from k),
-c as (select sigma, a.band, a.iy, a.ix, a.v, sum(b.v * w) as c from raster a join kern on true join raster b on b.band = a.band and b.iy = a.iy - dy and b.ix = a.ix - dx group by all),
-m as (select sigma, band, avg((c - v) * (c - v)) as mse from c group by all) select sigma, round(avg(mse), 6) as loss from m group by sigma""",
-    "radiative_pipeline": f"""with grid as (select * from (values (490e0), (665e0), (865e0)) a(wl), (values (0.1e0), (0.3e0)) b(aot), (values (0e0), (1e0)) c(h), (values (0e0), (45e0)) d(sza), (values (0e0), (20e0)) e(vza)), {RADIATIVE}
-select wl, aot, h, sza, vza, round(tdir_down, 6) as tdir_down, round(tdir_up, 6) as tdir_up, round(tdif_down, 6) as tdif_down, round(tdif_up, 6) as tdif_up, round(sph_alb, 6) as sph_alb, round(rho_atm, 6) as rho_atm from rt""",
     "forward_pipeline": f"""{R}, grid as (select 490e0 as wl, aot, 0e0 as h, 30e0 as sza, 5e0 as vza from (values (0.1e0), (0.2e0), (0.4e0)) a(aot)), {RADIATIVE},
 toa as (select band, aot, iy, ix, x, y, rho_atm + (tdir_up + tdif_up) * (tdir_down + tdif_down) * (0.3e0 + 0.05e0 * v) / (1 - sph_alb * (0.3e0 + 0.05e0 * v)) as rho_toa from raster, rt), {radial('toa', 'band, aot', 'rho_toa')}
 select band, aot, bin, n, round(mean, 6) as mean from prof""",

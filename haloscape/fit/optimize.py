@@ -1,19 +1,20 @@
 """Fitting a point spread function: one independent fit for each state, in parallel.
 
-The fit minimises the residual between the surface recovered from uniform-surface reflectance and its target.  Parameters move in
-log space within their bounds; Adam comes first, then L-BFGS with a line search for the strong Wolfe conditions.  The best parameters seen win.
+The fit minimises the residual between the surface recovered from uniform-surface reflectance and its target.  Parameters move within
+their bounds, in log space unless ``moves`` names another transform; slopes come from the convolution's adjoint.  Adam comes first, then L-BFGS with a line search for the strong Wolfe conditions.  The best parameters seen win.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.atmosphere import BoundedParameter, Transform
 from ..functions.psf import BOUNDS, FWHM, MIXING, WIDTH, kernels
-from ..operators.convolution import convolve
+from ..operators.convolution import convolve, kernel_slope
 
 
 @dataclass(frozen=True)
@@ -83,17 +84,55 @@ def wolfe(at, value: float, steep: float, c1: float = 1e-4, c2: float = 0.9, mos
     return best
 
 
-def minimise(loss, start, lows, highs, stages: Sequence[tuple[str, Stage]]):
-    """(best parameters, best loss, history of (stage, step, loss)) of a function of log parameters."""
+def differences(loss, lo, hi, h: float = 1e-5):
+    """The slope of a function by central differences."""
     import numpy as np
 
-    lo, hi = np.log(lows), np.log(highs)
-    x = np.clip(np.log(start), lo, hi)
-    best, history = (loss(x), x.copy()), []
+    return lambda at: np.array([(loss(np.clip(at + h * e, lo, hi)) - loss(np.clip(at - h * e, lo, hi))) / (2 * h) for e in np.eye(len(at))])
+
 
-    def slope(at):
-        h = 1e-5
-        return np.array([(loss(np.clip(at + h * e, lo, hi)) - loss(np.clip(at - h * e, lo, hi))) / (2 * h) for e in np.eye(len(at))])
+def loss_and_slope(images, kernel_of, side: int):
+    """Two functions of moving parameters: the loss, and its slope.  ``images``: (rho_unif, target, iy, ix, radiatives, weight); ``kernel_of`` gives the kernel of parameters.
+
+    The slope goes backwards through the recovery and the convolution, whose adjoint is one correlation an image, to the kernel's weights; only the kernel itself is differenced
+    by the parameters.  So a slope costs two convolutions an image, however many parameters there are."""
+    import numpy as np
+
+    def parts(k, unif, target, iy, ix, t):
+        env = convolve(unif, k)
+        down = (unif * (t["tdir_up"] + t["tdif_up"]) * t["sph_alb"] / (1 - unif * t["sph_alb"]) + t["tdif_up"]) / t["tdir_up"]  # the recovered surface falls by this with env
+        got = (unif * (t["tdir_up"] + t["tdif_up"]) / (1 - unif * t["sph_alb"])) / t["tdir_up"] - down * env
+        got = got[iy, ix]
+        return got, got - target, max(np.abs(got).max(), np.abs(target).max(), 1.2e-7), down
+
+    def loss(x):
+        k = kernel_of(x)
+        return float(sum(weight * np.mean((diff / scale) ** 2) for unif, target, iy, ix, t, weight in images for _, diff, scale, _ in [parts(k, unif, target, iy, ix, t)]))
+
+    def slope(x):
+        k, by_weight, h = kernel_of(x), np.zeros((side, side)), 1e-5
+        for unif, target, iy, ix, t, weight in images:
+            got, diff, scale, down = parts(k, unif, target, iy, ix, t)
+            by_pixel = 2 * weight * diff / (len(diff) * scale**2)
+            top = int(np.abs(got).argmax())
+            if np.abs(got[top]) == scale:  # the scale moves with that pixel
+                by_pixel[top] -= 2 * weight * np.mean(diff**2) / scale**3 * np.sign(got[top])
+            by_env = np.zeros(unif.shape)
+            by_env[iy, ix] = -by_pixel * down[iy, ix]
+            by_weight += kernel_slope(unif, by_env, side)
+        return np.array([np.sum(by_weight * (kernel_of(x + h * e) - kernel_of(x - h * e))) / (2 * h) for e in np.eye(len(x))])
+
+    return loss, slope
+
+
+def minimise(loss, start, lows, highs, stages: Sequence[tuple[str, Stage]], slope=None):
+    """(best point, best loss, history of (stage, step, loss)) of a function within bounds.  Without ``slope`` it is differenced."""
+    import numpy as np
+
+    lo, hi = np.asarray(lows, float), np.asarray(highs, float)
+    x = np.clip(np.asarray(start, float), lo, hi)
+    best, history = (loss(x), x.copy()), []
+    slope = slope or differences(loss, lo, hi)
 
     for name, stage in stages:
         m = v = np.zeros_like(x)
@@ -125,10 +164,10 @@ def minimise(loss, start, lows, highs, stages: Sequence[tuple[str, Stage]]):
             if before is not None and step >= stage.least and abs(value - before) / max(abs(before), 1e-9) <= stage.tol:
                 break
             before = value
-    return np.exp(best[1]), float(best[0]), history
+    return best[1], float(best[0]), history
 
 
-def fitted(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]], schema: str, rows) -> DataFrame:
+def fitted(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]], schema: str, rows, moves: Mapping[str, Transform] | None = None) -> DataFrame:
     """What ``rows(keys, best, loss, history)`` gives for each state.  ``train``: (combo, iy, ix, rho_unif, rho_s, tdir_up, tdif_up, sph_alb) and, for several images a state, ``image``
     and ``weight``; a state's square fields are what one task holds.  Missing pixels count as 0 and aren't compared."""
 
@@ -145,15 +184,11 @@ def fitted(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[f
             t = {c: float(one[c].iloc[0]) for c in ("tdir_up", "tdif_up", "sph_alb")}
             images.append((unif, one["rho_s"].to_numpy(), iy, ix, t, float(one["weight"].iloc[0]) if "weight" in one else 1.0))
 
-        def loss(x):
-            k, total = kernel(model, np.exp(x), res, n), 0.0
-            for unif, target, iy, ix, t, weight in images:
-                got = recovered(unif, k, t)[iy, ix]
-                total += weight * np.mean(((got - target) / max(np.abs(got).max(), np.abs(target).max(), 1.2e-7)) ** 2)
-            return float(total)
-
-        bounds = np.array([BOUNDS[model][k] for k in BOUNDS[model]])
-        best, value, history = minimise(loss, np.array(start, float), bounds[:, 0], bounds[:, 1], stages)
+        moving = [BoundedParameter(min(hi, max(lo, float(v))), lo, hi, (moves or {}).get(name, Transform("exp"))) for v, (name, (lo, hi)) in zip(start, BOUNDS[model].items(), strict=True)]
+        values = lambda x: [p.at(v) for p, v in zip(moving, x, strict=True)]
+        loss, slope = loss_and_slope(images, lambda x: kernel(model, values(x), res, n), n)
+        best, value, history = minimise(loss, [p.free for p in moving], [p.transform.free(p.lo) for p in moving], [p.transform.free(p.hi) for p in moving], stages, slope)
+        best = values(best)
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in combo}, **rows(best, value, history)})
 
     keys = ", ".join(f"{k} {dict(train.dtypes)[k]}" for k in combo)
@@ -163,16 +198,16 @@ def fitted(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[f
 BOTH = (("adam", ADAM), ("lbfgs", LBFGS))
 
 
-def fit_psf(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]] = BOTH) -> DataFrame:
+def fit_psf(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]] = BOTH, moves: Mapping[str, Transform] | None = None) -> DataFrame:
     """(combo, param, value, loss, steps)."""
     names = list(BOUNDS[model])
-    return fitted(train, combo, model, start, res, n, stages, "param string, value double, loss double, steps int", lambda best, value, history: {"param": names, "value": best, "loss": value, "steps": len(history)})
+    return fitted(train, combo, model, start, res, n, stages, "param string, value double, loss double, steps int", lambda best, value, history: {"param": names, "value": best, "loss": value, "steps": len(history)}, moves)
 
 
-def fit_history(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]] = BOTH) -> DataFrame:
+def fit_history(train: DataFrame, combo: Sequence[str], model: str, start: Sequence[float], res: float, n: int, stages: Sequence[tuple[str, Stage]] = BOTH, moves: Mapping[str, Transform] | None = None) -> DataFrame:
     """(combo, stage, step, loss): the loss before each step."""
     fields = lambda best, value, history: {"stage": [h[0] for h in history], "step": [h[1] for h in history], "loss": [h[2] for h in history]}
-    return fitted(train, combo, model, start, res, n, stages, "stage string, step int, loss double", fields)
+    return fitted(train, combo, model, start, res, n, stages, "stage string, step int, loss double", fields, moves)
 
 
 def fitted_kernels(fits: DataFrame, combo: Sequence[str], model: str, res: float, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import five_s
@@ -37,6 +37,29 @@ def atmosphere(states: DataFrame, remove_rayleigh: bool = False) -> DataFrame:
     return states.withColumns({"pressure": pressure, "tau_rayleigh": rayleigh, "tau_aerosol": five_s.aerosol_depth(F.col("aot"), F.col("wl"), F.lit(1.3))})
 
 
+def profiles(levels: DataFrame, given: DataFrame, keys: Sequence[str], values: Sequence[str], height: str = "z") -> DataFrame:
+    """Several given profiles on vertical grids: ``levels`` (keys, grid, level, z; heights falling) with ``values`` interpolated in height, constant beyond a profile's ends, and for each value its
+    ``<value>_above``: the integral from the top of the grid down to the level, by trapezoids.
+
+    Each profile has few heights and is one array, in which a level finds its place; profiles of other keys never meet.  The running sum goes along one grid of one profile."""
+    from ..operators.interp import linear
+
+    out = levels
+    for v in values:
+        out = linear(given.select(*keys, F.col(height).alias("_h"), F.col(v).alias("_v")), out, keys, "_h", "_v", height, v)
+    down = Window.partitionBy(*keys, "grid").orderBy("level")
+    step = F.lag(height).over(down) - F.col(height)
+    parts = out.withColumns({f"_{v}": F.coalesce((F.lag(v).over(down) + F.col(v)) / 2 * step, F.lit(0.0)) for v in values})
+    sums = {f"{v}_above": F.sum(f"_{v}").over(down.rowsBetween(Window.unboundedPreceding, 0)) for v in values}
+    return parts.withColumns(sums).drop(*[f"_{v}" for v in values])
+
+
+def merged_profiles(profile: DataFrame, shares: DataFrame, keys: Sequence[str], values: Sequence[str], part: str = "aerosol", share: str = "share") -> DataFrame:
+    """(keys, grid, level, z, values): the profiles of several components on one grid, weighed by their shares; components without a share don't count."""
+    both = profile.join(shares.select(*keys, part, share), [*keys, part])
+    return both.groupBy(*keys, "grid", "level", "z").agg(*[F.sum(F.col(v) * F.col(share)).alias(v) for v in values])
+
+
 def background(df: DataFrame, keys: Sequence[str], value: str, kind: str, params: Mapping[str, float] | None = None, chosen: float | str = "zero") -> DataFrame:
     """(keys, albedo) of the surface under everything: an analytical field's greatest value; of others a float, the mean, the least value, or 0 (also for
     anything else)."""

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is sent to all executors only if it has no more rows.
 SMALL_ROWS = 100_000
@@ -59,15 +60,39 @@ def window_mask(iy: Column, ix: Column, top: int, left: int, ny: int, nx: int) -
     return iy.between(top, top + ny - 1) & ix.between(left, left + nx - 1)
 
 
+#: Rows that are sampled for the bounds of ranges, and the ranges' number.
+SPLITTERS, RANGES = 20_000, 200
+
+
+def ranged(df: DataFrame, dims: Sequence[str], name: str, ranges: int = RANGES, sampled: int = SPLITTERS) -> DataFrame:
+    """Adds the number of the range of ``dims`` (taken together, nulls first) that a row falls into.  Bounds are quantiles of about ``sampled`` rows, which only decide how even the ranges
+    are.  They are read once (``ranges`` rows at most go back) and stand in the plan, so a task run again deals its rows as before."""
+    from .interp import knots_below
+
+    order = F.struct(*[F.struct(F.col(d).isNotNull().alias("known"), F.col(d).alias("label")).alias(f"d{i}") for i, d in enumerate(dims)])
+    total = df.count()
+    some = df.sample(min(1.0, sampled / max(1, total)), seed=7).select(order.alias("o")).orderBy("o").collect()
+    step = max(1, -(-len(some) // ranges))
+    kind = T.StructType([T.StructField("bounds", T.ArrayType(df.select(order.alias("o")).schema["o"].dataType))])
+    bounds = df.sparkSession.createDataFrame([([r["o"] for r in some[step::step]],)], kind)
+    return df.crossJoin(F.broadcast(bounds)).withColumn(name, knots_below(F.col("bounds"), order)).drop("bounds")
+
+
+def numbered(df: DataFrame, dims: Sequence[str], name: str, ranges: int = RANGES) -> DataFrame:
+    """Adds each row's number, from 0, in the order of ``dims`` (nulls first), which must tell rows apart.  Rows are numbered within ranges, after the rows of the ranges before: no task
+    holds more than one range, for one dimension as for several."""
+    held = ranged(df, dims, "_range", ranges)
+    counts = held.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    # a row a range
+    before = counts.agg(F.sort_array(F.collect_list(F.struct("_range", "n"))).alias("c")).select(F.explode(F.transform("c", lambda x, i: F.struct(x["_range"].alias("_range"), F.aggregate(F.slice("c", 1, i), F.lit(0).cast("bigint"), lambda a, y: a + y["n"]).alias("_before")))).alias("b")).select("b.*")
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.asc_nulls_first(d) for d in dims])) - 1
+    ranked = held.withColumn("_rank", rank)
+    return ranked.join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_rank")).cast("bigint").alias(name))
+
+
 def distinct_states(df: DataFrame, params: Sequence[str]) -> DataFrame:
-    """The distinct parameter rows, numbered in their order.  Rows are ranked within ranges of the first parameter's values and offset by
-    the ranges before, so that no task numbers all of them."""
-    states = df.select(*params).distinct()
-    first = states.groupBy(params[0]).agg(F.count(F.lit(1)).alias("n"))
-    before = first.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(params[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy(params[0]).orderBy(*params[1:] or params)) - 1
-    ranked = states.withColumn("rank", rank)
-    return ranked.join(before, ranked[params[0]].eqNullSafe(before[params[0]])).select(*[ranked[p] for p in params], (F.col("before") + F.col("rank")).cast("bigint").alias("state"))
+    """The distinct parameter rows, numbered in their order, nulls first."""
+    return numbered(df.select(*params).distinct(), params, "state")
 
 
 def dedup_apply(df: DataFrame, params: Sequence[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -92,9 +117,9 @@ def concat(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def chunked(params: DataFrame, dim: str, size: int) -> DataFrame:
-    """The number of the chunk of ``size`` consecutive values of ``dim`` that a row falls into."""
-    labels = params.select(dim).distinct()
-    return params.join(labels.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(dim)) - 1) / size).cast("int")), dim)
+    """The number of the chunk of ``size`` consecutive values of ``dim`` that a row falls into; rows without a value are left out."""
+    labels = numbered(params.select(dim).where(F.col(dim).isNotNull()).distinct(), [dim], "number")
+    return params.join(labels.select(dim, F.floor(F.col("number") / size).cast("int").alias("chunk")), dim)
 
 
 def block_reduce(df: DataFrame, keys: Sequence[str], value: str, factor: int, reducer: Callable[[Column], Column] = F.avg) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .algebra import SMALL_ROWS
+
 
 def intervals(prof: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """(keys, seg, n_seg, x0, x1, y0, y1): the segments between neighbouring points."""
@@ -23,17 +26,22 @@ def with_segment(queries: DataFrame, segments: DataFrame, keys: Sequence[str], a
     held = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x0", *[c for c in fields if c != "x0"]))).alias("segs"))
     held = held.withColumn("knots", F.transform(F.slice("segs", 2, F.greatest(F.lit(1), F.size("segs") - 1)), lambda s: s["x0"]))
     joined = queries.join(held, list(keys))
-    steps = F.array(*[F.lit(1 << i) for i in range(15, -1, -1)])
-    size = F.size("knots")
+    return joined.withColumn("s", F.get("segs", knots_below(F.col("knots"), F.col(at)))).drop("segs", "knots")
+
+
+def knots_below(knots: Column, value: Column) -> Column:
+    """How many of a sorted array's values are ``value`` or less, by halving; as many steps as the array's length has bits."""
+    size = F.size(knots)
+    steps = F.transform(F.sequence(F.ceil(F.log2(size + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
 
     def step(n: Column, by: Column) -> Column:
-        return F.when((n + by <= size) & (F.get("knots", n + by - 1) <= F.col(at)), n + by).otherwise(n)
+        return F.when((n + by <= size) & (F.get(knots, n + by - 1) <= value), n + by).otherwise(n)
 
-    return joined.withColumn("s", F.get("segs", F.aggregate(steps, F.lit(0), step))).drop("segs", "knots")
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def linear(prof: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, y: str, at: str, out: str) -> DataFrame:
-    """Piecewise linear, clamped at the ends.  A profile has few rows next to the queries (65,535 segments at most)."""
+    """Piecewise linear, clamped at the ends.  A key's profile is one array, so it has few rows next to the queries."""
     found = with_segment(queries, intervals(prof, keys, x, y).select(*keys, "x0", "x1", "y0", "y1"), keys, at)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(at) - F.col("s.x0")) / (F.col("s.x1") - F.col("s.x0"))))
     return found.withColumn(out, F.col("s.y0") + (F.col("s.y1") - F.col("s.y0")) * share).drop("s")
@@ -126,3 +134,46 @@ def transect(df: DataFrame, keys: Sequence[str], value: str, angle_deg: float, n
     corners = F.array(*[F.struct((F.col("ky") + i).alias("iy"), (F.col("kx") + k).alias("ix"), ((F.col("fy") if i else 1 - F.col("fy")) * (F.col("fx") if k else 1 - F.col("fx"))).alias("w")) for i in (0, 1) for k in (0, 1)])
     wanted = line.select(*keys, "j", "s", F.explode(corners).alias("c")).select(*keys, "j", "s", "c.*")
     return wanted.join(df.select(*keys, "iy", "ix", value), [*keys, "iy", "ix"], "left").groupBy(*keys, "j", "s").agg(F.when(F.count(value) == 4, F.sum(F.col(value) * F.col("w"))).alias(value))
+
+
+def multilinear(queries: DataFrame, lut: DataFrame, dims: Sequence[str], outputs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``queries`` with ``outputs``: linear in each of ``dims`` (d of them) at once, clamped at the ends, for each of ``keys``.
+
+    ``lut`` has a row for each combination of its labels; they may lie unevenly and a cell with a missing corner gives null, as do null labels.  A row of ``lut`` goes
+    to the 2^d cells that it bounds, so that a cell is one row with all of its corners; a query finds its cell's number in each dimension in that dimension's
+    sorted labels, meets that one row, and weighs the corners in one expression.  Only the table grows by 2^d, not the queries; they aren't shuffled where the cells are few (counted)."""
+    axes = lut.groupBy(*keys).agg(*[F.array_sort(F.collect_set(F.col(d).cast("double"))).alias(f"_axis{i}") for i, d in enumerate(dims)])
+    few_axes = axes.count() <= SMALL_ROWS
+    axes = F.broadcast(axes) if few_axes else axes
+    on = list(keys)
+    with_axes = lambda df: df.join(axes, on) if on else df.crossJoin(axes)
+    # a label's own number, and of cells: from 0 to the labels' number less 2
+    placed = with_axes(lut.where(reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in dims])))
+    corner = F.explode(F.sequence(F.lit(0), F.lit(2 ** len(dims) - 1)))
+    bit = lambda i: (F.shiftright(F.col("_corner"), i) % 2).cast("int")
+    cells = placed.withColumn("_corner", corner)
+    for i, d in enumerate(dims):
+        own = knots_below(F.col(f"_axis{i}"), F.col(d).cast("double")) - 1
+        cells = cells.withColumn(f"_at{i}", own - bit(i)).where(F.col(f"_at{i}").between(0, F.greatest(F.lit(0), F.size(f"_axis{i}") - 2)))
+    numbers = [f"_at{i}" for i in range(len(dims))]
+    value = F.struct(F.col("_corner").alias("c"), *[F.col(o).cast("double").alias(o) for o in outputs])
+    cells = cells.groupBy(*keys, *numbers).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_corner"), value))).alias("_corners"))
+    asked = with_axes(queries)
+    for i, d in enumerate(dims):
+        axis, at = F.col(f"_axis{i}"), F.col(d).cast("double")
+        cell = F.greatest(F.lit(0), F.least(F.size(axis) - 2, knots_below(axis, at) - 1))
+        asked = asked.withColumn(f"_at{i}", F.when(at.isNotNull(), cell))
+        low, high = F.get(axis, F.col(f"_at{i}")), F.get(axis, F.col(f"_at{i}") + 1)
+        share = F.when(high.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - low) / (high - low))))
+        asked = asked.withColumn(f"_share{i}", F.when(at.isNotNull(), share))
+    met = asked.join(F.broadcast(cells) if cells.count() <= SMALL_ROWS else cells, [*keys, *numbers], "left")
+
+    def total(name: str) -> Column:
+        """A corner without weight may be missing."""
+        terms = []
+        for c in range(2 ** len(dims)):
+            weight = reduce(lambda a, b: a * b, [F.col(f"_share{i}") if c >> i & 1 else 1 - F.col(f"_share{i}") for i in range(len(dims))])
+            terms.append(F.when(weight == 0, F.lit(0.0)).otherwise(weight * F.try_element_at("_corners", F.lit(c))[name]))
+        return reduce(lambda a, b: a + b, terms)
+
+    return met.select(*queries.columns, *[total(o).alias(o) for o in outputs])

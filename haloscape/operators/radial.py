@@ -28,9 +28,11 @@ def radial_bin(r: Column, r_max: Column, npix: Column) -> Column:
     return F.greatest(F.lit(0), F.least(npix - 1, F.ceil(r / (r_max / npix)).cast("int") - 1))
 
 
-def profile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, bin, r, n, mean, std): all bins; null where a bin is empty."""
-    binned = with_radius(df, keys).withColumn("bin", radial_bin(F.col("r"), F.col("r_max"), F.col("npix")))
+def profile(df: DataFrame, keys: Sequence[str], value: str, n_bins: int | None = None) -> DataFrame:
+    """(keys, bin, r, n, mean, std): all bins, ``n_bins`` or the grid's natural number; null where a bin is empty."""
+    placed = with_radius(df, keys)
+    placed = placed.withColumn("npix", F.lit(n_bins)) if n_bins else placed
+    binned = placed.withColumn("bin", radial_bin(F.col("r"), F.col("r_max"), F.col("npix")))
     sums = binned.groupBy(*keys, "bin").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.first("r_max").alias("r_max"), F.first("npix").alias("npix"))
     full = sums.groupBy(*keys).agg(F.first("r_max").alias("r_max"), F.first("npix").alias("npix")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("npix") - 1)))
     centre = F.when(F.col("bin") == 0, 0.0).otherwise((F.col("bin") + 0.5) * F.col("r_max") / F.col("npix"))

@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bands import WAVELENGTHS
@@ -292,18 +292,14 @@ class Sweep:
                 factor *= -(-next(len(v.labels[d]) for v in self.vectors.values() if d in v.dims) // size)
         return out.withColumn("chunk", chunk).drop(*[c for c in out.columns if c.endswith("_place")])
 
-    def apply(self, spark: SparkSession, function: Callable, name: str, **fixed) -> DataFrame:
-        """Adds ``name``: what the function gives for the fields that it declares.  A function of Columns becomes an expression; any other
-        is called once for each combination of scalars and chunk, with numbers for scalars and arrays for vectors."""
+    def apply(self, spark: SparkSession, function: Callable, name: str, as_columns: bool = True, **fixed) -> DataFrame:
+        """Adds ``name``: what the function gives for the fields that it declares.  A function of Columns becomes an expression; with ``as_columns`` false
+        it is called once for each combination of scalars and chunk, with numbers for scalars and arrays for vectors."""
         rows, wanted = self.table(spark), declared(function)
         fixed = {k: v for k, v in fixed.items() if k in wanted}
         asked = [c for c in rows.columns if c in wanted]
-        try:
-            made = function(**{c: F.col(c) for c in asked}, **fixed)
-        except Exception:
-            made = None
-        if isinstance(made, Column):
-            return rows.withColumn(name, made).drop("chunk")
+        if as_columns:
+            return rows.withColumn(name, function(**{c: F.col(c) for c in asked}, **fixed)).drop("chunk")
         by = [*dict.fromkeys(d for v in self.scalars.values() for d in v.dims), "chunk"]
         held = set(self.scalars)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import bands as band_names
 from ..operators.algebra import block_reduce, downsample_factor
+from ..operators.regrid import regrid
 from ..plans.configs import ConfigurationError
 from ..scene import Meta, Scene
 from .tiff import raster_table
@@ -129,12 +130,16 @@ class ProductLoader:
         """(band, iy, ix, y, x, rho_s), coordinates in km."""
         table = raster_table(self.spark, self._file(self.files, f"_{kind}_{band_names.short_id(band)}"), 1)
         native = table.where("iy <= 1 and ix <= 1").agg(F.max(F.when((F.col("iy") == 0) & (F.col("ix") == 1), F.col("x"))) - F.max(F.when((F.col("iy") == 0) & (F.col("ix") == 0), F.col("x")))).first()[0]
-        factor = downsample_factor(self.res[band], native / 1000)
+        factor = round(self.res[band] * 1e6) / round(native * 1000)
         corner = table.where("iy = 0 and ix = 0").select(F.col("x").alias("x0"), F.col("y").alias("y0"))
         keyed = table.select(F.lit(band).alias("band"), "iy", "ix", "value")
-        out = block_reduce(keyed, ["band"], "value", factor).crossJoin(F.broadcast(corner))  # one row
+        if factor == int(factor):
+            out = block_reduce(keyed, ["band"], "value", int(factor)).withColumnsRenamed({"by": "iy", "bx": "ix"})
+        else:  # cells that pixels overlap in part, also finer ones
+            out = regrid(keyed, ["band"], "value", factor)
+        out = out.crossJoin(F.broadcast(corner))  # one row
         half = (factor - 1) / 2
-        return out.select("band", F.col("by").alias("iy"), F.col("bx").alias("ix"), ((F.col("y0") - (F.col("by") * factor + half) * native) / 1000).alias("y"), ((F.col("x0") + (F.col("bx") * factor + half) * native) / 1000).alias("x"), F.col("value").alias("rho_s"))
+        return out.select("band", "iy", "ix", ((F.col("y0") - (F.col("iy") * factor + half) * native) / 1000).alias("y"), ((F.col("x0") + (F.col("ix") * factor + half) * native) / 1000).alias("x"), F.col("value").alias("rho_s"))
 
     def _map_or_mean(self, file: str, layer: int, scale: float, name: str, band: str) -> DataFrame:
         table = raster_table(self.spark, file, layer).select("iy", "ix", F.col("value").alias(name))

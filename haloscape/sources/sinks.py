@@ -24,21 +24,8 @@ def write_table(df: DataFrame, path: str, skip_existing: bool = True) -> None:
 
 
 def write_arrays(df: DataFrame, directory: str, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """One .npy file for each key, named by the column ``name``, in a folder that all executors share; gives the paths."""
+    """One .npy file for each key, named by the column ``name``, all of them or none; gives the paths."""
+    from .npy import write_rasters
 
-    def save(pdf):
-        import os
-
-        import numpy as np
-        import pandas as pd
-
-        image = np.full((int(pdf["iy"].max()) + 1, int(pdf["ix"].max()) + 1), np.nan, np.float32)
-        image[pdf["iy"], pdf["ix"]] = pdf[value]
-        os.makedirs(directory, exist_ok=True)
-        path = os.path.join(directory, str(pdf[name].iloc[0]))
-        with open(f"{path}.part", "wb") as f:
-            np.save(f, image)
-        os.replace(f"{path}.part", path)
-        return pd.DataFrame({"path": [path]})
-
-    return df.groupBy(*keys).applyInPandas(save, "path string")
+    write_rasters(df, directory, F.col(name), value)
+    return df.select(*keys, name).distinct().select(F.concat(F.lit(directory.rstrip("/") + "/"), name).alias("path"))

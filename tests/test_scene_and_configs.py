@@ -90,7 +90,7 @@ def test_sweep(spark):
         configs.Sweep({"aot": configs.values("aot", [0.1, 0.1])})
     sweep = configs.Sweep({"aot": configs.values("aot", [0.1, 0.2])}, {"wl": configs.values("wl", [400.0, 500.0, 600.0])}, {"wl": 2})
     assert sorted((r.aot, r.wl, r.chunk) for r in sweep.table(spark).collect()) == [(a, w, int(w == 600.0)) for a in (0.1, 0.2) for w in (400.0, 500.0, 600.0)]
-    seen = sweep.apply(spark, lambda aot, wl: float(len(wl)) + 0 * np.asarray(wl) + aot, "n").collect()
+    seen = sweep.apply(spark, lambda aot, wl: float(len(wl)) + 0 * np.asarray(wl) + aot, "n", as_columns=False).collect()
     assert {(r.wl, r.n) for r in seen if r.aot == 0.1} == {(400.0, 2.1), (500.0, 2.1), (600.0, 1.1)}
 
 
