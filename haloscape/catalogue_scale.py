@@ -70,7 +70,7 @@ def state_chunks(spark: SparkSession, d: str) -> DataFrame:
 def atmosphere_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Each nation's customers as a profile of extinction by height, on both vertical grids, with the depth above each level."""
     height = (F.col("c_custkey") % 17).cast("double") * 4
-    given = base.read(spark, d, "customer").groupBy("c_nationkey", height.alias("z")).agg((F.avg(F.abs("c_acctbal")) / 7e4).alias("extinction"))
+    given = base.read(spark, d, "customer").groupBy("c_nationkey", height.alias("z")).agg((F.avg(F.abs("c_acctbal")) * 1.23456789e-5).alias("extinction"))
     levels = atmosphere.vertical_grids(given.select("c_nationkey").distinct())
     out = atmosphere.profiles(levels, given, ["c_nationkey"], ["extinction"])
     return out.select("c_nationkey", "grid", "level", "z", r6(F.col("extinction"), "extinction"), r6(F.col("extinction_above"), "depth_above"))
@@ -169,7 +169,7 @@ w as (select event_id, ka + i as a, kb + j as b, kc + m as c, (case i when 1 the
 select event_id, round(case when count(*) filter (where w <> 0 and price is null) = 0 then sum(w * price) end, 4) as price, round(case when count(*) filter (where w <> 0 and price is null) = 0 then sum(w * quantity) end, 6) as quantity from w left join lut using (a, b, c) group by event_id""",
     "price_numbers": "select l_extendedprice, row_number() over (order by l_extendedprice nulls first) - 1 as state from (select distinct l_extendedprice from lineitem)",
     "state_chunks": "with c as (select l_extendedprice, cast((row_number() over (order by l_extendedprice) - 1) // 100 as int) as chunk from (select distinct l_extendedprice from lineitem where l_extendedprice is not null)) select chunk, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem join c using (l_extendedprice) group by chunk",
-    "atmosphere_profiles": """with given as (select c_nationkey, cast(c_custkey % 17 as double) * 4 as z, avg(abs(c_acctbal)) / 7e4 as e from customer group by all),
+    "atmosphere_profiles": """with given as (select c_nationkey, cast(c_custkey % 17 as double) * 4 as z, avg(abs(c_acctbal)) * 1.23456789e-5 as e from customer group by all),
 low as (select i, 10e0 - i * 0.25e0 as z from (select unnest(range(41)) as i)),
 grids as (select 'scalar' as grid, i as level, 100e0 - i as z from (select unnest(range(90)) as i) union all select 'scalar', 90 + i, z from low union all select 'phase', 0, 100e0 union all select 'phase', 1, 20e0 union all select 'phase', 2 + i, z from low),
 lev as (select c_nationkey, grid, cast(level as int) as level, z from (select distinct c_nationkey from customer), grids),
