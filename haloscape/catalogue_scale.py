@@ -53,7 +53,7 @@ def lookup_3d(spark: SparkSession, d: str) -> DataFrame:
     """Events looked up in a table of mean prices by line number, discount and tax."""
     cents = lambda c: F.floor(F.round(F.col(c) * 100) / 2).cast("double")
     lut = base.read(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("double").alias("line"), cents("l_discount").alias("discount"), cents("l_tax").alias("tax")).agg(F.avg("l_extendedprice").alias("price"), F.avg("l_quantity").alias("quantity"))
-    asked = base.read(spark, d, "events").select("event_id", (1 + F.col("value") / 80).alias("line"), (F.col("event_id") % 56 / 10 - 0.2).alias("discount"), (F.col("user_id") % 45 / 10).alias("tax"))
+    asked = base.read(spark, d, "events").select("event_id", (1 + F.col("value") / 81.7).alias("line"), (F.col("event_id") % 56 / 10.3 - 0.2).alias("discount"), (F.col("user_id") % 45 / 9.7).alias("tax"))
     return interp.multilinear(asked, lut, ["line", "discount", "tax"], ["price", "quantity"]).select("event_id", F.round("price", 4).alias("price"), r6(F.col("quantity"), "quantity"))
 
 
@@ -163,7 +163,7 @@ SQL = {
     "regrid_sum": f"{R} select band, cast(a.j as int) as iy, cast(b.j as int) as ix, round(sum(v * a.share * b.share), 6) as v from raster, {shared_areas('a', '0.75e0')}, {shared_areas('b', '2.5e0')} where a.i = iy and b.i = ix group by all",
     "lookup_3d": """with lut as (select cast(l_linenumber as double) as a, floor(round(l_discount * 100) / 2) as b, floor(round(l_tax * 100) / 2) as c, avg(l_extendedprice) as price, avg(l_quantity) as quantity from lineitem group by all),
 ends as (select min(a) as la, max(a) as ha, min(b) as lb, max(b) as hb, min(c) as lc, max(c) as hc from lut),
-q as (select event_id, greatest(la, least(ha, 1 + value / 80)) as a, greatest(lb, least(hb, event_id % 56 / 10e0 - 0.2e0)) as b, greatest(lc, least(hc, user_id % 45 / 10e0)) as c, ha, hb, hc from events, ends),
+q as (select event_id, greatest(la, least(ha, 1 + value / 81.7e0)) as a, greatest(lb, least(hb, event_id % 56 / 10.3e0 - 0.2e0)) as b, greatest(lc, least(hc, user_id % 45 / 9.7e0)) as c, ha, hb, hc from events, ends),
 k as (select *, least(ha - 1, floor(a)) as ka, least(hb - 1, floor(b)) as kb, least(hc - 1, floor(c)) as kc from q),
 w as (select event_id, ka + i as a, kb + j as b, kc + m as c, (case i when 1 then a - ka else 1 - (a - ka) end) * (case j when 1 then b - kb else 1 - (b - kb) end) * (case m when 1 then c - kc else 1 - (c - kc) end) as w from k, (values (0), (1)) x(i), (values (0), (1)) y(j), (values (0), (1)) z(m))
 select event_id, round(case when count(*) filter (where w <> 0 and price is null) = 0 then sum(w * price) end, 4) as price, round(case when count(*) filter (where w <> 0 and price is null) = 0 then sum(w * quantity) end, 6) as quantity from w left join lut using (a, b, c) group by event_id""",
