@@ -11,8 +11,8 @@ match if ``NEAR`` of its distinct terms stand, in any order, within its length a
 window's terms that occur at all and one of the next two; an exact phrase holds all, so none is lost.  Texts aren't compared, moved or read again.
 
 Sizes: postings carry no text.  What is sent to all executors are the benchmark's terms and windows, only while ``MAX_TERMS`` proves them small; else
-the joins are shuffled, with the same result.  Postings of the three rarest terms are gathered by document, as sets, so a group holds no more than one
-document's own places.
+the joins are shuffled, with the same result.  Postings of the three rarest terms are gathered by document and term, as sets, so a group holds no more than one
+document's own places of a term; the cost of a long text grows with its length.
 
 Defined results: a document is known by its id and its text, so repeated rows and texts under one id get what each would get alone; null texts have
 no words, items without words have no windows; repeated items count once by id; added columns replace input columns of the same name, all others
@@ -80,17 +80,21 @@ def look_ups(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def starts(index: DataFrame, looked: DataFrame, n_looked: int) -> DataFrame:
-    """(id, th, w, start): places where a window's rarest term and one of the next two stand as it asks."""
+    """(id, th, w, start): places where a window's rarest term and one of the next two stand as it asks.  Lists are intersected whole, by hashing, so a document of one term
+    repeated costs no more than its length."""
     # a term that some window is looked up by makes starts; the others are only asked about
     terms = F.concat(F.array(F.struct("term", F.lit(True).alias("first"))), F.transform("next", lambda x: F.struct(x["term"].alias("term"), F.lit(False).alias("first"))))
     asked = looked.select(F.explode(terms).alias("t")).groupBy("t.term").agg(F.max("t.first").alias("first"))
-    lists = index.join(small(asked, n_looked), "term").groupBy(*DOCUMENT).agg(F.collect_set(F.struct("term", "pos", "first")).alias("held"))
-    firsts = F.filter("held", lambda p: p["first"])
-    keyed = lists.select(*DOCUMENT, F.transform("held", lambda p: F.xxhash64(p["term"], p["pos"])).alias("keys"), F.explode(firsts).alias("p")).select(*DOCUMENT, "keys", "p.term", "p.pos")
-    found = keyed.join(small(looked, n_looked), "term").withColumn("start", F.col("pos") - F.col("off"))
+    lists = materialize(index.join(small(asked, n_looked), "term").groupBy(*DOCUMENT, "term", "first").agg(F.collect_set("pos").alias("places")), "lists")
+    begun = lists.where("first").join(small(looked, n_looked), "term").select(*DOCUMENT, "w", "next", F.transform("places", lambda p: p - F.col("off")).alias("starts"))
+    alone = begun.where(F.size("next") == 0).select(*DOCUMENT, "w", "starts")
+    questions = begun.select(*DOCUMENT, "w", "starts", F.explode("next").alias("x")).select(*DOCUMENT, "w", "starts", "x.term", "x.off")
+    same = F.col("q.id").eqNullSafe(F.col("l.id")) & (F.col("q.th") == F.col("l.th")) & (F.col("q.term") == F.col("l.term"))
+    met = questions.alias("q").join(lists.alias("l"), same).select("q.id", "q.th", "w", "starts", "off", "places")
     shifts = F.array(*[F.lit(d) for d in range(-SLACK, SLACK + 1)])
-    wanted = F.flatten(F.transform("next", lambda x: F.transform(shifts, lambda d: F.xxhash64(x["term"], (F.col("start") + x["off"] + d).cast("int")))))
-    return found.where((F.size("next") == 0) | F.arrays_overlap("keys", wanted)).select(*DOCUMENT, "w", "start")
+    allowed = F.flatten(F.transform("places", lambda p: F.transform(shifts, lambda d: p - F.col("off") - d)))
+    kept = met.select(*DOCUMENT, "w", F.array_intersect("starts", allowed).alias("starts")).unionByName(alone)
+    return kept.select(*DOCUMENT, "w", F.explode("starts").alias("start"))
 
 
 def verified(index: DataFrame, found: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:

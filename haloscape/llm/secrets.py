@@ -31,6 +31,8 @@ ADDED = ("spans", "redacted")
 MAX_CANDIDATES = 500_000
 #: Spans are located block by block, as arrays are copied when they grow.
 BLOCK = 256
+#: Characters of a block that pieces of a text are cut from.
+PIECE = 2048
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 #: Runs of fixed characters are followed through alternatives up to so many strings; beyond, the run ends there.
 MAX_STRINGS = 64
@@ -202,25 +204,40 @@ def narrowed(rule: Rule) -> Rule:
 
 def redact(text: Column, spans: Column, mark: str) -> Column:
     """The text with every run of overlapping or touching spans replaced by the mark.  ``spans`` are sorted; runs are told by the
-    furthest end so far, and each piece between runs is cut from the text once."""
+    furthest end so far, and each piece between runs is cut once.  Both go in blocks, of spans and of the text's characters: a list grows by a block at a time, and a
+    piece is cut from the blocks that it lies in, so a long text of many secrets costs little more than its length."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+    none = F.array().cast(kind)
+
+    def state(start: Column, end: Column, out: Column) -> Column:
+        return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), out.cast(kind).alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        done = F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+        grown = state(acc["start"], F.greatest(acc["end"], s["end"]), acc["out"])
+        return F.when(acc["start"].isNull(), state(s["start"], s["end"], acc["out"])).when(s["start"] <= acc["end"], grown).otherwise(state(s["start"], s["end"], F.concat(acc["out"], done)))
+
+    def block(acc: Column, b: Column) -> Column:
+        done = F.aggregate(F.slice(spans, b * BLOCK + 1, BLOCK), state(acc["start"], acc["end"], none), step)
+        return let(done, lambda d: state(d["start"], d["end"], F.concat(acc["out"], d["out"])))
+
+    last = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))
+    nothing = state(F.lit(None), F.lit(None), none)
+    merged = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), nothing, block, last)
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substr(text, i * PIECE + 1, F.lit(PIECE)))
+
+    def cut(m: Column, blocks: Column) -> Column:
+        def between(begin: Column, end: Column) -> Column:
+            first = F.floor(begin / PIECE).cast("int")
+            held = F.slice(blocks, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+            return F.substr(F.array_join(held, ""), (begin - first * PIECE + 1).cast("int"), (end - begin).cast("int"))
 
-    def runs(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        alone = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        touches = (F.size(acc) > 0) & (s["start"] <= last["end"])
-        return F.when(touches, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
-
-    merged = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), runs)
-
-    def cut(m: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
-            begin = F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
-            return F.concat(F.substr(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.lit(mark))
+            return F.concat(between(F.coalesce(F.get(m, i - 1)["end"], F.lit(0)), s["start"]), F.lit(mark))
 
-        return F.concat(F.array_join(F.transform(m, piece), ""), F.substr(text, (F.try_element_at(m, F.lit(-1))["end"] + 1).cast("int")))
+        return F.concat(F.array_join(F.transform(m, piece), ""), between(F.try_element_at(m, F.lit(-1))["end"], F.length(text).cast("bigint")))
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(merged, cut))
+    return F.when(F.size(spans) == 0, text).otherwise(let(merged, lambda m: let(parts, lambda b: cut(m, b))))
 
 
 def scan(documents: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
