@@ -7,7 +7,7 @@ An empty table gives an empty table in every stage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haloscape.llm import bpe, contamination, near_dup, quality, secrets
@@ -27,6 +27,14 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
 
 
+#: What a row is known by, without nulls, so that equal rows meet by plain equality.
+KEYS = ["unnamed", "named", "text_hash"]
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"unnamed": F.col("doc_id").isNull(), "named": F.coalesce("doc_id", F.lit(0))})
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; null and blank texts are rejected, repeated rows judged alike, null languages judged by the
     nearest reference.  Clashing extra columns aren't returned."""
@@ -41,20 +49,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     keepers = groups.where("component is not null").groupBy("component").agg(first.alias("k"))
     stays = F.col("component").isNull() | (F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash")))
-    verdicts = materialize(groups.join(keepers, "component", "left").groupBy("doc_id", "text_hash").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("copies")), "verdicts")
-    gone = materialize(verdicts.where("not stays").select("doc_id", "text_hash"), "gone")
-    repeated = materialize(verdicts.where("stays and copies > 1").select("doc_id", "text_hash"), "repeated")
-    left = hashed(docs).alias("d").join(gone.alias("g"), same_row("d", "g"), "left_anti").alias("l")
-    once = left.join(repeated.alias("r"), same_row("l", "r"), "left_anti").select(*COLUMNS)
-    many = left.join(repeated.alias("r"), same_row("l", "r"), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(many)
+    judged = groups.join(keepers, "component", "left").groupBy("doc_id", "text_hash").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("copies"))
+    verdicts = materialize(keyed(judged.where("not stays or copies > 1")).select(*KEYS, "stays", "copies"), "verdicts")
+    # texts are shuffled once, at every size: repeated rows then stand together, in the order that the join leaves
+    met = keyed(hashed(docs)).hint("merge").join(verdicts, KEYS, "left").where("stays is null or stays")
+    again = F.count(F.lit(1)).over(Window.partitionBy(*KEYS).rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("again", again).where("copies is null or copies = 1 or again = 1").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go; null texts hold none, and repeated rows and texts under one id are judged each on its own."""
     found = contamination.matched(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     gone = materialize(found.where("n_hit > 0").select(F.col("id").alias("doc_id"), F.col("th").alias("text_hash")), "gone")
-    return hashed(docs).alias("d").join(gone.alias("g"), same_row("d", "g"), "left_anti").select(*COLUMNS)
+    return hashed(docs).alias("d").join(contamination.small(gone, gone.count()).alias("g"), same_row("d", "g"), "left_anti").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
