@@ -139,7 +139,7 @@ def two_states(spark) -> DataFrame:
 
 def rho_toa_full(spark, d):
     px = base.raster(spark, d).select("band", "iy", "ix", (0.3 + 0.05 * F.col("v")).alias("rho_s"))
-    seen = forward.full(px, two_states(spark), ["band"], ["aot"], gaussian(spark, 9, (2.0,)).drop("sigma"), "arbitrary", (5, 7, 20, 30))
+    seen = forward.full(px, two_states(spark), ["band"], ["aot"], gaussian(spark, 9, (2.0,)).drop("sigma"), "arbitrary", (1, 7, 6, 30))  # rows that the last band has too
     return seen.select("band", "aot", "iy", "ix", r6(F.col("rho_toa"), "rho_toa"), "rho_toa_valid")
 
 

@@ -74,7 +74,7 @@ select r.band, r.iy, r.ix, round(sum(s.v * g), 6) as v_conv from wx r join ty s
 select band, iy, ix, round((u.v * 0.7e0 * (1 - env * 0.1e0) / (1 - u.v * 0.1e0) - env * 0.1e0) / 0.6e0, 6) as rho_s from u join conv using (band, iy, ix)""",
     "rho_toa_full": f"""{R}, u as (select band, iy, ix, 0.3e0 + 0.05e0 * v as v from raster), {appended('u', 'band', 'v', 9, '2e0')},
 grid as (select 490e0 as wl, aot, 0e0 as h, 30e0 as sza, 5e0 as vza from (values (0.1e0), (0.3e0)) a(aot)), {RADIATIVE}
-select band, aot, iy, ix, round(case when iy between 5 and 24 and ix between 7 and 36 then rho_atm + (tdir_down + tdif_down) * (tdir_up * u.v + tdif_up * env) / (1 - sph_alb * env) end, 6) as rho_toa, iy between 5 and 24 and ix between 7 and 36 as rho_toa_valid
+select band, aot, iy, ix, round(case when iy between 1 and 6 and ix between 7 and 36 then rho_atm + (tdir_down + tdif_down) * (tdir_up * u.v + tdif_up * env) / (1 - sph_alb * env) end, 6) as rho_toa, iy between 1 and 6 and ix between 7 and 36 as rho_toa_valid
 from u join conv using (band, iy, ix), rt""",
     "product_metadata": """select s_suppkey, case when s_suppkey % 3 = 0 then 50e0 else s_suppkey % 100 end as rh, s_suppkey % 80 + 0.25e0 as sza, s_suppkey % 360 + 0.5e0 as saa, case when s_suppkey % 5 = 0 then 0e0 else s_suppkey % 40 + 0.5e0 end as vza, 100e0 as vaa,
 round(case when s_suppkey % 4 + s_suppkey % 3 in (0, 1) then cast(s_suppkey % 4 as double) else (s_suppkey % 4) / cast(s_suppkey % 4 + s_suppkey % 3 as double) end, 6) as dust, cast(2 as int) as n_species from supplier""",
