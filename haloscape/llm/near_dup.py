@@ -10,22 +10,19 @@ sequence).  Documents with 100 * |intersection| >= 80 * |union| are linked, and
 3. Those form regions by their first ``depth`` labels.  A region over ``CROWD`` rows or ``MASS`` shingles is deepened: it is cut where its rows'
    common prefixes are shortest, label by label, until each part fits, and parts side by side are joined again as long as they fit.  So each
    crowded region gets the depth that it needs, place by place, and no task holds more than ``CROWD`` rows of a part.
-4. Likely partners agree on ``least`` of all labels.  Full sets confirm them, in rounds; texts come only for rows that have a likely partner left
+4. Likely partners agree on ``least`` of all labels.  Full sets confirm them, in two rounds; texts come only for rows that have a likely partner left
    to confirm, and only to the trees in which two such rows meet first:
-   a. regions that fit: every likely pair that links don't yet connect; of a crowded region one part a row, against hubs only (the row
-      most like all others, and the ``HUBS`` rows of the region's commonest deeper prefixes);
-   b. all parts of crowded regions: every likely pair that no component connects yet;
-   c. the rows outside a crowded region's largest component, against the ``HUBS`` rows that have most links there: copies of one base that are
-      less alike among themselves than each is to the base;
-   d. the rows that are still outside, among all rows of crowded regions, in ``trees`` further orders that start between the others, cut to parts
-      in the same way.
+   a. regions that fit: every likely pair that links don't yet connect; of a crowded region one part a row, with hubs (the ``HUBS`` rows of
+      the region's commonest deeper prefixes) added to it;
+   b. what parts have cut, exactly: the rows outside a crowded region's largest component against all rows of the region.  Both are dealt to
+      blocks of about half of what a part may hold, and each two blocks are a part, so every likely pair of the region that no component connects is confirmed.
    Components follow from the links, which are no more than a spanning set for each part.
 
-Each round is linear in the rows: a row lies in one part a tree.  What is lost: a pair that shares no prefix of the depth that its regions have.
-Where no region is crowded that is ``depth`` in all trees (3 pairs in 100,000 at a similarity of 0.8).  In a region of r rows that agree on a share a
-of their labels the depth grows with log(r / CROWD) / log(1 / a), and the further orders make up for it.  Measured recall is in the README.
+So each pair that shares its first ``depth`` labels in a tree and ``least`` of all is confirmed or connected, however crowded its region is; 3 pairs in
+100,000 at a similarity of 0.8 share them in no tree.  Round a is linear in the rows.  Round b takes, for a crowded region, a time that grows with the rows outside its largest component
+times its rows (comparisons of labels only; of texts only for likely pairs), in tasks that hold two blocks each.
 
-Every table between steps is written to the shared folder.  Candidate rows and edges are proportional to the rows; the driver
+Every table between steps is written to the shared folder.  Edges are proportional to the rows; the driver
 holds counts only.
 
 Defined results: ids may be of any type that can be sorted and need not be unique; a row is known by its id and its text.  Null and blank texts
@@ -55,6 +52,8 @@ DEEP = 16
 SALTS = 64
 #: Links of which one task of the component loop holds so many; its tables are small beside the documents.
 LINKS_A_TASK = 4_096
+#: Rows of parts of which one task holds so many, where there are few.
+ROWS_A_TASK = 1_024
 #: Up to so many holders an element's pairs are counted one by one; above, by products of blocks of so many elements.
 FEW = 32
 COLUMNS = 1024
@@ -162,11 +161,6 @@ class Forest:
         """The label at which each tree's order starts."""
         return [t * self.labels // self.trees for t in range(self.trees)]
 
-    @property
-    def between(self) -> list[int]:
-        """The labels at which the further orders start."""
-        return [s + max(1, self.labels // self.trees // 2) for s in self.starts]
-
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -326,14 +320,21 @@ def known(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def outside_of(spots: DataFrame) -> DataFrame:
-    """(tree, region, rep, labels, runs, comp, chunks): the rows of crowded regions that aren't in their region's largest component, and to how many parts
-    those are dealt so that one holds about half of what a part may.  ``spots``: with components."""
+def blocks_of(spots: DataFrame) -> DataFrame:
+    """Crowded regions' rows in parts that hold two blocks each: each two rows of a region that aren't both in its largest component share one.  ``mark``
+    tells a part's blocks apart; a part of one block twice has none.  ``spots``: with components."""
     placed = by_place(spots)
     sizes = placed.groupBy(*REGION, "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("mass"))
     whole = sizes.groupBy(*REGION).agg(F.max(F.struct("rows", "mass", "comp")).alias("top"), F.sum("rows").alias("rows"), F.sum("mass").alias("mass")).where("top.rows < rows")
-    chunks = F.greatest(F.ceil((F.col("rows") - F.col("top.rows")) / max(1, CROWD // 2)), F.ceil((F.col("mass") - F.col("top.mass")) / max(1, MASS // 2)))
-    return placed.join(whole.select(*REGION, F.col("top.comp").alias("top"), chunks.alias("chunks")), REGION).where("comp != top").select(*REGION, "rep", "labels", "runs", "comp", "chunks")
+    blocks = lambda rows, mass: F.greatest(F.ceil(rows / max(1, CROWD // 2)), F.ceil(mass / max(1, MASS // 2)))
+    out, inside = blocks(F.col("rows") - F.col("top.rows"), F.col("mass") - F.col("top.mass")), blocks(F.col("top.rows"), F.col("top.mass"))
+    rows = placed.join(whole.select(*REGION, F.col("top.comp").alias("top"), out.alias("out"), inside.alias("inside")), REGION)
+    outside, every = F.col("comp") != F.col("top"), F.col("out") + F.col("inside")
+    block = F.when(outside, F.pmod(F.xxhash64("rep"), F.col("out"))).otherwise(F.col("out") + F.pmod(F.xxhash64("rep"), F.col("inside")))
+    met = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(outside, every).otherwise(F.col("out")) - 1)))
+    part = 1 + F.least("block", "other") * every + F.greatest("block", "other")
+    # whoever shares a region of an earlier tree has met there, whatever its part
+    return met.select(*REGION, part.alias("part"), "rep", "labels", F.lit(None).cast("array<bigint>").alias("runs"), "comp", (F.col("block") > F.col("other")).alias("mark"))
 
 
 def agreement(rows):
@@ -381,10 +382,10 @@ def overlaps(sets, n: int):
 
 
 class Part:
-    """The rows of a part: how many labels they share, and which pairs are left to confirm.  ``mode``: "all" pairs, pairs with marked rows
-    ("hubs": and with the row most like all others), or "late", pairs with marked rows in the further orders."""
+    """The rows of a part: how many labels they share, and which pairs are left to confirm: all of them, or where rows are marked in a part of two
+    blocks (over 0) those of a marked and another row.  Parts of crowded regions' first round (under 0) don't ask where their rows met before."""
 
-    def __init__(self, tree: int, part: int, signed: list[bytes], runs: list, comps: list, marks: list, forest: Forest, starts: Sequence[int]):
+    def __init__(self, tree: int, part: int, signed: list[bytes], runs: list, comps: list, marks: list, forest: Forest):
         import numpy as np
 
         n = len(signed)
@@ -398,13 +399,10 @@ class Part:
         self.hub = int(near.sum(1, dtype=np.int64).argmax())
         #: Likely partners that meet here first, in no earlier tree, and aren't connected yet.
         self.first = first = (near > 0) & (comp[:, None] != comp[None, :])
-        if part < 0:
-            mark[self.hub] = True
-            first &= mark[:, None] | mark[None, :]
-        elif first.any():
-            if list(starts) != forest.starts:
-                first &= mark[:, None] | mark[None, :]
-            for t, start in enumerate(starts[:tree]):
+        if part > 0 and mark.any():
+            first &= mark[:, None] != mark[None, :]
+        if part >= 0 and first.any():
+            for t, start in enumerate(forest.starts[:tree]):
                 prefix = np.ascontiguousarray(np.take(rows, range(start, start + forest.depth), axis=1, mode="wrap"))
                 if n <= 64:
                     first &= ~((prefix[:, None, :] == prefix[None, :, :]).all(2) & (at[:, None, t] == at[None, :, t]))
@@ -432,21 +430,22 @@ def by_part(batches: Iterator, columns: list[str]) -> Iterator:
         yield key, held
 
 
-def dealt(regions: DataFrame) -> DataFrame:
-    return regions.repartition(shuffle_partitions(regions), *REGION, "part").sortWithinPartitions(*REGION, "part", "rep")
+def dealt(regions: DataFrame, rows: int) -> DataFrame:
+    """Each part in one task, sorted; ``rows``: about how many there are."""
+    return regions.repartition(shuffle_partitions(regions), *REGION, "part").sortWithinPartitions(*REGION, "part", "rep").coalesce(1 + rows // ROWS_A_TASK)
 
 
 ROW = ["rep", "labels", "runs", "comp", "mark"]
 
 
-def partnered(regions: DataFrame, forest: Forest, starts: Sequence[int]) -> DataFrame:
+def partnered(regions: DataFrame, rows: int, forest: Forest) -> DataFrame:
     """(tree, region, part, rep, labels, runs, comp, mark) of the rows that have a likely partner left to confirm, with the hubs of their parts."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for (tree, region, part), (reps, *data) in by_part(batches, ROW):
-            found = Part(tree, part, *data, forest, starts)
+            found = Part(tree, part, *data, forest)
             keep = found.first.any(1)
             if keep.any():
                 keep[found.hub] = True
@@ -456,11 +455,11 @@ def partnered(regions: DataFrame, forest: Forest, starts: Sequence[int]) -> Data
                 types = (pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=[*REGION, "part", *ROW])
 
-    return dealt(regions).select(*REGION, "part", *ROW).mapInArrow(frugal(run), "tree short, region bigint, part bigint, rep bigint, labels binary, runs array<bigint>, comp bigint, mark boolean")
+    return dealt(regions, rows).select(*REGION, "part", *ROW).mapInArrow(frugal(run), "tree short, region bigint, part bigint, rep bigint, labels binary, runs array<bigint>, comp bigint, mark boolean")
 
 
-def links_of(regions: DataFrame, forest: Forest, starts: Sequence[int]) -> DataFrame:
-    """(a, b): confirmed links that connect all rows of a part that links connect.  Full sets are compared: each row's with its
+def links_of(regions: DataFrame, count: int, forest: Forest) -> DataFrame:
+    """(a, b): confirmed links, of components so far, that connect all rows of a part that links connect.  Full sets are compared: each row's with its
     hub's, then those of the likely partners left, unless links already connect them.  Where many prove unlike, all the others are counted at once."""
 
     def run(batches: Iterator) -> Iterator:
@@ -468,10 +467,10 @@ def links_of(regions: DataFrame, forest: Forest, starts: Sequence[int]) -> DataF
         import pyarrow as pa
 
         for (tree, _, part), (reps, texts, *data) in by_part(batches, ["rep", "text", *ROW[1:]]):
-            rows = Part(tree, part, *data, forest, starts)
+            rows = Part(tree, part, *data, forest)
             sets: dict[int, frozenset] = {}
-            known: dict[int, int] = {}
-            up = [known.setdefault(c, i) for i, c in enumerate(data[2])]
+            known, comps = {}, data[2]
+            up = [known.setdefault(c, i) for i, c in enumerate(comps)]
             found = []
 
             def top(i: int, up=up) -> int:
@@ -484,13 +483,13 @@ def links_of(regions: DataFrame, forest: Forest, starts: Sequence[int]) -> DataF
                     sets[i] = frozenset(shingle_hashes(texts[i], forest.k).tolist())
                 return sets[i]
 
-            def connect(i: int, j: int, up=up, reps=reps, found=found, top=top) -> None:
+            def connect(i: int, j: int, up=up, comps=comps, found=found, top=top) -> None:
                 x, y = top(i), top(j)
                 if x != y:
                     up[x] = y
-                    found.append((reps[i], reps[j]))
+                    found.append((comps[i], comps[j]))
 
-            def confirm(i: int, j: int, up=up, reps=reps, found=found, top=top, members=members) -> bool:
+            def confirm(i: int, j: int, up=up, comps=comps, found=found, top=top, members=members) -> bool:
                 """Whether the two are connected now."""
                 x, y = top(i), top(j)
                 if x == y:
@@ -500,7 +499,7 @@ def links_of(regions: DataFrame, forest: Forest, starts: Sequence[int]) -> DataF
                     both = len(a & b)
                     if 100 * both >= forest.percent * (len(a) + len(b) - both):
                         up[x] = y
-                        found.append((reps[i], reps[j]))
+                        found.append((comps[i], comps[j]))
                         return True
                 return False
 
@@ -526,7 +525,7 @@ def links_of(regions: DataFrame, forest: Forest, starts: Sequence[int]) -> DataF
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt(regions).select(*REGION, "part", *ROW, "text").mapInArrow(frugal(run), "a bigint, b bigint")
+    return dealt(regions, count).select(*REGION, "part", *ROW, "text").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -566,15 +565,15 @@ class Round:
             on = on & s
         return self.source.join(heads.hint("merge"), on).select("rep", "text").dropDuplicates(["rep"])
 
-    def links(self, regions: DataFrame, starts: Sequence[int]) -> DataFrame:
-        """(a, b) confirmed in ``regions``, parts with their labels and components."""
-        met = materialize(partnered(regions, self.forest, starts), "partnered")
+    def links(self, regions: DataFrame, rows: int) -> DataFrame:
+        """(a, b) confirmed in ``regions``, parts of about so many rows with their labels and components."""
+        met = materialize(partnered(regions, rows, self.forest), "partnered")
         found = materialize(self.texts(met.select("rep")), "texts")
-        return materialize(links_of(met.join(found, "rep"), self.forest, starts), "links")
+        return materialize(links_of(met.join(found, "rep"), met.count(), self.forest), "links")
 
 
 def crowded_components(rows: DataFrame, crowded: DataFrame, hot: DataFrame, classes: DataFrame, rounds: Round, forest: Forest) -> DataFrame:
-    """(rep, comp) after all four rounds."""
+    """(rep, comp) after both rounds."""
     spots = materialize(spots_of(hot, rounds.labels, forest.trees), "spots")
     heads = hot.groupBy(*REGION, "deeper").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("rep"))
     hubs = materialize(foremost(heads, F.desc("rows"), F.asc("deeper")).join(spots.select("rep", "labels", "runs"), "rep"), "hubs")
@@ -582,28 +581,12 @@ def crowded_components(rows: DataFrame, crowded: DataFrame, hot: DataFrame, clas
     cool = rows.join(crowded, REGION, "left_anti").join(held.hint("merge"), "rep").select(*REGION, F.lit(0).cast("bigint").alias("part"), "rep", "labels", "runs", F.col("rep").alias("comp"), F.lit(False).alias("mark"))
     first = F.get("places", F.lit(0))
     firsts = spots.withColumn("p", first).select("p.tree", "p.region", (-F.col("p.run")).alias("part"), "rep", "labels", "runs", F.col("rep").alias("comp"))
-    links = rounds.links(cool.union(with_hubs(firsts, hubs.withColumn("comp", F.col("rep")))), forest.starts)
-    comps = components(links)
-    links = links.union(rounds.links(with_hubs(by_place(known(spots, comps)).withColumn("part", F.col("run")), known(hubs, comps)), forest.starts))
-    comps = components(links)
-    placed = known(spots, comps)
-    outside = materialize(outside_of(placed), "outside")
-    if outside.isEmpty():
-        return comps
-    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    best = foremost(by_place(spots.select("rep", "places").join(ends, "rep")), F.desc("degree"), F.asc("rep")).join(placed, "rep")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks"))
-    links = links.union(rounds.links(with_hubs(outside.withColumn("part", -1 - chunk), best), forest.starts))
-    comps = components(links)
-    reps = materialize(outside_of(known(spots, comps)).select("rep").distinct().withColumn("mark", F.lit(True)), "outside")
-    if reps.isEmpty():
-        return comps
-    further = colliding(classes.join(spots.select("rep"), "rep", "left_semi"), forest, forest.between)
-    pieces = spots_of(with_parts(further, rounds.labels, forest, forest.between), rounds.labels, forest.trees)
-    marked = materialize(pieces.join(reps, "rep", "left").withColumn("mark", F.coalesce("mark", F.lit(False))), "further")
-    asked = by_place(marked).groupBy("run").agg(F.max("mark").alias("asked")).where("asked").select("run")
-    late = by_place(known(marked, comps)).join(asked, "run", "left_semi").withColumn("part", F.col("run")).select(*PART)
-    return components(links.union(rounds.links(late, forest.between)))
+    comps = components(rounds.links(cool.union(with_hubs(firsts, hubs.withColumn("comp", F.col("rep")))), rows.count()))
+    blocks = materialize(blocks_of(known(spots, comps)), "blocks")
+    # links of components, which are few
+    joined = materialize(components(rounds.links(blocks, blocks.count())), "joined")
+    moved = joined.select(F.col("rep").alias("comp"), F.col("comp").alias("to"))
+    return comps.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")).union(joined.join(comps.select("rep"), "rep", "left_anti").select("rep", "comp"))
 
 
 def link(signed: DataFrame, source: DataFrame, keys: Sequence[str], forest: Forest) -> DataFrame:
@@ -621,7 +604,7 @@ def link(signed: DataFrame, source: DataFrame, keys: Sequence[str], forest: Fore
     if not crowds:
         labelled = rows.join(rounds.labels.hint("merge"), "rep")  # the same join at every size
         whole = labelled.select(*REGION, F.lit(0).cast("bigint").alias("part"), "rep", "labels", none.alias("runs"), F.col("rep").alias("comp"), F.lit(False).alias("mark"))
-        comps = components(rounds.links(whole, forest.starts))
+        comps = components(rounds.links(whole, rows.count()))
     else:
         comps = crowded_components(rows, crowded, hot, classes, rounds, forest)
     return classes.select("digest", "rep").join(comps, "rep", "left").select("digest", "rep", F.coalesce("comp", "rep").alias("comp"))
