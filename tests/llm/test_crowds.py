@@ -2,7 +2,7 @@
 
 import random
 
-from haloscape.llm import near_dup
+from haloscape.llm import near_dup, paragraphs
 
 
 def pairs(count: int, k: int) -> list[tuple[int, list[str]]]:
@@ -23,3 +23,12 @@ def test_pairs_cut_apart_are_linked(spark, monkeypatch):
     rows = [(i, " ".join(words)) for i, words in pairs(100, 4)]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), forest=near_dup.Forest(trees=1, depth=0)).collect()
     assert len(got) == 200 and [(r.doc_id, r.component_id) for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+def test_lines_cut_apart_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CROWD", 8)
+    monkeypatch.setattr(near_dup, "HUBS", 0)
+    rows = [(i, " ".join(words)) for i, words in pairs(60, 5)]
+    monkeypatch.setattr(paragraphs, "LINES", near_dup.Forest(k=5, labels=39, trees=1, depth=0, least=0.5))
+    source = paragraphs.source_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    got = paragraphs.repeated_lines(source, paragraphs.materialize(paragraphs.units(source), "units")).select("doc", "first_doc").collect()
+    assert sorted((r.doc, r.first_doc) for r in got) == [(i, i // 2 * 2) for i in range(120)]
