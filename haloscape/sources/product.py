@@ -28,31 +28,68 @@ def folder_parts(name: Column) -> dict[str, Column]:
     return {"sensor": F.get(checked, 0), "date": F.substring(F.get(checked, 1), 1, 7), "tile": F.substring(F.get(checked, 3), 2, 100)}
 
 
+#: Stands between values; no XML text holds it.
+BETWEEN = "\x1f"
+
+
+#: Values of one expression: Java takes no expression of over 100 operators.
+AT_ONCE = 8
+
+
+def fields(xml: Column, asked: Sequence[str]) -> Column:
+    """The values of XPath expressions as an array of strings.  A document is parsed once for ``AT_ONCE`` of them."""
+    form = f", '{BETWEEN}', "
+    whole = [F.lit("concat(" + form.join([*asked[i : i + AT_ONCE], "''"]) + ")") for i in range(0, len(asked), AT_ONCE)]
+    return F.flatten(F.array(*[F.slice(F.split(F.xpath_string(xml, w), BETWEEN, -1), 1, len(asked[i * AT_ONCE : (i + 1) * AT_ONCE])) for i, w in enumerate(whole)]))
+
+
+def asked(band: str) -> list[str]:
+    """What ``metadata`` needs of a document: what is there, and its numbers."""
+    view = f"//Mean_Viewing_Incidence_Angle[@band_id='{band}']"
+    models = [f"//Model[@name='{s}']" for s in SPECIES]
+    return [
+        "number(//Product_Quality/Relative_Humidity)", "boolean(//Sun_Angles/ZENITH_ANGLE and //Sun_Angles/AZIMUTH_ANGLE)", "number(//Sun_Angles/ZENITH_ANGLE)", "number(//Sun_Angles/AZIMUTH_ANGLE)",
+        f"boolean({view})", f"number({view}/ZENITH_ANGLE)", f"number({view}/AZIMUTH_ANGLE)", *(f"boolean({m})" for m in models), *(f"number({m})" for m in models),
+    ]
+
+
+def metadata(found: Column, band: str) -> dict[str, Column]:
+    """Humidity (rh), angles (sza, saa, vza, vaa) and species of what ``fields`` gives for ``asked(band)``; take them from a column of its own, so that it is computed once a row.
+    Humidity is 50 where it is missing; angles that are missing are an error, except that an empty element of the view counts as 0; species are scaled to one unless they already sum to it within a hundredth."""
+    number = lambda i: F.get(found, i).cast("double")
+    there = lambda i: F.get(found, i) == "true"
+    or_else = lambda i, value: F.coalesce(F.nanvl(number(i), F.lit(value)), F.lit(value))
+    given = lambda i, value, error: F.when(there(i), F.bround(value, 2)).otherwise(F.raise_error(F.lit(error)).cast("double"))
+    shares = F.array(*[F.when(there(7 + i), F.struct(F.lit(s).alias("k"), number(7 + len(SPECIES) + i).alias("v"))) for i, s in enumerate(SPECIES)])
+    return {
+        "rh": or_else(0, 50.0), "sza": given(1, number(2), "no sun angles"), "saa": given(1, number(3), "no sun angles"),
+        "vza": given(4, or_else(5, 0.0), f"no angles of {band}"), "vaa": given(4, or_else(6, 0.0), f"no angles of {band}"), "species": normalized(F.map_from_entries(F.array_compact(shares))),
+    }
+
+
+def of_one(xml: Column, band: str, *names: str) -> dict[str, Column]:
+    """Some of ``metadata`` of an XML column."""
+    found = metadata(fields(xml, asked(band)), band)
+    return {n: found[n] for n in names}
+
+
 def humidity(xml: Column) -> Column:
-    value = F.xpath_double(xml, F.lit("//Product_Quality/Relative_Humidity"))
-    return F.coalesce(F.nanvl(value, F.lit(50.0)), F.lit(50.0))
+    return of_one(xml, "", "rh")["rh"]
 
 
 def sun_angles(xml: Column) -> dict[str, Column]:
     """An error where one is missing."""
-    zenith, azimuth = "//Sun_Angles/ZENITH_ANGLE", "//Sun_Angles/AZIMUTH_ANGLE"
-    there = F.xpath_boolean(xml, F.lit(f"{zenith} and {azimuth}"))
-    value = lambda at: F.when(there, F.bround(F.xpath_double(xml, F.lit(at)), 2)).otherwise(F.raise_error(F.lit("no sun angles")).cast("double"))
-    return {"sza": value(zenith), "saa": value(azimuth)}
+    return of_one(xml, "", "sza", "saa")
 
 
 def view_angles(xml: Column, band: str) -> dict[str, Column]:
     """An empty element counts as 0; a missing one is an error."""
-    at = f"//Mean_Viewing_Incidence_Angle[@band_id='{band}']"
-    there = F.xpath_boolean(xml, F.lit(at))
-    value = lambda tag: F.when(there, F.bround(F.coalesce(F.nanvl(F.xpath_double(xml, F.lit(f"{at}/{tag}")), F.lit(0.0)), F.lit(0.0)), 2)).otherwise(F.raise_error(F.lit(f"no angles of {band}")).cast("double"))
-    return {"vza": value("ZENITH_ANGLE"), "vaa": value("AZIMUTH_ANGLE")}
+    return of_one(xml, band, "vza", "vaa")
 
 
 def species(xml: Column) -> Column:
     """Shares of the aerosol models that the metadata has, scaled to one unless they already sum to it within a hundredth."""
-    there = [F.when(F.xpath_boolean(xml, F.lit(f"//Model[@name='{s}']")), F.struct(F.lit(s).alias("k"), F.xpath_double(xml, F.lit(f"//Model[@name='{s}']")).alias("v"))) for s in SPECIES]
-    return normalized(F.map_from_entries(F.array_compact(F.array(*there))))
+    return of_one(xml, "", "species")["species"]
 
 
 def normalized(shares: Column) -> Column:

@@ -164,6 +164,17 @@ def test_product_metadata(spark):
     assert r.sp["dust"] == 0.25 and r.sp["sulphate"] == 0.75
 
 
+def test_metadata_is_parsed_few_times(spark):
+    """Three XPath evaluations a document for all of its values."""
+    xml = "<P><Sun_Angles><ZENITH_ANGLE>31.256</ZENITH_ANGLE><AZIMUTH_ANGLE>1.5</AZIMUTH_ANGLE></Sun_Angles><Mean_Viewing_Incidence_Angle band_id='B2'><ZENITH_ANGLE/></Mean_Viewing_Incidence_Angle><Model name='dust'>x</Model></P>"
+    rows = spark.range(3).select(F.when(F.col("id") < 2, F.lit(xml)).alias("x")).repartition(2).where("x is not null")
+    read = rows.select(product.fields(F.col("x"), product.asked("B2")).alias("f")).select(*[v.alias(n) for n, v in product.metadata(F.col("f"), "B2").items()])
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("xpath_string") + plan.count("XPathString") == 3
+    for r in read.collect():
+        assert (r.rh, r.sza, r.saa, r.vza, r.vaa, list(r.species)) == (50.0, 31.26, 1.5, 0.0, 0.0, ["dust"]) and np.isnan(r.species["dust"])
+
+
 def test_arrays_are_written(spark, tmp_path):
     df = spark.createDataFrame([("B02", i, j, float(i * 3 + j)) for i in range(2) for j in range(3)], "band string, iy int, ix int, v double").withColumn("name", sinks.export_name("rho_s", [], F.col("band")))
     (path,) = [r.path for r in sinks.write_arrays(df, str(tmp_path), ["band"], "v", "name").collect()]
