@@ -67,15 +67,18 @@ SPLITTERS, RANGES = 20_000, 200
 def ranged(df: DataFrame, dims: Sequence[str], name: str, ranges: int = RANGES, sampled: int = SPLITTERS) -> DataFrame:
     """Adds the number of the range of ``dims`` (taken together, nulls first) that a row falls into.  Bounds are quantiles of about ``sampled`` rows, which only decide how even the ranges
     are.  They are read once (``ranges`` rows at most go back) and stand in the plan, so a task run again deals its rows as before."""
-    from .interp import knots_below
-
     order = F.struct(*[F.struct(F.col(d).isNotNull().alias("known"), F.col(d).alias("label")).alias(f"d{i}") for i, d in enumerate(dims)])
     total = df.count()
     some = df.sample(min(1.0, sampled / max(1, total)), seed=7).select(order.alias("o")).orderBy("o").collect()
     step = max(1, -(-len(some) // ranges))
     kind = T.StructType([T.StructField("bounds", T.ArrayType(df.select(order.alias("o")).schema["o"].dataType))])
     bounds = df.sparkSession.createDataFrame([([r["o"] for r in some[step::step]],)], kind)
-    return df.crossJoin(F.broadcast(bounds)).withColumn(name, knots_below(F.col("bounds"), order)).drop("bounds")
+    placed, size = df.crossJoin(F.broadcast(bounds)).withColumn("_order", order).withColumn(name, F.lit(0)), len(some[step::step])
+    # halving in compiled steps: a function over arrays is interpreted for each row
+    for by in (1 << i for i in reversed(range(size.bit_length()))):
+        up = F.col(name) + by
+        placed = placed.withColumn(name, F.when((up <= size) & (F.get("bounds", up - 1) <= F.col("_order")), up).otherwise(F.col(name)))
+    return placed.drop("bounds", "_order")
 
 
 def numbered(df: DataFrame, dims: Sequence[str], name: str, ranges: int = RANGES) -> DataFrame:

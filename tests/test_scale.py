@@ -206,6 +206,14 @@ def test_numbering(spark):
     assert [r.chunk for r in chunks] == [i // 10 for i in range(len(chunks))]
 
 
+def test_ranges_are_found_by_compiled_steps(spark):
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("a"))
+    held = algebra.ranged(df, ["a"], "q", 50)
+    assert "lambda" not in held._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted((r.a, r.q) for r in held.collect())
+    assert [q for _, q in rows] == sorted(q for _, q in rows) and {q for _, q in rows} == set(range(50))
+
+
 def test_profiles(spark):
     levels = atmosphere.vertical_grids(spark.createDataFrame([("a",), ("b",)], "k string"))
     given = spark.createDataFrame([("a", 0.0, 1.0), ("a", 100.0, 1.0), ("b", 0.0, 2.0), ("b", 10.0, 0.0)], "k string, z double, ext double")
