@@ -57,7 +57,13 @@ ROWS_A_TASK = 1_024
 #: Up to so many holders an element's pairs are counted one by one; above, by products of blocks of so many elements.
 FEW = 32
 COLUMNS = 1024
+#: A part of up to so many rows is compared pair by pair, so many pairs at once, with others beside it, so many rows together.
+SMALL = 64
+PAIRS = 1 << 15
+TOGETHER_ROWS = 2048
 SEED = 20240501
+#: Characters of texts that are hashed at once, unless one has more.
+TOGETHER = 1 << 17
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -89,12 +95,23 @@ def rolling(h, k: int):
 
 
 def shingles(h, k: int):
+    return short_set(h) if len(h) < k else distinct(rolling(h, k))
+
+
+def short_set(h):
+    """The set of a sequence of under k words."""
     import numpy as np
     import xxhash
 
-    if len(h) < k:
-        return np.array([xxhash.xxh64_intdigest(h.tobytes(), 1)] if len(h) else [], np.uint64)
-    return np.unique(rolling(h, k))
+    return np.array([xxhash.xxh64_intdigest(h.tobytes(), 1)] if len(h) else [], np.uint64)
+
+
+def shingle_set(text: str | None, k: int) -> frozenset:
+    """The same set for comparisons inside one process, by hashes that hold there."""
+    words = _WORD.findall((text or "").encode().translate(_LOW))
+    if len(words) < k:
+        return frozenset([hash(tuple(words))] if words else [])
+    return frozenset(map(hash, zip(*[words[i:] for i in range(k)], strict=False)))
 
 
 def label_factors(labels: int):
@@ -103,23 +120,44 @@ def label_factors(labels: int):
     return np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**32, labels, np.uint32) | np.uint32(1)
 
 
-def min_labels(hashes, factors):
-    """16 bits of each minimum; large sets go in blocks."""
+def min_labels(hashes, firsts, counts, factors):
+    """16 bits of each minimum, a row for each run of ``counts`` (over 0) hashes from ``firsts`` on; runs are in order and don't overlap."""
     import numpy as np
 
-    low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
-    least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 2048):
-        np.minimum(least, (low[at : at + 2048, None] * factors[None, :]).min(0), out=least)
+    low = np.append((hashes ^ (hashes >> np.uint64(32))).astype(np.uint32), np.uint32(0))
+    at = np.column_stack([firsts, firsts + counts]).ravel()  # every other of what is reduced lies between runs
+    least = np.empty((len(firsts), len(factors)), np.uint32)
+    for i, factor in enumerate(factors if len(firsts) else ()):
+        least[:, i] = np.minimum.reduceat(low * factor, at)[::2]
     least = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     return (least >> np.uint32(16)).astype(">u2")
 
 
+def distinct(hashes):
+    """Sorted, each once."""
+    import numpy as np
+
+    out = np.sort(hashes)
+    return np.unique(out) if (out[1:] == out[:-1]).any() else out
+
+
+def together(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts that are hashed at once, each with its first one's number."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > TOGETHER:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, texts[start:]
+
+
 def digest_of(hashes) -> bytes:
     """16 bytes that stand for a set of sorted hashes."""
     import xxhash
 
-    return xxhash.xxh3_128_digest(hashes.tobytes())
+    return xxhash.xxh3_128_digest(hashes)
 
 
 def sign(units: DataFrame, keep: Sequence[str], k: int, labels: int) -> DataFrame:
@@ -128,6 +166,7 @@ def sign(units: DataFrame, keep: Sequence[str], k: int, labels: int) -> DataFram
     schema = StructType([*kept, StructField("n", LongType()), StructField("digest", BinaryType()), StructField("labels", BinaryType())])
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         factors = label_factors(labels)
@@ -135,11 +174,17 @@ def sign(units: DataFrame, keep: Sequence[str], k: int, labels: int) -> DataFram
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 n, digests, signed = [], [], []
-                for value in part.column(0):
-                    h = shingle_hashes(value.as_py(), k)
-                    n.append(len(h))
-                    digests.append(digest_of(h) if len(h) else None)
-                    signed.append(min_labels(h, factors).tobytes() if len(h) else None)
+                for _, texts in together([t or "" for t in part.column(0).to_pylist()]):
+                    words = [word_hashes(t) for t in texts]
+                    size = np.array([len(w) for w in words])
+                    hashes, first = rolling(np.concatenate(words), k), np.cumsum(size) - size
+                    sets = [distinct(hashes[a : a + b - k + 1]) if b >= k else short_set(w) for w, a, b in zip(words, first.tolist(), size.tolist(), strict=True)]
+                    whole = iter(min_labels(hashes, first[size >= k], size[size >= k] - k + 1, factors))
+                    n += [len(s) for s in sets]
+                    digests += [digest_of(s) if len(s) else None for s in sets]
+                    for s, b in zip(sets, size.tolist(), strict=True):
+                        row = next(whole) if b >= k else min_labels(s, np.array([0]), np.array([1]), factors)[0] if b else None
+                        signed.append(None if row is None else row.tobytes())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary())], names=[*keep, "n", "digest", "labels"])
 
     return units.select("text", *keep).mapInArrow(frugal(run), schema)
@@ -181,7 +226,8 @@ def colliding(classes: DataFrame, forest: Forest, starts: Sequence[int]) -> Data
     rows go on too, as their neighbours may lie beyond.  ``region``: a hash of the tree and these labels."""
     orders = F.array(*[F.struct(F.lit(t).cast("short").alias("tree"), F.xxhash64(F.lit(t), labels_from("labels", at, forest.depth)).alias("region")) for t, at in enumerate(starts)])
     rows = classes.select("rep", "n", F.explode(orders).alias("s")).select("s.tree", "s.region", "rep", "n")
-    return with_equal_neighbour(ranged(rows, "region", "rep"), ["region"])
+    # ranges split a common region's rows; in a task one number orders them
+    return with_equal_neighbour(rows.repartitionByRange(shuffle_partitions(rows), "region", "rep").sortWithinPartitions("region"), ["region"])
 
 
 def with_equal_neighbour(sorted_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -381,34 +427,73 @@ def overlaps(sets, n: int):
     return both
 
 
-class Part:
-    """The rows of a part: how many labels they share, and which pairs are left to confirm: all of them, or where rows are marked in a part of two
-    blocks (over 0) those of a marked and another row.  Parts of crowded regions' first round (under 0) don't ask where their rows met before."""
+class Pairs:
+    """The pairs of the rows of some parts that share enough labels (``i`` < ``j``, rows by number; ``near``: how many), and which of them are left to
+    confirm (``first``): all, or where rows are marked in a part of two blocks (over 0) those of a marked and another row, that meet here first, in no earlier
+    tree, and aren't connected yet.  Parts of crowded regions' first round (under 0) don't ask where their rows met before.
+
+    ``parts``: (key, lists of rep, labels, runs, comp and mark) of each.  The pairs of small parts are compared together."""
 
-    def __init__(self, tree: int, part: int, signed: list[bytes], runs: list, comps: list, marks: list, forest: Forest):
+    def __init__(self, parts: list, forest: Forest):
         import numpy as np
 
-        n = len(signed)
-        rows = np.frombuffer(b"".join(signed), ">u2").reshape(n, forest.labels).astype(np.uint16)
-        at = np.array([[0] * forest.trees if r is None else r for r in runs], np.int64)
-        comp, mark = np.array(comps, np.int64), np.array(marks, bool)
-        #: The labels that two likely partners share, or 0.
-        self.near = near = agreement(rows)
-        near[near < int(forest.least * forest.labels)] = 0
-        np.fill_diagonal(near, 0)
-        self.hub = int(near.sum(1, dtype=np.int64).argmax())
-        #: Likely partners that meet here first, in no earlier tree, and aren't connected yet.
-        self.first = first = (near > 0) & (comp[:, None] != comp[None, :])
-        if part > 0 and mark.any():
-            first &= mark[:, None] != mark[None, :]
-        if part >= 0 and first.any():
-            for t, start in enumerate(forest.starts[:tree]):
-                prefix = np.ascontiguousarray(np.take(rows, range(start, start + forest.depth), axis=1, mode="wrap"))
-                if n <= 64:
-                    first &= ~((prefix[:, None, :] == prefix[None, :, :]).all(2) & (at[:, None, t] == at[None, :, t]))
-                else:  # one number stands for a prefix and its part
-                    met = np.unique(np.column_stack([prefix.astype(np.int64), at[:, t]]), axis=0, return_inverse=True)[1].ravel()
-                    first &= met[:, None] != met[None, :]
+        sizes = np.array([len(data[0]) for _, data in parts])
+        self.begin = begin = np.cumsum(sizes) - sizes
+        rows = np.frombuffer(b"".join(b"".join(data[1]) for _, data in parts), ">u2").reshape(-1, forest.labels).astype(np.uint16)
+        nothing = [0] * forest.trees
+        at = np.array([nothing if r is None else r for _, data in parts for r in data[2]], np.int64)
+        comp, mark = (np.array([v for _, data in parts for v in data[c]], t) for c, t in ((3, np.int64), (4, bool)))
+        tree, part = (np.array([key[c] for key, _ in parts], np.int64) for c in (0, 2))
+        self.part_of = part_of = np.repeat(np.arange(len(parts)), sizes)
+        least, found = int(forest.least * forest.labels), []
+        for n in np.unique(sizes).tolist():
+            base = begin[sizes == n]
+            if n <= SMALL:
+                i, j = np.triu_indices(n, 1)
+                step = max(1, PAIRS // len(i))
+                for some in range(0, len(base), step):
+                    a, b = ((base[some : some + step, None] + v).ravel() for v in (i, j))
+                    near = (rows[a] == rows[b]).sum(1, dtype=np.int16)
+                    likely = near >= least
+                    found.append((a[likely], b[likely], near[likely]))
+            else:
+                for start in base.tolist():
+                    near = np.triu(agreement(rows[start : start + n]), 1)
+                    a, b = (near >= max(1, least)).nonzero()
+                    found.append((a + start, b + start, near[a, b]))
+        i, j, near = (np.concatenate([f[c] for f in found]) for c in range(3))
+        order = np.argsort(part_of[i], kind="stable")
+        self.i, self.j, self.near = i, j, near = i[order], j[order], near[order]
+        of = part_of[i]
+        first = (near > 0) & (comp[i] != comp[j])
+        two = (part > 0) & np.logical_or.reduceat(mark, begin)
+        first &= ~two[of] | (mark[i] != mark[j])
+        for t, start in enumerate(forest.starts):
+            ask = (first & (part[of] >= 0) & (tree[of] > t)).nonzero()[0]
+            if len(ask):
+                a, b, columns = i[ask], j[ask], [(start + d) % forest.labels for d in range(forest.depth)]
+                met = at[a, t] == at[b, t]
+                for c in columns:
+                    met &= rows[a, c] == rows[b, c]
+                first[ask[met]] = False
+        self.first = first
+        # the row of each part that agrees most with others
+        agreed = np.bincount(i, near, len(rows)) + np.bincount(j, near, len(rows))
+        top = (agreed == np.repeat(np.maximum.reduceat(agreed, begin), sizes)).nonzero()[0]
+        self.hub = top[np.unique(part_of[top], return_index=True)[1]]
+
+
+def gathered(parts: Iterator) -> Iterator[list]:
+    """Parts of ``by_part``, so many together as have ``TOGETHER_ROWS`` rows, a large one alone."""
+    held, rows = [], 0
+    for key, data in parts:
+        if held and rows + len(data[0]) > TOGETHER_ROWS:
+            yield held
+            held, rows = [], 0
+        held.append((key, data))
+        rows += len(data[0])
+    if held:
+        yield held
 
 
 def by_part(batches: Iterator, columns: list[str]) -> Iterator:
@@ -442,18 +527,20 @@ def partnered(regions: DataFrame, rows: int, forest: Forest) -> DataFrame:
     """(tree, region, part, rep, labels, runs, comp, mark) of the rows that have a likely partner left to confirm, with the hubs of their parts."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        for (tree, region, part), (reps, *data) in by_part(batches, ROW):
-            found = Part(tree, part, *data, forest)
-            keep = found.first.any(1)
-            if keep.any():
-                keep[found.hub] = True
-                kept = keep.nonzero()[0].tolist()
-                of = lambda values: [values[i] for i in kept]
-                values = ([tree] * len(kept), [region] * len(kept), [part] * len(kept), *map(of, (reps, *data)))
-                types = (pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=[*REGION, "part", *ROW])
+        types = (pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.bool_())
+        for parts in gathered(by_part(batches, ROW)):
+            found = Pairs(parts, forest)
+            if not found.first.any():
+                continue
+            keep = np.zeros(len(found.part_of), bool)
+            keep[found.i[found.first]] = keep[found.j[found.first]] = True
+            keep[found.hub[np.unique(found.part_of[keep])]] = True
+            kept = [(p, i) for p, i in zip(found.part_of[keep].tolist(), (keep.nonzero()[0] - found.begin[found.part_of[keep]]).tolist(), strict=True)]
+            values = [*([parts[p][0][c] for p, _ in kept] for c in range(3)), *([parts[p][1][c][i] for p, i in kept] for c in range(len(ROW)))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=[*REGION, "part", *ROW])
 
     return dealt(regions, rows).select(*REGION, "part", *ROW).mapInArrow(frugal(run), "tree short, region bigint, part bigint, rep bigint, labels binary, runs array<bigint>, comp bigint, mark boolean")
 
@@ -466,53 +553,46 @@ def links_of(regions: DataFrame, count: int, forest: Forest) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for (tree, _, part), (reps, texts, *data) in by_part(batches, ["rep", "text", *ROW[1:]]):
-            rows = Part(tree, part, *data, forest)
+        def linked(reps: list, comps: list, texts: list[str], with_hub: list[tuple[int, int]], i, j) -> list[tuple[int, int]]:
             sets: dict[int, frozenset] = {}
-            known, comps = {}, data[2]
+            known: dict[int, int] = {}
             up = [known.setdefault(c, i) for i, c in enumerate(comps)]
             found = []
 
-            def top(i: int, up=up) -> int:
+            def top(i: int) -> int:
                 while up[i] != i:
                     up[i] = i = up[up[i]]
                 return i
 
-            def members(i: int, sets=sets, texts=texts) -> frozenset:
+            def members(i: int) -> frozenset:
                 if i not in sets:
-                    sets[i] = frozenset(shingle_hashes(texts[i], forest.k).tolist())
+                    sets[i] = shingle_set(texts[i], forest.k)
                 return sets[i]
 
-            def connect(i: int, j: int, up=up, comps=comps, found=found, top=top) -> None:
+            def connect(i: int, j: int) -> None:
                 x, y = top(i), top(j)
                 if x != y:
                     up[x] = y
                     found.append((comps[i], comps[j]))
 
-            def confirm(i: int, j: int, up=up, comps=comps, found=found, top=top, members=members) -> bool:
+            def confirm(i: int, j: int) -> bool:
                 """Whether the two are connected now."""
-                x, y = top(i), top(j)
-                if x == y:
+                if top(i) == top(j):
                     return True
                 a, b = members(i), members(j)
                 if 100 * min(len(a), len(b)) >= forest.percent * max(len(a), len(b)):
                     both = len(a & b)
                     if 100 * both >= forest.percent * (len(a) + len(b) - both):
-                        up[x] = y
-                        found.append((comps[i], comps[j]))
+                        connect(i, j)
                         return True
                 return False
 
-            for i in rows.near[rows.hub].nonzero()[0].tolist():
-                confirm(i, rows.hub)
-            i, j = np.triu(rows.first, 1).nonzero()
-            order = np.argsort(-rows.near[i, j], kind="stable")
-            i, j = i[order], j[order]
-            unlike, at = 0, 0
-            while at < len(i) and unlike <= 2 * len(reps):
-                unlike += not confirm(int(i[at]), int(j[at]))
-                at += 1
-            i, j = i[at:], j[at:]
+            for x, y in with_hub:
+                confirm(x, y)
+            unlike = 0
+            while len(i) and unlike <= 2 * len(reps):
+                unlike += sum(not confirm(x, y) for x, y in zip(i[:SMALL].tolist(), j[:SMALL].tolist(), strict=True))
+                i, j = i[SMALL:], j[SMALL:]
             if len(i):
                 sets.clear()
                 all_of = [shingle_hashes(t, forest.k) for t in texts]
@@ -521,6 +601,22 @@ def links_of(regions: DataFrame, count: int, forest: Forest) -> DataFrame:
                 alike = 100 * both >= forest.percent * (size[i] + size[j] - both)
                 for x, y in zip(i[alike].tolist(), j[alike].tolist(), strict=True):
                     connect(x, y)
+            return found
+
+        columns = [*ROW, "text"]
+        for parts in gathered(by_part(batches, columns)):
+            of = Pairs([(key, data[:-1]) for key, data in parts], forest)
+            # numbers within their parts; a part's hub first, then the pairs left, the likeliest first
+            at, i, j = of.part_of[of.i], of.i - of.begin[of.part_of[of.i]], of.j - of.begin[of.part_of[of.i]]
+            hub = ((of.i == of.hub[at]) | (of.j == of.hub[at])).nonzero()[0]
+            left = of.first.nonzero()[0]
+            left = left[np.lexsort((-of.near[left], at[left]))]
+            edges = [np.searchsorted(at[some], np.arange(len(parts) + 1)).tolist() for some in (hub, left)]
+            with_hub, i, j, found = list(zip(i[hub].tolist(), j[hub].tolist(), strict=True)), i[left], j[left], []
+            for p, (_, (reps, _, _, comps, _, texts)) in enumerate(parts):
+                (a, b), (lo, hi) = (e[p : p + 2] for e in edges)
+                if a < b or lo < hi:
+                    found += linked(reps, comps, texts, with_hub[a:b], i[lo:hi], j[lo:hi])
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

@@ -37,8 +37,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, column, fresh, frugal, let, materialize
-from .near_dup import Forest, digest_of, label_factors, link, min_labels, ranged, rolling, sign
+from .common import LOWER, UPPER, column, fresh, frugal, materialize
+from .near_dup import Forest, digest_of, distinct, label_factors, link, min_labels, ranged, rolling, sign, together
 
 MIN_WORDS = 30
 WINDOW = 16
@@ -46,9 +46,10 @@ REACH = 20
 KEY_LABELS = 2
 K = 5
 #: Bytes of a text that are hashed at once (and what is left of their last word).
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 #: Where a block may end.
 BLANK = re.compile(rb"[\x20\x09-\x0d]")
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LINES = Forest(k=K, percent=80, labels=39, trees=13, depth=3, least=0.5)
 WINDOWS = Forest(k=K, percent=80, labels=12, trees=6, depth=2, least=0.5)
 UNIT = ["doc", "th", "place"]
@@ -146,10 +147,11 @@ def hashed_lines(text: str):
 
 
 def units(documents: DataFrame) -> DataFrame:
-    """(doc, th, kind, place, start, n_words, n, digest, labels, key, whole): lines (kind 0, with labels) and windows (kind 1, with the key of their first
-    band and a hash of their whole set) of each text, which is read once.  ``place``: the line's number or the window's first word; ``start``: the first word."""
+    """(doc, th, kind, place, start, n_words, n, digest, labels, windows): lines (kind 0) with labels, and a row (kind 1) with all windows of each text: place,
+    the key of the first band and a hash of the whole set.  A text is read once.  ``place``: the line's number or the window's first word; ``start``: the first word."""
     held = [documents.schema[c] for c in ("doc", "th")]
-    kinds = (("kind", T.ByteType()), ("place", T.IntegerType()), ("start", T.IntegerType()), ("n_words", T.IntegerType()), ("n", T.LongType()), ("digest", T.BinaryType()), ("labels", T.BinaryType()), ("key", T.LongType()), ("whole", T.LongType()))
+    kinds = (("kind", T.ByteType()), ("place", T.IntegerType()), ("start", T.IntegerType()), ("n_words", T.IntegerType()), ("n", T.LongType()), ("digest", T.BinaryType()), ("labels", T.BinaryType()))
+    windows = T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("whole", T.LongType())]))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -157,66 +159,81 @@ def units(documents: DataFrame) -> DataFrame:
 
         factors, width = label_factors(LINES.labels), WINDOW - K + 1
         mixers = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, KEY_LABELS + 1, np.uint64) | np.uint64(1)
-        names = ["doc", "th", *(n for n, _ in kinds)]
-        types = (pa.int8(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        names = ["doc", "th", *(n for n, _ in kinds), "windows"]
+        types = (pa.int8(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        packed = pa.struct([("place", pa.int32()), ("key", pa.int64()), ("whole", pa.int64())])
 
         def mixed(hashes, by):
             out = (hashes ^ (hashes >> np.uint64(31))) * by
             return out ^ (out >> np.uint64(29))
 
+        def rows(part, take, *values):
+            """The rows ``take`` with columns of the kinds, and no others."""
+            take = pa.array(take, pa.int32())
+            return [part.column(1).take(take), part.column(2).take(take), *(pa.array(v, t) for v, t in zip(values, types, strict=False)), *(pa.nulls(len(take), t) for t in types[len(values) :])]
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, lines, windows = batch.slice(at, 256), [], []
-                for i, value in enumerate(part.column(0)):
-                    words, starts = hashed_lines(value.as_py() or "")
-                    hashes = rolling(words, K)
-                    sizes = np.diff(starts)
-                    for place in (sizes >= MIN_WORDS).nonzero()[0].tolist():
-                        first, size = int(starts[place]), int(sizes[place])
-                        s = np.unique(hashes[first : first + size - K + 1])
-                        lines.append((i, 0, place, first, size, len(s), digest_of(s), min_labels(s, factors).tobytes(), None, None))
-                    chosen = anchors(hashes, width, REACH)
-                    if len(chosen):
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                for at, texts in together([t or "" for t in part.column(0).to_pylist()]):
+                    # shingles that reach into the next line or text are never taken
+                    words, starts = hashed_lines("\n".join(texts))
+                    hashes, sizes = rolling(words, K), np.diff(starts)
+                    first_line = np.concatenate([[0], np.cumsum([t.count("\n") + 1 for t in texts])])
+                    first_word = starts[first_line]
+                    line = (sizes >= MIN_WORDS).nonzero()[0]
+                    if len(line):
+                        of = np.searchsorted(first_line, line, "right") - 1
+                        first, count = starts[line], sizes[line] - K + 1
+                        sets = [distinct(hashes[a : a + n]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+                        labels = [row.tobytes() for row in min_labels(hashes, first, count, factors)]
+                        values = (np.zeros(len(line), np.int8), line - first_line[of], first - first_word[of], sizes[line], [len(s) for s in sets], [digest_of(s) for s in sets], labels)
+                        yield pa.RecordBatch.from_arrays([*rows(part, of + at, *values), pa.nulls(len(line), pa.list_(packed))], names=names)
+                    chosen = [anchors(hashes[a : max(a, b - K + 1)], width, REACH) + a for a, b in zip(first_word[:-1].tolist(), first_word[1:].tolist(), strict=True)]
+                    n = np.array([len(c) for c in chosen])
+                    if n.any():
+                        chosen = np.concatenate(chosen)
                         key = np.zeros(len(chosen), np.uint64)
                         for m in mixers[1:]:
                             key = (key ^ sliding_min(mixed(hashes, m), width)[chosen]) * np.uint64(0x9E3779B97F4A7C15)
                             key ^= key >> np.uint64(32)
                         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes, mixers[0]))])
-                        windows.append((np.full(len(chosen), i, np.int32), chosen.astype(np.int32), key.view(np.int64), (sums[chosen + width] - sums[chosen]).view(np.int64)))
-                if lines:
-                    rows, *values = zip(*lines, strict=True)
-                    take = pa.array(rows, pa.int32())
-                    yield pa.RecordBatch.from_arrays([part.column(1).take(take), part.column(2).take(take), *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names=names)
-                if windows:
-                    rows, places, keys, wholes = (np.concatenate(v) for v in zip(*windows, strict=True))
-                    n, take, place = len(rows), pa.array(rows), pa.array(places)
-                    arrays = [pa.array(np.ones(n, np.int8)), place, place, pa.array(np.full(n, WINDOW, np.int32)), pa.nulls(n, types[4]), pa.nulls(n, types[5]), pa.nulls(n, types[6]), pa.array(keys), pa.array(wholes)]
-                    yield pa.RecordBatch.from_arrays([part.column(1).take(take), part.column(2).take(take), *arrays], names=names)
+                        place = (chosen - np.repeat(first_word[:-1], n)).astype(np.int32)
+                        of = n.nonzero()[0]
+                        found = pa.StructArray.from_arrays([pa.array(place), pa.array(key.view(np.int64)), pa.array((sums[chosen + width] - sums[chosen]).view(np.int64))], fields=list(packed))
+                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[of])]), pa.int32()), found)
+                        yield pa.RecordBatch.from_arrays([*rows(part, of + at, np.ones(len(of), np.int8)), lists], names=names)
 
-    return documents.select("text", "doc", "th").mapInArrow(frugal(run), T.StructType([*held, *(T.StructField(n, t) for n, t in kinds)]))
+    return documents.select("text", "doc", "th").mapInArrow(frugal(run), T.StructType([*held, *(T.StructField(n, t) for n, t in kinds), T.StructField("windows", windows)]))
 
 
 def shared_keys(sorted_rows: DataFrame) -> DataFrame:
-    """Of windows that are sorted by (key, doc, th) within their partitions, those whose key several documents have.  Where a key's rows reach a batch's
-    end it isn't known yet, and they stay."""
+    """Of windows that are dealt by ranges of (key, doc, th, place) and sorted, each once, those whose key several documents have.  Where a key's rows reach a
+    batch's end it isn't known yet, and they stay."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        last = None  # the last row of the batches so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, th = batch.column("key").to_numpy(), batch.column("th").to_numpy()
-            doc = batch.column("doc")
-            same_doc = pc.fill_null(pc.equal(doc.slice(1), doc.slice(0, batch.num_rows - 1)), False).to_numpy(zero_copy_only=False)
-            both_null = pc.and_(pc.is_null(doc.slice(1)), pc.is_null(doc.slice(0, batch.num_rows - 1))).to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], (key[1:] != key[:-1]).nonzero()[0] + 1])
-            other = np.concatenate([[False], (key[1:] == key[:-1]) & ~((same_doc | both_null) & (th[1:] == th[:-1]))])
-            keep = np.logical_or.reduceat(other, starts)
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if last is None else pa.concat_tables([last, rows])).combine_chunks()
+            key, th, place, doc = rows["key"].to_numpy(), rows["th"].to_numpy(), rows["place"].to_numpy(), rows["doc"].combine_chunks()
+            n, seen = len(key), 0 if last is None else 1
+            equal = pc.fill_null(pc.equal(doc.slice(1), doc.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+            both_null = pc.and_(pc.is_null(doc.slice(1)), pc.is_null(doc.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+            same_key = key[1:] == key[:-1]
+            same_doc = (equal | both_null) & (th[1:] == th[:-1])
+            again = np.concatenate([[bool(seen)], same_key & same_doc & (place[1:] == place[:-1])])
+            last = rows.slice(n - 1)
+            starts = np.concatenate([[0], (~same_key).nonzero()[0] + 1])
+            keep = np.logical_or.reduceat(np.concatenate([[False], same_key & ~same_doc]), starts)
             keep[[0, -1]] = True
-            yield batch.filter(pa.array(np.repeat(keep, np.diff([*starts, len(key)]))))
+            yield from rows.filter(pa.array(np.repeat(keep, np.diff([*starts, n])) & ~again)).to_batches()
 
     return sorted_rows.mapInArrow(frugal(run), sorted_rows.schema)
 
@@ -225,16 +242,30 @@ def window_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, th, place, text) of wanted windows (doc, th, place)."""
     held = wanted.groupBy(F.col("doc").alias("d"), F.col("th").alias("h")).agg(F.collect_set("place").alias("places"))
     joined = documents.join(held, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
-    # windows are cut before rows are made of them, so no row carries its whole text
-    words = F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+"), F.lit(0))
-    cut = let(words, lambda w: F.transform("places", lambda p: F.struct(p.alias("place"), F.array_join(F.slice(w, p + 1, WINDOW), " ").alias("text"))))
-    return joined.select("doc", "th", F.explode(cut).alias("c")).select("doc", "th", "c.place", "c.text")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                places, cut = part.column(3).to_pylist(), []
+                for text, wanted in zip(part.column(2), places, strict=True):
+                    words = WORD.findall(text.as_py())
+                    cut += [" ".join(words[p : p + WINDOW]) for p in wanted]
+                take = pa.array(np.repeat(np.arange(part.num_rows), [len(p) for p in places]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array([p for wanted in places for p in wanted], pa.int32()), pa.array(cut, pa.string())], names=[*UNIT, "text"])
+
+    held = [documents.schema[c] for c in ("doc", "th")]
+    return joined.select("doc", "th", "text", "places").mapInArrow(frugal(run), T.StructType([*held, T.StructField("place", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
 def window_classes(documents: DataFrame, windows: DataFrame) -> DataFrame:
-    """(key, whole, cluster) of the windows' classes: those under one key whose sets are alike have one cluster, the first one's ``whole``."""
+    """(key, whole, cluster, head, last, rows) of the windows' classes: those under one key whose sets are alike have one cluster, the first one's ``whole``.
+    ``head``: the first window; ``last``: the last document; ``rows``: how many windows."""
     # of a very common window each task's rows become one before they are shuffled
-    classes = materialize(windows.groupBy("key", "whole").agg(F.min(F.struct(*UNIT)).alias("head")), "window-classes")
+    classes = materialize(windows.groupBy("key", "whole").agg(F.min(F.struct(*UNIT)).alias("head"), F.max(F.struct("doc", "th")).alias("last"), F.count(F.lit(1)).alias("rows")), "window-classes")
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     mixed = materialize(classes.join(several, "key").select("key", "whole", "head.*"), "mixed-windows")
     texts = materialize(window_texts(documents, mixed.select(*UNIT)).dropDuplicates(UNIT), "window-texts")
@@ -243,24 +274,29 @@ def window_classes(documents: DataFrame, windows: DataFrame) -> DataFrame:
     same = F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.place") == F.col("b.place"))
     named = mixed.alias("a").join(signed.join(comps, "digest").select(*UNIT, "cluster").dropDuplicates(UNIT).alias("b"), same).select("a.key", "a.whole", "b.cluster")
     # numbers of components are small and from 0 on, hashes anything: a cluster is told by its kind as well
-    return materialize(classes.select("key", "whole").join(named, ["key", "whole"], "left").select("key", "whole", F.coalesce(F.concat(F.lit("c"), "cluster"), F.concat_ws(":", F.hex("key"), F.hex("whole"))).alias("cluster")), "window-clusters")
+    return classes.join(named, ["key", "whole"], "left").select("key", "whole", F.coalesce(F.concat(F.lit("c"), "cluster"), F.concat_ws(":", F.hex("key"), F.hex("whole"))).alias("cluster"), "head", "last", "rows")
 
 
-def grouped(placed: DataFrame) -> DataFrame:
-    """(doc, th, place, cluster, first, n_copies, across) of paragraphs whose cluster has several; ``across``: of several documents."""
-    document = F.struct("doc", "th")
-    groups = placed.groupBy("cluster").agg(F.min(F.struct(*UNIT)).alias("first"), F.count(F.lit(1)).alias("n_copies"), F.max(document).alias("last")).where("n_copies > 1")
-    return placed.join(groups, "cluster").select(*UNIT, "cluster", "first", "n_copies", (F.struct(F.col("first.doc").alias("doc"), F.col("first.th").alias("th")) < F.col("last")).alias("across"))
+def grouped(documents: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc, th, place, cluster, first, n_copies) of the windows whose cluster several documents have.  What is known of a cluster is gathered by
+    classes; each window then meets its class's row, a join whose sides are tables, so a common class is no single task's."""
+    classes = materialize(window_classes(documents, windows), "window-clusters")
+    several = F.struct(F.col("first.doc").alias("doc"), F.col("first.th").alias("th")) < F.col("last")
+    groups = classes.groupBy("cluster").agg(F.min("head").alias("first"), F.sum("rows").alias("n_copies"), F.max("last").alias("last")).where(several).select("cluster", "first", "n_copies")
+    wanted = materialize(classes.select("key", "whole", "cluster").join(groups, "cluster"), "window-groups")
+    return windows.join(wanted, ["key", "whole"]).select(*UNIT, "cluster", "first", "n_copies")
 
 
 def clustered(signed: DataFrame, source: DataFrame, forest: Forest) -> DataFrame:
-    """``grouped`` lines by the components of their classes."""
+    """(doc, th, place, cluster, first, n_copies) of the lines whose cluster has several, by the components of their classes."""
     classes = link(signed, source, UNIT, forest).select("digest", F.col("comp").alias("cluster"))
     # classes of one paragraph in a component of one class are most: they go before anything is joined
     many = classes.join(signed.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")), "digest")
     repeated = many.groupBy("cluster").agg(F.sum("rows").alias("rows")).where("rows > 1").select("cluster")
     wanted = materialize(classes.join(repeated, "cluster"), "repeated-classes")
-    return grouped(materialize(signed.select(*UNIT, "digest").join(wanted, "digest").select(*UNIT, F.col("cluster").cast("string").alias("cluster")).dropDuplicates(UNIT), "clusters"))
+    placed = materialize(signed.select(*UNIT, "digest").join(wanted, "digest").select(*UNIT, F.col("cluster").cast("string").alias("cluster")).dropDuplicates(UNIT), "clusters")
+    groups = materialize(placed.groupBy("cluster").agg(F.min(F.struct(*UNIT)).alias("first"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1"), "groups")
+    return placed.join(groups, "cluster").select(*UNIT, "cluster", "first", "n_copies")
 
 
 def is_first(*fields: str) -> Column:
@@ -284,9 +320,9 @@ def repeated_lines(documents: DataFrame, read: DataFrame) -> DataFrame:
 
 def repeated_passages(documents: DataFrame, read: DataFrame) -> DataFrame:
     """The same of passages; ``first_doc`` is the smallest of the documents that hold its windows first."""
-    order = ["key", "whole", *UNIT]
-    windows = materialize(shared_keys(ranged(read.where("kind = 1").select(*order), "key", "doc", "th", "place")), "windows")
-    found = grouped(windows.join(window_classes(documents, windows), ["key", "whole"]).select(*UNIT, "cluster").distinct()).where("across").withColumn("removed", ~is_first("doc", "th"))
+    order = ["w.key", "w.whole", "doc", "th", "w.place"]
+    windows = materialize(shared_keys(ranged(read.where("kind = 1").select("doc", "th", F.explode("windows").alias("w")).select(*order), "key", "doc", "th", "place")), "windows")
+    found = grouped(documents, windows).withColumn("removed", ~is_first("doc", "th"))
     order = Window.partitionBy("doc", "th", "removed").orderBy("place")
     begins = F.coalesce(F.col("place") > F.lag("place").over(order) + WINDOW, F.lit(True))
     runs = found.withColumn("run", F.sum(begins.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
